@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import licenses, mixing, urlfilter
+from siftlode.llm import langid, licenses, mixing, quality, simhash, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"), 4)
+    profiles = langid.learn(docs.select("doc_id", "text", "lang").where(fold != 2))
+    return langid.identify(docs, profiles).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "decided_by")
 
@@ -24,7 +31,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op6_license_scans, op7_source_mixing)}
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"), 5)
+    model = quality.learn(docs, _read(spark, sf_dir, "labels").where(fold != 0))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op6_license_scans, op7_source_mixing, op8_quality_gam, op10_simhash)}
 
 ORACLE_SQL = {
     "op2_url_filters": r"""
