@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import langid, licenses, mixing, quality, simhash, urlfilter
+from siftlode.llm import audio, embeddings, langid, licenses, mixing, quality, simhash, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "decided_by")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_read(spark, sf_dir, "documents"))
 
@@ -39,11 +43,19 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op9_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.media_columns(_read(spark, sf_dir, "documents"))
+    return media.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.col("n_tensors").cast("string"), F.sha2("features", 256)).alias("feature"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op6_license_scans, op7_source_mixing, op8_quality_gam, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_embedding_dedup, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash)}
 
 ORACLE_SQL = {
     "op2_url_filters": r"""
