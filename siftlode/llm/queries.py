@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import audio, embeddings, langid, licenses, mixing, quality, simhash, urlfilter
+from siftlode.llm import audio, embeddings, langid, licenses, mixing, packing, quality, simhash, suffixes, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,10 +23,19 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "decided_by")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffixes.repeated_spans(_read(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "start_word", "end_word", "removed", "first_doc_id")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_embedding_dedup, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_suffix_dedup, op4_embedding_dedup, op5_bestfit_packing, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash)}
 
 ORACLE_SQL = {
     "op2_url_filters": r"""

@@ -7,11 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.bloom import Bloom
 from siftlode.llm.common import cut, drop
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most bits of one level, 16 MB of literal in a plan: room for about 2 million listed keys.
-MAX_BITS = 1 << 27
 
 RULES = (
     ("com/", "allow"),
@@ -42,33 +41,7 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
-class Level:
-    """One Bloom filter: m bits, k hashes, as an array of 64-bit words that plans hold as a literal."""
-
-    def __init__(self, keys: DataFrame, n: int, rate: float, seed: int):
-        self.k = max(1, round(-math.log2(rate)))
-        self.m = max(64, math.ceil(n * self.k / math.log(2)))
-        self.seed = seed
-        if self.m > MAX_BITS:
-            raise OverflowError(f"{n} keys need {self.m} bits; the bound is {MAX_BITS}")
-        at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
-        words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-        bits = [0] * -(-self.m // 64)
-        for row in words.toLocalIterator():  # m / 64 rows at most, bounded above
-            bits[row.w] = row.bits
-        self.bits = F.from_json(F.lit("[" + ",".join(map(str, bits)) + "]"), "array<bigint>")
-
-    def places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.seed * 64 + i)), F.lit(self.m)) for i in range(self.k)]
-
-    def has(self, key: Column) -> Column:
-        out = F.lit(True)
-        for at in self.places(key):
-            out = out & (F.getbit(F.get(self.bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
-        return out
-
-
-def build_cascade(universe: DataFrame, flag: str, max_levels: int = 60) -> list[Level]:
+def build_cascade(universe: DataFrame, flag: str, max_levels: int = 60) -> list[Bloom]:
     """Levels of a cascade that says for every key of universe (key, <flag> boolean) whether it is
     listed.  Level 1 holds the listed keys; level i + 1 holds the keys of the other side that level i
     passes wrongly, and is tested against the side level i held; it ends when none passes wrongly.
@@ -76,14 +49,14 @@ def build_cascade(universe: DataFrame, flag: str, max_levels: int = 60) -> list[
     Level 1's rate is chosen to pass about as many keys wrongly as are listed, so the size of every
     level follows the list, not the universe."""
     held, others = universe.where(flag), universe.where(~F.col(flag))
-    levels: list[Level] = []
+    levels: list[Bloom] = []
     made: list[DataFrame] = []
     n = held.count()
     rate = min(0.5, n / max(1, others.count() * math.sqrt(2))) if n else 0.5
     while n:
         if len(levels) == max_levels:
             raise RuntimeError("the cascade does not end")
-        level = Level(held, n, rate if not levels else 0.5, seed=len(levels) + 1)
+        level = Bloom(held, n, rate if not levels else 0.5, seed=len(levels) + 1)
         levels.append(level)
         wrong = cut(others.where(level.has(F.col("key"))).select("key"))
         made.append(wrong)
@@ -92,7 +65,7 @@ def build_cascade(universe: DataFrame, flag: str, max_levels: int = 60) -> list[
     return levels
 
 
-def in_cascade(levels: list[Level], key: Column) -> Column:
+def in_cascade(levels: list[Bloom], key: Column) -> Column:
     """Exact for keys of the universe that the levels were built over."""
     out = F.lit(len(levels) % 2 == 1)
     for i in range(len(levels), 0, -1):
