@@ -193,13 +193,13 @@ def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ()) -> DataFrame:
     Empty and null texts have zero features and are scored like any other.  Null and repeated doc_ids
     pass through; an empty table gives no rows; columns not named are ignored.
     """
-    kept = docs.select("doc_id", "text", *keep)
+    names = list(dict.fromkeys(("doc_id", *keep)))
+    kept = docs.select(*names, *(() if "text" in names else ("text",)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t.as_py()) for t in b["text"]], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(model.score(x), pa.float64())], [*names, "score"])
 
-    names = ["doc_id", *([c for c in keep if c not in ("doc_id",)])]
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names)
     return kept.mapInArrow(run, f"{schema}, score double")
