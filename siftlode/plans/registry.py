@@ -1,4 +1,7 @@
 """Registered queries and their SQL over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from siftlode.plans import queries_catalog
+
+_ALL = (queries_catalog,)
+QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
