@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions import vocab
+from siftlode.functions.plan import barrier
 from siftlode.functions.text import CJK, NOT_S, S, encode_component, matches, sub, trim
 
 HTTP = r"(?i)^https?://.+"
@@ -67,7 +68,7 @@ def normalize_url(raw: Column, candidate: Column | None = None) -> Column:
 
 def with_url(df: DataFrame, url: str = "url", into: str = "norm") -> DataFrame:
     """df + struct into, by way of a column for the stripped url so that it is worked out once a row."""
-    return df.withColumn("__candidate", strip_decorations(F.col(url))).withColumn(into, normalize_url(F.col(url), F.col("__candidate"))).drop("__candidate")
+    return barrier(df.withColumn("__candidate", strip_decorations(F.col(url))).withColumn(into, normalize_url(F.col(url), F.col("__candidate")))).drop("__candidate")
 
 
 def host_key(raw: Column) -> Column:
