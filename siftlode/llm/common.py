@@ -72,9 +72,8 @@ def id_array(column: pa.Array) -> pa.Array:
     return column.cast(pa.int64())
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels of 0..n-1 under the links i-j: the smallest index of each connected set."""
-    lab = np.arange(n)
+def hook(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest index of its set) after the sets of the links i-j are joined."""
     while len(i):
         a, b = lab[i], lab[j]
         open_ = a != b

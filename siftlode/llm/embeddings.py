@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, small, spanning
+from siftlode.llm.common import components, cut, hook, small
 
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
 BLOCK = 4096
@@ -91,7 +91,7 @@ def _compare(how: Hashing, threshold: float):
         ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
         table, block = rows["t"].to_numpy(), rows["block"].to_numpy()
         vectors = rows["embedding"].combine_chunks()
-        found_i, found_j = [], []
+        lab, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         for lo, hi in zip(first[several].tolist(), last[several].tolist(), strict=True):
             v = _matrix(vectors.slice(lo, hi - lo))
             across = block[lo] != block[hi - 1]  # a part of two blocks: pairs within one belong elsewhere
@@ -109,17 +109,14 @@ def _compare(how: Hashing, threshold: float):
                         k = how.keys(v[used])
                         same = k[where[: len(a)]] == k[where[len(a) :]]
                         new = same.argmax(axis=1) == table[lo + a]
-                        found_i.append(lo + a[new])
-                        found_j.append(lo + b[new])
-        if not found_i:
-            return
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
-        n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        lab = spanning(len(ids), i, j)
+                        a, b = lo + a[new], lo + b[new]
+                        np.add.at(n, a, copies[b])
+                        np.add.at(n, b, copies[a])
+                        lab = hook(lab, a, b)
         a = np.flatnonzero(lab != np.arange(len(ids)))
         c = np.flatnonzero(n)
         kind = np.r_[np.zeros(len(a), np.int32), np.ones(len(c), np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[ids[a], ids[c]]), pa.array(np.r_[ids[lab[a]], n[c].astype(np.int64)])], ["kind", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[ids[a], ids[c]]), pa.array(np.r_[ids[lab[a]], n[c]])], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

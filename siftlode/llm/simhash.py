@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, small, spanning
+from siftlode.llm.common import components, cut, hook, small
 
 SEGMENTS, WIDTH = 4, 16
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
@@ -75,43 +75,44 @@ def _chain_masks(start: int, tau: int) -> list[tuple[np.uint64, int]]:
     return out
 
 
-def _links(fp: np.ndarray, run: np.ndarray, start: np.ndarray, tau: int, refine: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in fp (sorted by run) with equal run whose chains and full distance stay in budget."""
-    out_i, out_j = [], []
-    if not len(fp):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _connected(fp: np.ndarray, run: np.ndarray, start: np.ndarray, tau: int, refine: bool = True) -> np.ndarray:
+    """Labels of fp (sorted by run) under the links between places of equal run whose chains and full
+    distance stay in budget.  Pairs already connected are not compared again and links are joined as they
+    are found, so neither work nor memory follows the number of pairs of a dense run."""
+    lab = np.arange(len(fp))
+    if len(fp) < 2:
+        return lab
     first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     length = np.diff(np.r_[first, len(run)])
+    short = np.ones(len(fp), bool)
     if refine:
-        for f, n in zip(first[length > RUN], length[length > RUN], strict=True):
-            # three differing bits cannot touch all four quarters of any 64 bits: some 16-bit quarter
-            # of a mixed-up order agrees, so the run falls into four sets of smaller runs
+        short = np.repeat(length <= RUN, length)
+        for f, n in zip(first[length > RUN].tolist(), length[length > RUN].tolist(), strict=True):
+            # three differing bits cannot touch all four sets of every fourth bit: one of them agrees,
+            # so the run falls into four times as many smaller ones
             x = fp[f : f + n]
             for q in range(4):
-                mask = np.uint64(0x1111111111111111 << q)
-                order = np.argsort(x & mask, kind="stable")
-                i, j = _links(x[order], (x & mask)[order], np.full(n, start[f]), tau, refine=False)
-                out_i.append(f + order[i])
-                out_j.append(f + order[j])
+                part = x & np.uint64(0x1111111111111111 << q)
+                order = np.argsort(part, kind="stable")
+                sub = _connected(x[order], part[order], np.full(n, start[f]), tau, refine=False)
+                lab = hook(lab, f + order, f + order[sub])
     chains = [_chain_masks(s, tau) for s in range(SEGMENTS)]
     masks = [np.array([c[level][0] for c in chains], np.uint64) for level in range(SEGMENTS)]
     budgets = [chains[0][level][1] for level in range(SEGMENTS)]
-    short = np.ones(len(fp), bool)
-    if refine:
-        short = np.repeat(length <= RUN, length)
-    at = np.flatnonzero(short[:-1] & (run[1:] == run[:-1])) if len(fp) > 1 else np.zeros(0, np.int64)
+    at = np.flatnonzero(short[:-1] & (run[1:] == run[:-1]))
     step = 1
     while len(at):
-        i, j = at, at + step
+        i = at[lab[at] != lab[at + step]]
         for level in range(1, SEGMENTS):
-            near = np.bitwise_count((fp[i] ^ fp[j]) & masks[level][start[i]]) <= budgets[level]
-            i, j = i[near], j[near]
-        out_i.append(i)
-        out_j.append(j)
+            i = i[np.bitwise_count((fp[i] ^ fp[i + step]) & masks[level][start[i]]) <= budgets[level]]
+        lab = hook(lab, i, i + step)
+        if step % 16 == 0:  # runs that are one set by now are done
+            whole = np.repeat(np.minimum.reduceat(lab, first) == np.maximum.reduceat(lab, first), length)
+            at = at[~whole[at]]
         step += 1
         at = at[at + step < len(fp)]
         at = at[run[at + step] == run[at]]
-    return np.concatenate(out_i or [np.zeros(0, np.int64)]), np.concatenate(out_j or [np.zeros(0, np.int64)])
+    return lab
 
 
 def _compare(tau: int):
@@ -121,8 +122,7 @@ def _compare(tau: int):
         fp = rows["fp"].to_numpy().view(np.uint64)
         bucket, part = rows["bucket"].to_numpy(), rows["part"].to_numpy()
         run = np.cumsum(np.r_[0, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]) if len(fp) else bucket
-        i, j = _links(fp, run, rows["start"].to_numpy(), tau)
-        lab = spanning(len(fp), i, j)
+        lab = _connected(fp, run, rows["start"].to_numpy(), tau)
         moved = np.flatnonzero(lab != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[lab[moved]].view(np.int64))], ["a", "b"])
 
