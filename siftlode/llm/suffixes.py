@@ -187,19 +187,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_spans(docs: DataFrame) -> DataFrame:
     """_keyed docs -> did, row, start_word, end_word, removed, first_id: see repeated_spans()."""
     suffixes = cut(suffix_rows(docs))
-    shared = suffixes.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    # the sums are tables of their own, so that the joins are plain ones whose hot keys can be split
+    shared = cut(suffixes.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("key").alias("k")))
     known = cut(suffixes.join(shared, suffixes.key == shared.k).groupBy("did").agg(F.collect_set("key").alias("known")))
-    drop(suffixes)
+    drop(suffixes, shared)
     texts = docs.select("did", "row", "text")
     maybe = _maybe(known)
     if maybe is not None:
         texts = texts.where(maybe)
     windows = cut(texts.join(known, "did").select("did", "row", "text", "known").mapInArrow(_window_rows, "h long, did long, row long, start int"))
     drop(known)
-    firsts = windows.groupBy(F.col("h").alias("fh")).agg(F.min("did").alias("first"), F.max("did").alias("hi")).where("first < hi").select("fh", "first")
+    firsts = cut(windows.groupBy(F.col("h").alias("fh")).agg(F.min("did").alias("first"), F.max("did").alias("hi")).where("first < hi").select("fh", "first"))
     hits = windows.join(firsts, windows.h == firsts.fh).groupBy("did", "row").agg(F.collect_list(F.struct("start", "first")).alias("found"))
     spans = cut(hits.mapInArrow(_merge, "did long, row long, start_word int, end_word int, removed boolean, first_id long"))
-    drop(windows)
+    drop(windows, firsts)
     return spans
 
 
