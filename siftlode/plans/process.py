@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions.plan import barrier
-from siftlode.operators import audit, dedupe, judge, names, urls
+from siftlode.operators import audit, dedupe, judge, names, probes, urls
 from siftlode.rules import chain
 from siftlode.sources import sinks
 
@@ -70,6 +70,15 @@ class Report:
             F.count("*").alias("input_total"), c(F.col("kept")).alias("output_total"), c(~F.col("after_dedupe")).alias("duplicate_count"), c(F.col("removed_reason").startswith("Duplicate of")).alias("exact_duplicate_count"),
             c(F.col("removed_reason").startswith("Excluded:")).alias("unavailable_count"), c(st == "STRUCTURE_OK").alias("ok_count"), c(st == "STRUCTURE_WARN").alias("warn_count"), c(st == "STRUCTURE_INVALID").alias("invalid_count"))
 
+    def duplicate_risk(self) -> DataFrame:
+        """Each group's survivor beside each other member; a group kept for its conflicts is of high risk."""
+        pairs = self.groups.select("group_key", "kept_idx", "dup_risk", "reason", F.explode("diffs").alias("d")) if "diffs" in self.groups.columns else None
+        if pairs is None:
+            return self.groups.select("group_key", "kept_idx").where(F.lit(False))
+        side = lambda p: self.reviewed.select(F.col("idx").alias(f"{p}_i"), F.col("name").alias(f"{p}_name"), F.col("category").alias(f"{p}_category"))
+        both = pairs.join(side("kept"), F.col("kept_idx") == F.col("kept_i")).join(side("removed"), F.col("d.removed_idx") == F.col("removed_i"))
+        return both.select("group_key", "kept_idx", F.col("d.removed_idx").alias("removed_idx"), "kept_name", "removed_name", "kept_category", "removed_category", F.col("d.rule_differences").alias("rule_differences"), F.col("d.type_conflict").alias("type_conflict"), F.when(F.col("dup_risk"), "high").otherwise("low").alias("risk"), "reason")
+
     def checks(self) -> DataFrame:
         s = self.summary().first()
         out = self.output()
@@ -80,10 +89,10 @@ class Report:
 
     def write(self, out_dir: str, pretty: bool = True) -> None:
         """Folders of JSON and CSV under out_dir; groups are partitioned by file key."""
-        o, rows = self.options, self.reviewed
-        body = sinks.rebuilt(self.kept, o.write_meta, o.write_normalized_url) if "raw" in rows.columns else self.output().select("idx", F.to_json(F.struct(*[c for c in self.output().columns if c != "file_key"])).alias("json"))
+        o, rows, out = self.options, self.reviewed, self.output()
+        body = sinks.rebuilt(self.kept, o.write_meta, o.write_normalized_url) if "raw" in rows.columns else out.select("idx", F.to_json(F.struct(*[c for c in out.columns if c != "file_key"])).alias("json"))
         body.select("json").write.mode("overwrite").text(f"{out_dir}/cleaned-sources")
-        keyed = self.output().select("idx", "file_key").withColumnRenamed("idx", "kidx")
+        keyed = out.select("idx", "file_key").withColumnRenamed("idx", "kidx")
         body.join(keyed, F.col("idx") == F.col("kidx")).select("file_key", "json").write.mode("overwrite").partitionBy("file_key").text(f"{out_dir}/groups")
         flat = rows.drop("raw", "k")
         for name, cond in (("all-sources-reviewed", None), ("reports/structural-invalid", "structure.status = 'STRUCTURE_INVALID'"), ("reports/unavailable", "availability in ('dead', 'timeout', 'forbidden')"), ("reports/risky", "availability in ('unknown', 'complex_unverified') or confidence in ('low', 'conflict') or size(risks) > 0")):
@@ -92,7 +101,19 @@ class Report:
         self.checks().write.mode("overwrite").json(f"{out_dir}/reports/output-consistency")
         sinks.write_csv(rows, sinks.sources_csv(rows), f"{out_dir}/reports/sources.csv")
         sinks.write_csv(self.groups, sinks.duplicates_csv(), f"{out_dir}/reports/duplicates.csv")
-        sinks.write_csv(audit.dirty_names(self.output()), {c: F.col(c) for c in ("file", "idx", "name", "url", "issues", "suggestion")}, f"{out_dir}/reports/dirty-names.csv", audit=True)
+        reasons = F.array_join("structure.reasons", "; ")
+        audits = {
+            "dirty-names": (audit.dirty_names(out), None),
+            "group-mismatches": (audit.group_mismatches(out), None),
+            "cleaned-vs-groups-diff": (audit.group_diffs(out, out), None),
+            "duplicate-risk": (self.duplicate_risk(), None),
+            "structural-invalid": (rows.where("structure.status = 'STRUCTURE_INVALID'"), {"originalIndex": F.col("idx"), "name": F.col("name"), "url": F.col("url"), "validationStatus": F.col("structure.status"), "missingFields": reasons}),
+            "unavailable": (rows.where("availability in ('dead', 'timeout', 'forbidden')"), {"originalIndex": F.col("idx"), "name": F.col("name"), "url": F.col("url"), "availability": F.col("availability"), "reason": F.col("removed_reason"), "statusCode": F.col("connectivity")}),
+        }
+        for name, (found, columns) in audits.items():
+            sinks.write_csv(found, columns or {c: F.col(c) for c in found.columns}, f"{out_dir}/reports/{name}.csv", audit=True)
+        if self.batch is not None:
+            probes.batch_summary(self.batch).write.mode("overwrite").json(f"{out_dir}/reports/batch-summary")
         totals = self.summary().first().asDict()
         sinks.write_text(rows.sparkSession, f"{out_dir}/reports/summary.json", json.dumps(totals, indent=2 if pretty else None, ensure_ascii=False))
         shown = rows.select("idx", "name", "cleaned_name", "category", "availability", "score", "kept", "removed_reason").orderBy("idx")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftlode.functions import times
 from siftlode.functions.text import mask_secret
 from siftlode.operators import audit, dedupe, judge, names, probes, urls
 from siftlode.plans import oracles as O
@@ -275,6 +276,15 @@ def old_timestamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", judge.is_old(F.unix_millis(F.col("ts").cast("timestamp")), AS_OF).alias("old"))
 
 
+_t = "case event_id % 7 when 0 then null when 1 then -5 else 1767225600000 - event_id * event_id * 977 end"
+
+
+@query(f"with e as (select event_id, cast({_t} as bigint) as t from events), d as (select *, 1767225600000 - t as p from e) select event_id, coalesce(strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M:%S'), 'N/A') as shown, case when coalesce(t, 0) <= 0 then '未知' when p // 86400000 > 365 then (p // 86400000 // 365) || '年前' when p // 86400000 > 30 then (p // 86400000 // 30) || '个月前' when p // 86400000 > 0 then (p // 86400000) || '天前' when p // 3600000 > 0 then (p // 3600000) || '小时前' when p // 60000 > 0 then (p // 60000) || '分钟前' else '刚刚' end as ago from d")
+def times_shown(spark, sf_dir):
+    t = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 7 == 1, -5).otherwise(AS_OF - F.col("event_id") * F.col("event_id") * 977).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", times.shown(t).alias("shown"), times.ago(t, AS_OF).alias("ago"))
+
+
 @query("select c_custkey, o_orderkey, o_totalprice from customer left join orders on o_custkey = c_custkey order by o_totalprice desc nulls last, c_custkey, o_orderkey limit 50 offset 50")
 def sort_nulls_last_page(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
