@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.llm import langid, mixing, packing, quality, simhash, suffixes
-from siftlode.llm.common import scratch_dir
+from siftlode.llm.common import cut, drop
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,27 +15,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality model scores at 0.3 or more.  It learns from the labels outside fold 0."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(langid.fold(F.col("doc_id"), 5) != 0)
     model = quality.learn(docs, labels)
-    return quality.score(docs, model, keep=COLUMNS[1:]).where("score >= 0.3").select(*COLUMNS)
+    scored = quality.score(docs, model, keep=tuple(docs.columns), into="__quality")
+    return scored.where("__quality >= 0.3").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that of the smallest doc_id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.select("component_id").distinct().withColumnRenamed("component_id", "doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return simhash.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words or more are cut; n_chars follows the text."""
-    return suffixes.remove_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return suffixes.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target asks for."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("mid"), F.col("h").alias("mh"), "repeats").where("repeats > 0").distinct()
-    keyed = docs.withColumn("h", F.xxhash64("doc_id", "text"))
+    taken = mixing.mix(docs).where("repeats > 0").select(F.col("doc_id").alias("mid"), F.col("h").alias("mh"), "repeats").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64("doc_id", "text").alias("h"))
     mixed = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*COLUMNS)
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("doc.*")
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch_dir(spark)}/siftlode/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        done = cut(stage(spark, docs, sf_dir))
+        drop(docs)
+        docs = done
     return docs

@@ -36,10 +36,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation.  The table is removed by drop() or when the driver exits."""
+    executor costs no recomputation.  The table is removed by drop() or when the driver exits.
+
+    files: at most so many files, by joining partitions of the last stage; give it where that stage
+    follows a shuffle, so that many small partitions do not become as many small files."""
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files)
     path = f"{scratch_dir(spark)}/siftlode/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,6 +68,11 @@ def drop(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+def wave(spark: SparkSession) -> int:
+    """Two tasks a core of the cluster: files enough for a table that is made after a shuffle."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """broadcast() where the counted rows allow it; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -98,28 +108,30 @@ def components(edges: DataFrame) -> DataFrame:
     and jumps are logarithmic.  Every step is an aggregation with partial sums or an equi-join whose
     hot side the adaptive planner can split; no vertex's neighbours are ever gathered.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r")).where("a <> b").distinct())
+    most = wave(edges.sparkSession)
+    e = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r")).where("a <> b").distinct(), most)
+    most = min(most, 1 + e.count() // 250_000)  # later tables have no more rows than this one
     labels = None
     while not e.isEmpty():
-        p = cut(e.groupBy("v").agg(F.min("r").alias("p")))
+        p = cut(e.groupBy("v").agg(F.min("r").alias("p")), most)
         while True:
             y = p.select(F.col("v").alias("yv"), F.col("p").alias("yp"))
-            jumped = cut(p.join(y, p.p == y.yv, "left").select("v", F.coalesce("yp", "p").alias("p"), F.col("yp").isNotNull().alias("moved")))
+            jumped = cut(p.join(y, p.p == y.yv, "left").select("v", F.coalesce("yp", "p").alias("p"), F.col("yp").isNotNull().alias("moved")), most)
             drop(p)
             p = jumped
             if p.where("moved").isEmpty():
                 break
         pv = p.select(F.col("v").alias("id"), F.col("p").alias("to"))
         if labels is None:
-            new = cut(pv.select("id", F.col("to").alias("component")))
+            new = cut(pv.select("id", F.col("to").alias("component")), most)
         else:
             up = pv.select(F.col("id").alias("was"), "to")
             moved = labels.join(up, labels.component == up.was, "left").select("id", F.coalesce("to", "component").alias("component"))
-            new = cut(moved.unionByName(pv.select("id", F.col("to").alias("component"))).groupBy("id").agg(F.min("component").alias("component")))
+            new = cut(moved.unionByName(pv.select("id", F.col("to").alias("component"))).groupBy("id").agg(F.min("component").alias("component")), most)
         left = pv.select(F.col("id").alias("lv"), F.col("to").alias("tv"))
         right = pv.select(F.col("id").alias("lr"), F.col("to").alias("tr"))
         x = e.join(left, e.v == left.lv).join(right, e.r == right.lr, "left").select("tv", F.coalesce("tr", "r").alias("tr"))
-        nxt = cut(x.where("tv <> tr").select(F.greatest("tv", "tr").alias("v"), F.least("tv", "tr").alias("r")).distinct())
+        nxt = cut(x.where("tv <> tr").select(F.greatest("tv", "tr").alias("v"), F.least("tv", "tr").alias("r")).distinct(), most)
         drop(e, p, labels)
         e, labels = nxt, new
     drop(e)

@@ -42,7 +42,7 @@ def template_grams(spark: SparkSession, base: tuple, passages: tuple) -> DataFra
     return grams.withColumn("gram", F.xxhash64("w1", "w2"))
 
 
-def scan(docs: DataFrame, base: tuple = BASE_PHRASES, passages: tuple = PASSAGES, gap: int = 3, cover: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, base: tuple = BASE_PHRASES, passages: tuple = PASSAGES, gap: int = 3, cover: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per found span: rid, doc_id, n_words, t, label, exact,
     start, end (words from 0, end exclusive), cover; and for each document a row with t = -1.
 

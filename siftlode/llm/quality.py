@@ -81,7 +81,7 @@ class Gam:
 
 
 def _edges(x: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
+    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0)
 
 
 def _shallow(g: np.ndarray, h: np.ndarray, leaves: int = 3, reg: float = 1.0) -> np.ndarray:
@@ -187,8 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Gam:
     return fit(x[order], got["y"].to_numpy(float)[order])
 
 
-def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, score, and the columns named in keep, for every row.
+def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = (), into: str = "score") -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, the columns named in keep, and the score, for every row.
 
     Empty and null texts have zero features and are scored like any other.  Null and repeated doc_ids
     pass through; an empty table gives no rows; columns not named are ignored.
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t.as_py()) for t in b["text"]], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(model.score(x), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(model.score(x), pa.float64())], [*names, into])
 
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names)
-    return kept.mapInArrow(run, f"{schema}, score double")
+    return kept.mapInArrow(run, f"{schema}, `{into}` double")

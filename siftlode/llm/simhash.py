@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, hook, small
+from siftlode.llm.common import components, cut, drop, hook, small, wave
 
 SEGMENTS, WIDTH = 4, 16
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
@@ -38,15 +38,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (text, long columns named in keep, ...) -> those columns and fp, the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(len(keep))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*[F.col(c).cast("long").alias(c) for c in keep], "text").mapInArrow(run, ", ".join(f"`{c}` long" for c in keep) + ", fp long")
 
 
 def ring_keys(tau: int = 3) -> list[tuple[int, list[int]]]:
@@ -159,7 +159,7 @@ def fingerprint_links(fps: DataFrame, tau: int = 3, block: int = BLOCK) -> DataF
     keys = [F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket"))
             for start, masks in ring_keys(tau) for n, mask in enumerate(masks)]
     rows = fps.select("fp", F.inline(F.array(*keys)))
-    heavy = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    heavy = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), wave(fps.sparkSession))
     n = heavy.count()
     if n:
         rows = rows.join(small(heavy, n), rows.bucket == heavy.hb, "left")
@@ -183,12 +183,34 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 4
     table gives no rows; other columns are ignored.
     """
     prints = cut(fingerprints(docs, words, seed))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    edges = cut(fingerprint_links(classes.select("fp"), tau))
+    most = wave(docs.sparkSession)
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), most)
+    edges = cut(fingerprint_links(classes.select("fp"), tau), most)
     comp = components(edges)
     linked = classes.join(comp, classes.fp == comp.id, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
-    linked = cut(linked)
+    linked = cut(linked, most)
+    drop(classes, edges)
     roots = linked.groupBy(F.col("component").alias("root")).agg(F.min("first_doc").alias("component_id"))
     named = linked.join(roots, linked.component == roots.root).select(F.col("fp").alias("class_fp"), "component_id")
     out = prints.join(named, prints.fp == named.class_fp)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 42) -> DataFrame:
+    """docs (doc_id, text, ...) -> the same columns, one row of each component of near_duplicates().
+
+    The row of the smallest doc_id stays (null ids come last; of rows with one id, the least hash of
+    the text; of rows equal in both, any one).  An empty table gives no rows.
+    """
+    key = {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "row": F.xxhash64("doc_id", "text")}
+    prints = cut(fingerprints(docs.select("doc_id", "text").withColumns(key), words, seed, ("did", "row")))
+    most = wave(docs.sparkSession)
+    classes = cut(prints.groupBy("fp").agg(F.min(F.struct("did", "row")).alias("first")), most)
+    edges = cut(fingerprint_links(classes.select("fp"), tau), most)
+    comp = components(edges)
+    best = classes.join(comp, classes.fp == comp.id, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
+    best = cut(best.select(F.col("first.did").alias("bd"), F.col("first.row").alias("br")), most)
+    drop(prints, classes, edges)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumns(key).drop("doc_id", "text")
+    kept = rows.join(best, (F.col("did") == F.col("bd")) & (F.col("row") == F.col("br"))).dropDuplicates(["did", "row"])
+    return kept.select("doc.*")
