@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import cut, drop, small
+from siftlode.llm.common import cut, drop, small, wave
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash that each refinement adds; the last reaches all 64.
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
     ))
     goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = cut(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    most = wave(docs.sparkSession)
+    goal = cut(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), most)
     n_sources = goal.count()
 
     edge = goal.where("rest > 0").select("source", "rest", F.lit(None).cast("int").alias("shift"), F.lit(None).cast("long").alias("prefix"), F.lit(True).alias("more"), F.lit(False).alias("last"))
@@ -68,14 +69,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         hist = hist.withColumn("upto", upto).where("upto >= rest and upto - n < rest")
         step = cut(hist.select("source", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest"), F.lit(shift).alias("shift"), F.col("b").alias("prefix"),
-                               (F.col("lo") != F.col("hi")).alias("more"), (2 * (F.col("rest") - (F.col("upto") - F.col("n"))) >= F.col("n")).alias("last")))
+                               (F.col("lo") != F.col("hi")).alias("more"), (2 * (F.col("rest") - (F.col("upto") - F.col("n"))) >= F.col("n")).alias("last")), most)
         stale.append(step)
         found = found.unionByName(step.where("not more"))
         edge = step.where("more")
         if edge.isEmpty():
             break
-    found = cut(found)
-    lines = cut(goal.join(found.select(F.col("source").alias("s"), "shift", "prefix", "last"), goal.source.eqNullSafe(F.col("s")), "left").drop("s", "rest").withColumnRenamed("source", "s"))
+    found = cut(found, most)
+    lines = cut(goal.join(found.select(F.col("source").alias("s"), "shift", "prefix", "last"), goal.source.eqNullSafe(F.col("s")), "left").drop("s", "rest").withColumnRenamed("source", "s"), most)
     drop(found, goal, *stale)
     out = base.join(small(lines, n_sources), base.source.eqNullSafe(F.col("s")))
     under = F.expr("shiftright(h, shift) < prefix or (shiftright(h, shift) = prefix and last)")

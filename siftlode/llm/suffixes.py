@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.bloom import Bloom
-from siftlode.llm.common import cut, drop
+from siftlode.llm.common import cut, drop, wave
 
 #: A passage repeats if this many words in a row do.
 MIN_WORDS = 50
@@ -34,15 +33,17 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(2)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def _pow(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(1 << 16, 1 << (n - 1).bit_length()))[:n]
+    """The first n powers; the table of each base grows as it has to."""
+    table = _TABLES.get(base)
+    if table is None or len(table) < n:
+        table = np.full(max(1 << 16, 1 << (n - 1).bit_length()), base, np.uint64)
+        table[0] = 1
+        table = _TABLES[base] = np.multiply.accumulate(table)
+    return table[:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -186,20 +187,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """_keyed docs -> did, row, start_word, end_word, removed, first_id: see repeated_spans()."""
+    most = wave(docs.sparkSession)
     suffixes = cut(suffix_rows(docs))
     # the sums are tables of their own, so that the joins are plain ones whose hot keys can be split
-    shared = cut(suffixes.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("key").alias("k")))
-    known = cut(suffixes.join(shared, suffixes.key == shared.k).groupBy("did").agg(F.collect_set("key").alias("known")))
+    shared = cut(suffixes.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("key").alias("k")), most)
+    known = cut(suffixes.join(shared, suffixes.key == shared.k).groupBy("did").agg(F.collect_set("key").alias("known")), most)
     drop(suffixes, shared)
     texts = docs.select("did", "row", "text")
     maybe = _maybe(known)
     if maybe is not None:
         texts = texts.where(maybe)
-    windows = cut(texts.join(known, "did").select("did", "row", "text", "known").mapInArrow(_window_rows, "h long, did long, row long, start int"))
+    windows = cut(texts.join(known, "did").select("did", "row", "text", "known").mapInArrow(_window_rows, "h long, did long, row long, start int"), 4 * most)
     drop(known)
-    firsts = cut(windows.groupBy(F.col("h").alias("fh")).agg(F.min("did").alias("first"), F.max("did").alias("hi")).where("first < hi").select("fh", "first"))
+    firsts = cut(windows.groupBy(F.col("h").alias("fh")).agg(F.min("did").alias("first"), F.max("did").alias("hi")).where("first < hi").select("fh", "first"), most)
     hits = windows.join(firsts, windows.h == firsts.fh).groupBy("did", "row").agg(F.collect_list(F.struct("start", "first")).alias("found"))
-    spans = cut(hits.mapInArrow(_merge, "did long, row long, start_word int, end_word int, removed boolean, first_id long"))
+    spans = cut(hits.mapInArrow(_merge, "did long, row long, start_word int, end_word int, removed boolean, first_id long"), most)
     drop(windows, firsts)
     return spans
 
@@ -259,7 +261,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
     keyed = _keyed(keyed).drop("doc_id", "text")
     spans = find_spans(_keyed(docs.select("doc_id", "text"))).where("removed")
-    spans = cut(spans.groupBy(F.col("did").alias("sd"), F.col("row").alias("sr")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
+    spans = cut(spans.groupBy(F.col("did").alias("sd"), F.col("row").alias("sr")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), wave(docs.sparkSession))
     maybe = _maybe(spans.select(F.col("sd").alias("did")).distinct())
     some = keyed if maybe is None else keyed.where(maybe)
     joined = some.join(spans, (F.col("did") == F.col("sd")) & (F.col("row") == F.col("sr")), "left")
