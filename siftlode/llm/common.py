@@ -69,10 +69,16 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 def wave(spark: SparkSession) -> int:
-    """Two tasks a core of the cluster: files enough for a table that is made after a shuffle."""
+    """Two tasks a core of the cluster: files enough for a table of a bounded number of rows."""
     return 2 * spark.sparkContext.defaultParallelism
 
 
+def files_for(table: DataFrame, mb: int = 4) -> int:
+    """Files for what is made of a written table by a shuffle: one for every mb of it, a wave at least."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 20, max(wave(table.sparkSession), -(-size // (mb << 20))))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """broadcast() where the counted rows allow it; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -108,9 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
     and jumps are logarithmic.  Every step is an aggregation with partial sums or an equi-join whose
     hot side the adaptive planner can split; no vertex's neighbours are ever gathered.
     """
-    most = wave(edges.sparkSession)
-    e = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r")).where("a <> b").distinct(), most)
-    most = min(most, 1 + e.count() // 250_000)  # later tables have no more rows than this one
+    e = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r")).where("a <> b").distinct(), files_for(edges))
+    most = 1 + e.count() // 250_000  # later tables have no more rows than this one
     labels = None
     while not e.isEmpty():
         p = cut(e.groupBy("v").agg(F.min("r").alias("p")), most)

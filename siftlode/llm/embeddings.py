@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, drop, hook, small, wave
+from siftlode.llm.common import components, cut, drop, files_for, hook, small
 
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
 BLOCK = 4096
@@ -145,7 +145,7 @@ def link_vectors(classes: DataFrame, threshold: float, how: Hashing, block: int
     rows = classes.select("id", "copies", "embedding").mapInArrow(_bucket_rows(how), "bucket long, t int, id long, copies long, embedding array<float>")
     rows = table = cut(rows)
     sizes = rows.groupBy("bucket").count()
-    heavy = cut(sizes.where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), wave(classes.sparkSession))
+    heavy = cut(sizes.where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), files_for(table))
     n = heavy.count()
     if n:
         rows = rows.join(small(heavy, n), rows.bucket == heavy.hb, "left")
@@ -156,7 +156,7 @@ def link_vectors(classes: DataFrame, threshold: float, how: Hashing, block: int
         rows = rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("part"))
     dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "block", "id")
     found = dealt.select("bucket", "part", "block", "t", "id", "copies", "embedding").mapInArrow(_compare(how, threshold), "kind int, a long, b long")
-    found = cut(found, wave(classes.sparkSession))
+    found = cut(found, files_for(table))
     drop(table, heavy)
     return found
 
@@ -177,15 +177,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     good = F.coalesce(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, e.cast("array<float>")).alias("embedding"))
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), wave(vectors.sparkSession))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), files_for(vectors))
     how = how or Hashing.planned(classes.count(), threshold, recall)
     found = link_vectors(classes, threshold, how)
     degree = found.where("kind = 1").groupBy(F.col("a").alias("did")).agg(F.sum("b").alias("others"))
     comp = components(found.where("kind = 0").select("a", "b"))
     named = classes.join(comp.withColumnRenamed("id", "cid"), classes.id == F.col("cid"), "left").join(degree, classes.id == F.col("did"), "left")
-    named = cut(named.select("embedding", "first_id", F.coalesce("component", "id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), wave(vectors.sparkSession))
+    named = cut(named.select("embedding", "first_id", F.coalesce("component", "id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), files_for(classes))
     roots = named.groupBy(F.col("component").alias("root")).agg(F.min("first_id").alias("component_id"))
     named = named.join(roots, named.component == roots.root).select(F.col("embedding").alias("e"), "n_links", "component_id")
-    out = rows.join(named, rows.embedding == named.e, "left")
+    out = rows.join(named, rows.embedding == named.e, "left").coalesce(files_for(classes))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, drop, hook, small, wave
+from siftlode.llm.common import components, cut, drop, files_for, hook, small
 
 SEGMENTS, WIDTH = 4, 16
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
@@ -159,7 +159,7 @@ def fingerprint_links(fps: DataFrame, tau: int = 3, block: int = BLOCK) -> DataF
     keys = [F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket"))
             for start, masks in ring_keys(tau) for n, mask in enumerate(masks)]
     rows = fps.select("fp", F.inline(F.array(*keys)))
-    heavy = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), wave(fps.sparkSession))
+    heavy = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), files_for(fps))
     n = heavy.count()
     if n:
         rows = rows.join(small(heavy, n), rows.bucket == heavy.hb, "left")
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 4
     table gives no rows; other columns are ignored.
     """
     prints = cut(fingerprints(docs, words, seed))
-    most = wave(docs.sparkSession)
+    most = files_for(prints)
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), most)
     edges = cut(fingerprint_links(classes.select("fp"), tau), most)
     comp = components(edges)
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 4
     roots = linked.groupBy(F.col("component").alias("root")).agg(F.min("first_doc").alias("component_id"))
     named = linked.join(roots, linked.component == roots.root).select(F.col("fp").alias("class_fp"), "component_id")
     out = prints.join(named, prints.fp == named.class_fp)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").coalesce(most)
 
 
 def keep_first(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 42) -> DataFrame:
@@ -204,7 +204,7 @@ def keep_first(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 42) ->
     """
     key = {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "row": F.xxhash64("doc_id", "text")}
     prints = cut(fingerprints(docs.select("doc_id", "text").withColumns(key), words, seed, ("did", "row")))
-    most = wave(docs.sparkSession)
+    most = files_for(prints)
     classes = cut(prints.groupBy("fp").agg(F.min(F.struct("did", "row")).alias("first")), most)
     edges = cut(fingerprint_links(classes.select("fp"), tau), most)
     comp = components(edges)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.bloom import Bloom
-from siftlode.llm.common import cut, drop, wave
+from siftlode.llm.common import cut, drop, files_for
 
 #: A passage repeats if this many words in a row do.
 MIN_WORDS = 50
@@ -187,8 +187,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """_keyed docs -> did, row, start_word, end_word, removed, first_id: see repeated_spans()."""
-    most = wave(docs.sparkSession)
     suffixes = cut(suffix_rows(docs))
+    most = files_for(suffixes)
     # the sums are tables of their own, so that the joins are plain ones whose hot keys can be split
     shared = cut(suffixes.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("key").alias("k")), most)
     known = cut(suffixes.join(shared, suffixes.key == shared.k).groupBy("did").agg(F.collect_set("key").alias("known")), most)
@@ -198,6 +198,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     if maybe is not None:
         texts = texts.where(maybe)
     windows = cut(texts.join(known, "did").select("did", "row", "text", "known").mapInArrow(_window_rows, "h long, did long, row long, start int"), 4 * most)
+    most = files_for(windows)
     drop(known)
     firsts = cut(windows.groupBy(F.col("h").alias("fh")).agg(F.min("did").alias("first"), F.max("did").alias("hi")).where("first < hi").select("fh", "first"), most)
     hits = windows.join(firsts, windows.h == firsts.fh).groupBy("did", "row").agg(F.collect_list(F.struct("start", "first")).alias("found"))
@@ -260,8 +261,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
     keyed = _keyed(keyed).drop("doc_id", "text")
-    spans = find_spans(_keyed(docs.select("doc_id", "text"))).where("removed")
-    spans = cut(spans.groupBy(F.col("did").alias("sd"), F.col("row").alias("sr")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), wave(docs.sparkSession))
+    spans = find_spans(_keyed(docs.select("doc_id", "text")))
+    most = files_for(spans)
+    spans = spans.where("removed")
+    spans = cut(spans.groupBy(F.col("did").alias("sd"), F.col("row").alias("sr")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), most)
     maybe = _maybe(spans.select(F.col("sd").alias("did")).distinct())
     some = keyed if maybe is None else keyed.where(maybe)
     joined = some.join(spans, (F.col("did") == F.col("sd")) & (F.col("row") == F.col("sr")), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.bloom import Bloom
-from siftlode.llm.common import cut, drop, wave
+from siftlode.llm.common import cut, drop, files_for
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ow
         keys = [k for k, v in listed if v == side]
         sides[side] = F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")
     flags = [F.array_contains(c, F.col("key")).alias(side) for side, c in sides.items()]
-    universe = cut(urls.select(F.explode("keys").alias("key")).groupBy("key").agg(F.lit(1).alias("one")).select("key", *flags), wave(pages.sparkSession))
+    universe = cut(urls.select(F.explode("keys").alias("key")).groupBy("key").agg(F.lit(1).alias("one")).select("key", *flags), files_for(pages))
     cascade = {side: build_cascade(universe, side) for side in sides}
     drop(universe)
 
