@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import langid, mixing, packing, quality, simhash, suffixes
+from siftlode.llm import langid, minhash, mixing, packing, quality, suffixes
 from siftlode.llm.common import cut, drop
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each set of near copies (5-word Jaccard 0.8, or the SimHash rule): that of the smallest doc_id."""
+    return minhash.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

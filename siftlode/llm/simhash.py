@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.common import components, cut, drop, files_for, hook, small
@@ -196,21 +196,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 4
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").coalesce(most)
 
 
+def row_key() -> dict[str, Column]:
+    """What tells rows apart: the id, null ones last, and a hash of the row."""
+    return {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "row": F.xxhash64("doc_id", "text")}
+
+
+def first_rows(docs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The row of docs that comes first in each component; classes (fp, first: struct of row_key())."""
+    best = classes.join(comp, classes.fp == comp.id, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
+    best = cut(best.select(F.col("first.did").alias("bd"), F.col("first.row").alias("br")), files_for(classes))
+    drop(classes)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumns(row_key()).drop("doc_id", "text")
+    kept = rows.join(best, (F.col("did") == F.col("bd")) & (F.col("row") == F.col("br"))).dropDuplicates(["did", "row"])
+    return kept.select("doc.*")
+
+
 def keep_first(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 42) -> DataFrame:
     """docs (doc_id, text, ...) -> the same columns, one row of each component of near_duplicates().
 
     The row of the smallest doc_id stays (null ids come last; of rows with one id, the least hash of
     the text; of rows equal in both, any one).  An empty table gives no rows.
     """
-    key = {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "row": F.xxhash64("doc_id", "text")}
-    prints = cut(fingerprints(docs.select("doc_id", "text").withColumns(key), words, seed, ("did", "row")))
+    prints = cut(fingerprints(docs.select("doc_id", "text").withColumns(row_key()), words, seed, ("did", "row")))
     most = files_for(prints)
     classes = cut(prints.groupBy("fp").agg(F.min(F.struct("did", "row")).alias("first")), most)
     edges = cut(fingerprint_links(classes.select("fp"), tau), most)
     comp = components(edges)
-    best = classes.join(comp, classes.fp == comp.id, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
-    best = cut(best.select(F.col("first.did").alias("bd"), F.col("first.row").alias("br")), most)
-    drop(prints, classes, edges)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumns(key).drop("doc_id", "text")
-    kept = rows.join(best, (F.col("did") == F.col("bd")) & (F.col("row") == F.col("br"))).dropDuplicates(["did", "row"])
-    return kept.select("doc.*")
+    out = first_rows(docs, classes, comp)
+    drop(prints, edges)
+    return out
