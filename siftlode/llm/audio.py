@@ -110,11 +110,14 @@ def log_mel(x: np.ndarray, hz: int) -> tuple[np.ndarray, np.ndarray]:
 
 def segments(db: np.ndarray, spread: float = 0.5) -> list[tuple[int, int]]:
     """Hysteresis: a segment begins where the energy reaches mean + spread * deviation and ends where it
-    falls under mean - spread * deviation.  Energy that never varies is one segment."""
+    falls under mean - spread * deviation.  Where a few quiet frames put that level out of reach of most,
+    the 90th percentile (the mean at least) takes its place, so that there is always a segment.  Energy
+    that never varies is one segment."""
     mean, sd = float(db.mean()), float(db.std())
     if sd < 1e-3:
         return [(0, len(db))]
-    mark = np.where(db >= mean + spread * sd, 1, np.where(db < mean - spread * sd, -1, 0))
+    level = min(mean + spread * sd, max(mean, float(np.percentile(db, 90))), float(db.max()))
+    mark = np.where(db >= level, 1, np.where(db < mean - spread * sd, -1, 0))
     last = np.maximum.accumulate(np.where(mark != 0, np.arange(len(db)), -1))
     on = np.where(last >= 0, mark[last], -1) > 0
     edges = np.flatnonzero(np.diff(np.r_[False, on, False].astype(np.int8)))

@@ -40,3 +40,14 @@ def test_columns(spark):
         assert table.num_rows == r.n_tensors > 0 and table.schema.field("log_mel").type.shape == list(audio.SHAPE)
         assert all(a < b for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True))
     assert got[1].features == got[4].features and got[2].media == got[3].media
+
+
+def test_a_quiet_run_does_not_silence_the_rest():
+    db = np.r_[np.zeros(60), -100.0, np.zeros(39)]
+    assert audio.segments(db) == [(0, 60), (61, 100)]
+    rng = np.random.default_rng(4)
+    prose = lambda: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000))
+    for c in "xz~":
+        payload, _ = audio.payload_of(prose() + c * 1500 + prose())
+        starts = audio.tensors(payload, audio.STORED_HZ).column("start_s").to_numpy()
+        assert (starts < 0.6).any() and (starts > 0.9).any()
