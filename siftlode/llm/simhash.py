@@ -156,7 +156,7 @@ def fingerprint_links(fps: DataFrame, tau: int = 3, block: int = BLOCK) -> DataF
     Each fingerprint goes to eight buckets, by ring start and half of the second segment.  A bucket of
     more than `block` members is cut into blocks by hash and every pair of blocks is compared by itself.
     """
-    keys = [F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket"))
+    keys = [F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(start), F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket"))
             for start, masks in ring_keys(tau) for n, mask in enumerate(masks)]
     rows = fps.select("fp", F.inline(F.array(*keys)))
     heavy = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), files_for(fps))

@@ -91,3 +91,16 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.near_duplicates(empty).collect() == []
     some = spark.createDataFrame([(None, "a b c d"), (None, "q r s t u")], "doc_id long, text string")
     assert {r.component_id for r in simhash.near_duplicates(some).collect()} == {None}
+
+
+def test_buckets_of_two_starts_stay_apart(spark):
+    rng = np.random.default_rng(8)
+    # segment 1 and the low half of segment 2 are zero, as are the same bits one start before in the first row
+    x = 5 | 0x0100 << 32 | 0x4421 << 48
+    y = x ^ (1 << 3 | 1 << 7 | 1 << 45)  # three bits apart, within budget from start 1 only
+    fill = {int(a) | int(b) << 40 | int(c) << 48 for a, b, c in zip(rng.integers(1, 1 << 16, 300), rng.integers(0, 1 << 8, 300), rng.integers(1, 1 << 15, 300), strict=True)}
+    fps = sorted({1 << 24, x, y} | fill)
+    want = {f: fps[g] for f, g in zip(fps, groups(fps), strict=True)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {r.id % (1 << 64): r.component % (1 << 64) for r in simhash.components(simhash.fingerprint_links(df)).collect()}
+    assert want[x] == want[y] and got.get(x, x) == got.get(y, y)
