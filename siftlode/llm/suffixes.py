@@ -213,11 +213,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Suffixes are retained where a gram of 8 words is the least of 16, which depends on the words alone,
     so a passage of 50 words has such a position among its first 16, the same in every copy.  Suffixes
-    are put in order by the hash of their next 35 words, a prefix that lies inside the passage; equal
-    neighbours of different documents are the candidates (counted with partial sums, so a passage of
-    a third of all documents is combined before the shuffle).  Candidates are then extended left and
-    right to whole passages of 50 words, compared the same way, and overlapping ones merged: a span is
-    exactly the union of the 50-word passages that occur in two documents.  removed: the passage stands
+    are not sorted: they are grouped by the 64-bit hash of their next 35 words, a prefix that lies inside
+    the passage (with partial sums, so a passage of a third of all documents is combined before the
+    shuffle).  Every 50-word window with a suffix found in different documents is then grouped by its own
+    64-bit hash, which takes the place of extending matches, and overlapping windows are merged: a span
+    is the union of the 50-word passages that occur in two documents, as far as equal hashes mean equal
+    words, which are not compared.  removed: the passage stands
     in a document of smaller id; where it is false, this is the first copy.
 
     Null, empty and short texts have no passages.  Rows with the same doc_id are one document, null ids
