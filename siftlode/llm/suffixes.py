@@ -7,21 +7,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.bloom import Bloom
-from siftlode.llm.common import cut, drop, files_for
+from siftlode.llm.common import cut, drop, files_for, small
 
 #: A passage repeats if this many words in a row do.
 MIN_WORDS = 50
 #: Words of a minimiser's gram, and grams among which the least is retained.
-GRAM, WINDOW = 8, 16
-#: Words that follow a retained position inside any passage of MIN_WORDS that it is the first minimiser of.
+GRAM, WINDOW = 8, 32
+#: Words from a retained position that lie inside any passage which it is retained for.
 SUFFIX = MIN_WORDS - WINDOW + 1
+#: Suffixes of one key that a task compares word by word; more are compared as passages, over all tasks.
+RUN = 20_000
 #: Bytes hashed at once.
 CHUNK = 1 << 20
-LAST_ID = (1 << 63) - 1
+#: Bytes of results in one batch.
+OUT_BYTES = 4 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 _SPACE = np.zeros(256, bool)
@@ -72,6 +77,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
+    gap = _SPACE[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n words in a row."""
     if len(h) < n:
@@ -88,68 +100,271 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, least gram of each window, positions retained: those least in some window, all of ties)."""
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Retained positions, and of each the least and greatest start of the passages it stands for.
+
+    A passage of MIN_WORDS words is stood for by the least gram (the leftmost of ties) among its first
+    WINDOW, which its own words alone decide; the starts that share a position are a range."""
+    n = len(h) - MIN_WORDS + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 3
     g = rolling(h, GRAM)
-    if len(g) < WINDOW:
-        none = np.zeros(0, np.uint64)
-        return g, none, none.astype(np.int64)
-    least = _sliding(g, WINDOW, np.minimum)
-    fill = np.zeros(WINDOW - 1, np.uint64)
-    return g, least, np.flatnonzero(_sliding(np.r_[fill, least, fill], WINDOW, np.maximum) == g)
+    least = _sliding(np.arange(len(g)), WINDOW, lambda a, b: np.where(g[a] <= g[b], a, b))[:n]
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[first], first, np.r_[first[1:], n] - 1
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
-    """docs (did, text) -> one row for each retained suffix: key, the hash of its first SUFFIX words, and did."""
+    """docs (did, nul, row, text) -> one row for each retained suffix.
+
+    k1, k2: its place in the order of suffixes: its first two words by the upper half of their hashes,
+    then the hash of its first SUFFIX words.  at: its position, the words before and from it that its
+    passages reach over, and nul, in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids = [], []
-            for did, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for did, nul, row, text in zip(b["did"].to_pylist(), b["nul"].to_pylist(), b["row"].to_pylist(), b["text"], strict=True):
                 h = word_hashes(text.as_py())
-                if len(h) < MIN_WORDS:
-                    continue
-                at = minimisers(h)[2]
-                keys.append(np.unique(rolling(h, SUFFIX)[at[at <= len(h) - SUFFIX]]))
-                ids.append(np.full(len(keys[-1]), did))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], ["key", "did"])
+                pos, lo, hi = anchors(h)
+                if len(pos):
+                    k1 = (h[pos] & np.uint64(0xFFFFFFFF00000000)) | h[pos + 1] >> np.uint64(32)
+                    at = ((pos << 8 | pos - lo) << 8 | hi + MIN_WORDS - pos) << 1 | int(nul)
+                    for c, x in zip(cols, (k1.view(np.int64), rolling(h, SUFFIX)[pos].view(np.int64), np.full(len(pos), did), np.full(len(pos), row), at), strict=True):
+                        c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["k1", "k2", "did", "row", "at"])
 
-    return docs.select("did", "text").mapInArrow(run, "key long, did long")
+    return docs.select("did", "nul", "row", "text").mapInArrow(run, "k1 long, k2 long, did long, row long, at long")
 
 
-def candidate_windows(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Starts of the passages of MIN_WORDS whose first minimiser's suffix key is in `known`."""
-    g, least, at = minimisers(h)
-    at = at[at <= len(h) - SUFFIX]
-    repeated = np.zeros(len(g) + WINDOW, bool)
-    repeated[at[np.isin(rolling(h, SUFFIX)[at], known)]] = True
-    n = len(h) - MIN_WORDS + 1
-    hit = np.zeros(n, bool)
-    for o in range(WINDOW):
-        hit |= repeated[o : o + n] & (g[o : o + n] == least[:n])
-    return np.flatnonzero(hit)
+#: What is known of a suffix: its key stands in several documents; undecided, as its run reaches the
+#: edge of a sorted partition; in several documents, and so are those of its key beyond the edge.
+SHARED, OPEN, SHARED_AT_EDGE = 0, 1, 2
+
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes of a partition -> those with a neighbour of the same key in another document.
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        h, did, row, start = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(did), pa.array(row), pa.array(start.astype(np.int32))], ["h", "did", "row", "start"])
+    Only rows of a run that has shown one document so far are held back, and the last row of any run."""
+    held: list[pa.RecordBatch] = []
+    key = doc = None
+    shared, at_start = False, True
+
+    def out(b: pa.RecordBatch, state: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b["k2"], b["did"], b["row"], b["at"], pa.array(np.full(b.num_rows, state, np.int8))], ["key", "did", "row", "at", "state"])
 
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k1, k2, did, nul = b["k1"].to_numpy(), b["k2"].to_numpy(), b["did"].to_numpy(), b["at"].to_numpy() & 1
+        first = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+        last = np.r_[first[1:], len(k1)]
+        apart = np.r_[False, (did[1:] != did[:-1]) | (nul[1:] != nul[:-1])]
+        apart[first] = False
+        several = np.logical_or.reduceat(apart, first)
+        goes_on = key == (k1[0], k2[0])
+        if goes_on:
+            several[0] |= shared or doc != (did[0], nul[0])
+        final = len(first) - 1
+        if not goes_on or several[0] or final:  # what is held is settled
+            met = bool(several[0]) if goes_on else shared
+            for x in held if met or at_start else ():
+                yield out(x, OPEN if not met else SHARED_AT_EDGE if at_start else SHARED)
+            held = []
+        at_start &= key is None or goes_on  # of this batch's first run
+        state = np.full(len(k1), -1, np.int8)
+        state[np.repeat(several, last - first)] = SHARED
+        if at_start:
+            state[: last[0]] = SHARED_AT_EDGE if several[0] else OPEN if final else -1
+        if several[final]:
+            state[-1] = -1
+        for kind in (SHARED, OPEN, SHARED_AT_EDGE):
+            if (state == kind).any():
+                yield out(b.filter(pa.array(state == kind)), kind)
+        held.append(b.slice(len(k1) - 1) if several[final] else b.slice(first[final]))
+        key, doc, shared, at_start = (k1[-1], k2[-1]), (did[-1], nul[-1]), bool(several[final]), at_start and not final
+    for x in held:
+        yield out(x, SHARED_AT_EDGE if shared else OPEN)
+
+
+def shared_suffixes(docs: DataFrame) -> DataFrame:
+    """_keyed docs -> a table (key, did, row, at, state) of the retained suffixes whose first SUFFIX words
+    stand in another document too, as far as equal hashes tell; words are compared later.
+
+    Suffixes are sorted over all partitions and compared with their neighbours.  The documents are part
+    of the order, so a key of a third of all rows is spread over as many partitions as it fills; runs
+    that reach the edge of a partition are settled by their keys, two at most for each partition."""
+    suffixes = cut(suffix_rows(docs))
+    dealt = suffixes.repartitionByRange("k1", "k2", "did", "row").sortWithinPartitions("k1", "k2", "did", "row", "at")
+    found = cut(dealt.mapInArrow(_neighbours, "key long, did long, row long, at long, state byte"), files_for(suffixes))
+    drop(suffixes)
+    doc = F.struct(F.col("did"), F.col("at") % 2)
+    edge = found.where(F.col("state") != SHARED).groupBy(F.col("key").alias("ek")).agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.max("state").alias("most"))
+    edge = cut(edge.where((F.col("most") == SHARED_AT_EDGE) | (F.col("lo") != F.col("hi"))).select("ek"), files_for(found))
+    more = found.where(F.col("state") == OPEN).join(small(edge, edge.count()), F.col("key") == F.col("ek")).drop("ek")
+    hits = cut(found.where(F.col("state") != OPEN).unionByName(more))
+    drop(found, edge)
+    return hits
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their shared suffixes -> for each suffix the words that its passages reach over."""
+    names = ["key", "nul", "did", "row", "before", "words", "pos"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
     for b in batches:
         rows, size = [], 0
-        for did, row, text, known in zip(b["did"].to_pylist(), b["row"].to_pylist(), b["text"], b["known"], strict=True):
-            h = word_hashes(text.as_py())
-            if len(h) < MIN_WORDS:
-                continue
-            at = candidate_windows(h, known.values.to_numpy().view(np.uint64))
-            rows.append((rolling(h, MIN_WORDS)[at], np.full(len(at), did, np.int64), np.full(len(at), row, np.int64), at))
-            size += len(at)
-            if size > 1 << 18:
-                yield batch(rows)
-                rows, size = [], 0
+        for did, row, text, hits in zip(b["did"].to_pylist(), b["row"].to_pylist(), b["text"], b["hits"], strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
+            first, last = word_edges(raw)
+            at = hits.values.field("at").to_numpy()
+            places: dict[tuple, list[int]] = {}  # a text that goes round in circles has each slice once
+            for key, pos, before, after in zip(hits.values.field("key").to_pylist(), (at >> 17).tolist(), (at >> 9 & 255).tolist(), (at >> 1 & 255).tolist(), strict=True):
+                words = b" ".join(raw[first[pos - before] : last[pos + after - 1]].split())
+                places.setdefault((key, before, words), []).append(pos)
+            for (key, before, words), pos in places.items():
+                rows.append((key, bool(at[0] & 1), did, row, before, words, pos))
+                size += len(words) + 4 * len(pos)
+                if size > OUT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows, size = [], 0
         if rows:
-            yield batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _ordered(run: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows by run and words, how many columns each has in common with its neighbour before)."""
+    m = np.ascontiguousarray(np.column_stack([run, words]).astype(">u4"))
+    order = np.argsort(m.view(f"S{4 * m.shape[1]}").ravel(), kind="stable")
+    m = m[order]
+    differs = m[1:] != m[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), m.shape[1]) if len(m) > 1 else np.zeros(0, np.int64)
+    return order, common
+
+
+def _classes(order: np.ndarray, common: np.ndarray, words: int) -> np.ndarray:
+    """Number of the class of each row: equal run and equal first words."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.r_[0, common < words + 1])
+    return out
+
+
+def extended(t: pa.Table) -> list[np.ndarray]:
+    """Whole runs of slices -> row number, words before the suffix at which the repeated passages begin
+    first and last, removed, and the row whose document is the first with such a passage.
+
+    Runs are sorted by the words from the suffix on, and by those before it, read backwards; what
+    neighbours have in common tells how far each match extends to the right and to the left.  A passage
+    beginning o words before the suffix repeats if rows agree in o words to the left and the rest to the right."""
+    key, before = t["key"].to_numpy(), t["before"].to_numpy().astype(np.int64)
+    split = pc.split_pattern(t["words"].combine_chunks(), " ")
+    length = split.value_lengths().to_numpy().astype(np.int64)
+    code = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    off = np.r_[0, np.cumsum(length)[:-1]]
+    after = length - before
+    did, nul = t["did"].to_numpy(), t["nul"].to_numpy()
+    by_doc = np.lexsort((did, nul))
+    rank = np.empty(len(did), np.int64)
+    rank[by_doc] = np.cumsum(np.r_[0, (np.diff(did[by_doc]) != 0) | (nul[by_doc][1:] != nul[by_doc][:-1])])
+    row_of = np.empty(rank.max() + 1, np.int64)
+    row_of[rank] = np.arange(len(did))
+    run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+
+    def words(n: int, have: np.ndarray, step: int) -> np.ndarray:
+        at = (off + before + min(step, 0))[:, None] + step * np.arange(n)
+        return np.where(np.arange(n) < have[:, None], code[np.clip(at, 0, len(code) - 1)], 0)
+
+    right = _ordered(run, words(MIN_WORDS, after, 1))
+    left = _ordered(run, words(WINDOW - 1, before, -1))
+    low, high, first = (np.full((2, len(did)), v) for v in (-1, -1, len(did)))
+    for o in range(WINDOW):
+        has = np.flatnonzero((before >= o) & (after >= MIN_WORDS - o))
+        if len(has) < 2:
+            continue
+        same = _classes(*left, o)[has] * len(did) + _classes(*right, MIN_WORDS - o)[has]
+        order = np.argsort(same, kind="stable")
+        same, has = same[order], has[order]
+        begins = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        size = np.diff(np.r_[begins, len(same)])
+        lo = np.repeat(np.minimum.reduceat(rank[has], begins), size)
+        hit = lo < np.repeat(np.maximum.reduceat(rank[has], begins), size)
+        has, lo = has[hit], lo[hit]
+        kind = (lo < rank[has]).astype(np.int64)
+        low[kind, has] = np.where(low[kind, has] < 0, o, low[kind, has])
+        high[kind, has] = o
+        first[kind, has] = np.minimum(first[kind, has], lo)
+    kind, row = np.nonzero(high >= 0)
+    return [row, high[kind, row], low[kind, row], kind.astype(bool), row_of[first[kind, row]]]
+
+
+_SPAN = "did long, row long, nul boolean, start_word int, end_word int, removed boolean, first_id long, first_nul boolean"
+
+
+def _span_batch(t: pa.Table) -> pa.RecordBatch:
+    row, high, low, removed, first = extended(t)
+    pos = t["pos"].combine_chunks().take(pa.array(row))
+    n = pos.value_lengths().to_numpy()
+    at, many = pos.flatten().to_numpy(), lambda x: np.repeat(x, n)
+    did, nul = t["did"].to_numpy(), t["nul"].to_numpy()
+    start, end = (at - many(high)).astype(np.int32), (at - many(low) + MIN_WORDS).astype(np.int32)
+    cols = [did[many(row)], t["row"].to_numpy()[many(row)], nul[many(row)], start, end, many(removed), did[many(first)], nul[many(first)]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split(" ")[0] for x in _SPAN.split(", ")])
+
+
+def _extend(run: int):
+    """Slices sorted by key -> spans; whole runs are compared together, about `run` rows at a time."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b["key"].to_numpy()
+            last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # where the last run begins
+            if not last and held and held[-1]["key"][-1].as_py() != key[0]:
+                yield _span_batch(pa.Table.from_batches(held))
+                held, rows = [], 0
+            held.append(b)
+            rows += b.num_rows
+            if last and rows > run:
+                held[-1] = b.slice(0, last)
+                yield _span_batch(pa.Table.from_batches(held))
+                held, rows = [b.slice(last)], b.num_rows - last
+        if held:
+            yield _span_batch(pa.Table.from_batches(held))
+
+    return go
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices -> each of their passages by the 128-bit XXH3 of its words."""
+    for b in batches:
+        ends, h, n, at = [], bytearray(), [], []
+        for before, words, pos in zip(b["before"].to_pylist(), b["words"].to_pylist(), b["pos"].to_pylist(), strict=True):
+            w = words.split(b" ")
+            for p in pos:
+                for s in range(len(w) - MIN_WORDS + 1):
+                    h += xxhash.xxh3_128_digest(b" ".join(w[s : s + MIN_WORDS]))
+                    at.append(p - before + s)
+            n.append(len(pos) * (len(w) - MIN_WORDS + 1))
+        both = np.frombuffer(bytes(h), np.int64).reshape(-1, 2)
+        cols = [np.repeat(b[c].to_numpy(zero_copy_only=False), n) for c in ("nul", "did", "row")]
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *map(pa.array, cols), pa.array(np.array(at, np.int32))], ["h1", "h2", "nul", "did", "row", "start_word"])
+
+
+def _frequent(slices: DataFrame) -> DataFrame:
+    """Spans of slices whose keys are too frequent for one task, by sums over their passages."""
+    rows = cut(slices.mapInArrow(_passages, "h1 long, h2 long, nul boolean, did long, row long, start_word int"))
+    doc = F.struct("nul", "did")
+    firsts = rows.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
+    firsts = cut(firsts.where("first <> last").select("f1", "f2", "first"), files_for(rows))
+    found = rows.join(firsts, (rows.h1 == firsts.f1) & (rows.h2 == firsts.f2))
+    removed = (F.col("first.nul") != F.col("nul")) | (F.col("first.did") != F.col("did"))
+    spans = found.select("did", "row", "nul", "start_word", (F.col("start_word") + MIN_WORDS).cast("int").alias("end_word"), removed.alias("removed"),
+                         F.col("first.did").alias("first_id"), F.col("first.nul").alias("first_nul"))
+    spans = cut(spans, files_for(rows))
+    drop(rows, firsts)
+    return spans
 
 
 def _maybe(ids: DataFrame, rate: float = 0.05) -> Column | None:
@@ -160,84 +375,93 @@ def _maybe(ids: DataFrame, rate: float = 0.05) -> Column | None:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "row": F.xxhash64("doc_id", "text")})
+    nul = F.col("doc_id").isNull()
+    return docs.withColumns({"nul": nul, "did": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "row": F.xxhash64("doc_id", "text")})
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window starts of one document -> spans, apart for windows that begin here and elsewhere."""
+    """Matches of one document -> spans, apart for passages that begin here and elsewhere."""
     for b in batches:
         rows = []
         for did, row, found in zip(b["did"].to_pylist(), b["row"].to_pylist(), b["found"], strict=True):
-            start = found.values.field("start").to_numpy()
-            first = found.values.field("first").to_numpy()
-            for removed in (True, False):
-                s = (first < did) == removed
-                at, of = start[s], first[s]
-                order = np.argsort(at, kind="stable")
-                at, of = at[order], of[order]
-                if not len(at):
+            start, end, removed, first, first_nul, nul = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("start_word", "end_word", "removed", "first_id", "first_nul", "nul"))
+            for kind in (True, False):
+                s = np.flatnonzero(removed == kind)
+                s = s[np.argsort(start[s], kind="stable")]
+                if not len(s):
                     continue
-                new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + MIN_WORDS])
-                end = np.r_[at[new[1:] - 1], at[-1]] + MIN_WORDS
-                rows += zip([did] * len(new), [row] * len(new), at[new].tolist(), end.tolist(), [removed] * len(new), np.minimum.reduceat(of, new).tolist(), strict=True)
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["did", "row", "start_word", "end_word", "removed", "first_id"])
-
-
-def find_spans(docs: DataFrame) -> DataFrame:
-    """_keyed docs -> did, row, start_word, end_word, removed, first_id: see repeated_spans()."""
-    suffixes = cut(suffix_rows(docs))
-    most = files_for(suffixes)
-    # the sums are tables of their own, so that the joins are plain ones whose hot keys can be split
-    shared = cut(suffixes.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("key").alias("k")), most)
-    known = cut(suffixes.join(shared, suffixes.key == shared.k).groupBy("did").agg(F.collect_set("key").alias("known")), most)
-    drop(suffixes, shared)
+                reach = np.maximum.accumulate(end[s])
+                new = np.flatnonzero(np.r_[True, start[s][1:] > reach[:-1]])
+                for lo, hi in zip(new, np.r_[new[1:], len(s)], strict=True):
+                    part = s[lo:hi]
+                    of = part[np.lexsort((first[part], first_nul[part]))[0]]
+                    rows.append((did, row, bool(nul[of]), int(start[part[0]]), int(reach[hi - 1]), kind, int(first[of]), bool(first_nul[of])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split(" ")[0] for x in _SPAN.split(", ")])
+
+
+def find_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """_keyed docs -> a table did, row, nul, start_word, end_word, removed, first_id, first_nul: see repeated_spans()."""
+    hits = shared_suffixes(docs)
+    most = files_for(hits)
+    known = cut(hits.groupBy("did", "row").agg(F.collect_list(F.struct("key", "at")).alias("hits")), most)
+    drop(hits)
     texts = docs.select("did", "row", "text")
-    maybe = _maybe(known)
+    maybe = _maybe(known.select("did").distinct())
     if maybe is not None:
         texts = texts.where(maybe)
-    windows = cut(texts.join(known, "did").select("did", "row", "text", "known").mapInArrow(_window_rows, "h long, did long, row long, start int"), 4 * most)
-    most = files_for(windows)
+    slices = cut(texts.dropDuplicates(["did", "row"]).join(known, ["did", "row"]).mapInArrow(_slices, "key long, nul boolean, did long, row long, before int, words binary, pos array<int>"), 4 * most)
+    most = files_for(slices)
     drop(known)
-    firsts = cut(windows.groupBy(F.col("h").alias("fh")).agg(F.min("did").alias("first"), F.max("did").alias("hi")).where("first < hi").select("fh", "first"), most)
-    hits = windows.join(firsts, windows.h == firsts.fh).groupBy("did", "row").agg(F.collect_list(F.struct("start", "first")).alias("found"))
-    spans = cut(hits.mapInArrow(_merge, "did long, row long, start_word int, end_word int, removed boolean, first_id long"), most)
-    drop(windows, firsts)
+    heavy = cut(slices.groupBy(F.col("key").alias("hk")).count().where(F.col("count") > run).select("hk"), most)
+    n = heavy.count()
+    rare = slices.join(small(heavy, n), F.col("key") == F.col("hk"), "left_anti") if n else slices
+    found = rare.repartition("key").sortWithinPartitions("key").mapInArrow(_extend(run), _SPAN)
+    frequent = None
+    if n:
+        frequent = _frequent(slices.join(small(heavy, n), F.col("key") == F.col("hk"), "left_semi"))
+        found = found.unionByName(frequent)
+    found = cut(found, most)
+    drop(slices, heavy, frequent)
+    merged = found.groupBy("did", "row").agg(F.collect_list(F.struct("nul", "start_word", "end_word", "removed", "first_id", "first_nul")).alias("found"))
+    spans = cut(merged.mapInArrow(_merge, _SPAN), files_for(found))
+    drop(found)
     return spans
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, start_word, end_word, removed, first_doc_id: passages of at
     least MIN_WORDS words, in words from 0 (end exclusive), that stand in documents of different id.
 
-    Suffixes are retained where a gram of 8 words is the least of 16, which depends on the words alone,
-    so a passage of 50 words has such a position among its first 16, the same in every copy.  Suffixes
-    are not sorted: they are grouped by the 64-bit hash of their next 35 words, a prefix that lies inside
-    the passage (with partial sums, so a passage of a third of all documents is combined before the
-    shuffle).  Every 50-word window with a suffix found in different documents is then grouped by its own
-    64-bit hash, which takes the place of extending matches, and overlapping windows are merged: a span
-    is the union of the 50-word passages that occur in two documents, as far as equal hashes mean equal
-    words, which are not compared.  removed: the passage stands
-    in a document of smaller id; where it is false, this is the first copy.
-
-    Null, empty and short texts have no passages.  Rows with the same doc_id are one document, null ids
-    are one document after all others; equal rows are reported once.  Repeats inside one document are
-    not reported.  An empty table gives no rows; other columns are ignored.
+    Suffixes are retained where a gram of 8 words is the least of 32, which depends on the words alone,
+    so a passage of 50 words has such a position among its first 32, the same in every copy.  Retained
+    suffixes are sorted by their first words over all partitions and compared with their neighbours;
+    those that share 19 words with another document fetch the words around them, are sorted by the words
+    on either side, and matches are extended to the left and right as far as neighbours agree, word by
+    word.  Keys with more than `run` suffixes are compared by the 128-bit hashes of their passages
+    instead, with sums over all tasks.  A span is the union of the 50-word passages that occur in two
+    documents.  removed: the passage stands in a document that comes before; where it is false, this
+    is the first copy.
+
+    Null, empty and short texts have no passages.  Rows with the same doc_id are one document.  Rows
+    without an id come after all others, in the order of a hash of their text; each is a document of
+    its own, but rows without id that have equal texts are repeats of one.  Equal rows are reported
+    once.  Repeats inside one document are not reported.  An empty table gives no rows; other columns
+    are ignored.
     """
-    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    spans = find_spans(_keyed(docs.select("doc_id", "text")))
-    return spans.select(known("did").alias("doc_id"), "start_word", "end_word", "removed", known("first_id").alias("first_doc_id"))
+    spans = find_spans(_keyed(docs.select("doc_id", "text")), run)
+    return spans.select(F.when(~F.col("nul"), F.col("did")).alias("doc_id"), "start_word", "end_word", "removed", F.when(~F.col("first_nul"), F.col("first_id")).alias("first_doc_id"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the words of spans and the white space after them."""
     raw = text.encode("utf-8", "surrogatepass")
-    edge = np.array([m.span() for m in WORD.finditer(raw)], np.int64)
+    first, _ = word_edges(raw)
     out, at = [], 0
     for lo, hi in sorted(spans):
-        start = int(edge[lo, 0])
-        end = int(edge[hi, 0]) if hi < len(edge) else len(raw)
+        start = int(first[lo])
+        end = int(first[hi]) if hi < len(first) else len(raw)
         out.append(raw[at : max(at, start)])
         at = max(at, end)
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
@@ -261,11 +485,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts without repeats, null and empty ones stay as they are.  See repeated_spans() for the rest.
     """
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
-    keyed = _keyed(keyed).drop("doc_id", "text")
-    spans = find_spans(_keyed(docs.select("doc_id", "text")))
-    most = files_for(spans)
-    spans = spans.where("removed")
+    keyed = _keyed(keyed).drop("doc_id", "text", "nul")
+    found = find_spans(_keyed(docs.select("doc_id", "text")))
+    most = files_for(found)
+    spans = found.where("removed")
     spans = cut(spans.groupBy(F.col("did").alias("sd"), F.col("row").alias("sr")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), most)
+    drop(found)
     maybe = _maybe(spans.select(F.col("sd").alias("did")).distinct())
     some = keyed if maybe is None else keyed.where(maybe)
     joined = some.join(spans, (F.col("did") == F.col("sd")) & (F.col("row") == F.col("sr")), "left")

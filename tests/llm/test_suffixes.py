@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from siftlode.llm import suffixes as S
 
@@ -11,15 +12,20 @@ def words(text):
     return [w.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
 
 
+def doc(i, text):
+    """Order of documents; rows without an id come last and are told apart by their text."""
+    return (False, i, "") if i is not None else (True, 0, text or "")
+
+
 def brute(rows):
     seen = {}
     for i, text in rows:
         w = words(text)
         for s in range(len(w) - 49):
-            seen.setdefault(tuple(w[s : s + 50]), set()).add(S.LAST_ID if i is None else i)
+            seen.setdefault(tuple(w[s : s + 50]), set()).add(doc(i, text))
     out = set()
     for i, text in rows:
-        w, did = words(text), S.LAST_ID if i is None else i
+        w, did = words(text), doc(i, text)
         for removed in (True, False):
             covered = set()
             for s in range(len(w) - 49):
@@ -57,8 +63,43 @@ def corpus():
 def test_spans_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], ROWS)
-    got = {(r.doc_id, r.start_word, r.end_word, r.removed) for r in S.repeated_spans(df).collect()}
-    assert got == brute(rows) and len(got) > 30
+    for run in (S.RUN, 3):  # few words are compared by tasks, most by sums of passages
+        got = {(r.doc_id, r.start_word, r.end_word, r.removed) for r in S.repeated_spans(df, run).collect()}
+        assert got == brute(rows) and len(got) > 30
+
+
+def test_neighbours_across_batches_and_partitions():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        rows = sorted((int(rng.integers(0, 6)), 0, int(rng.integers(0, 3)), 9, i << 17 | int(rng.integers(0, 2))) for i in range(n))
+        docs = {}
+        for k1, _, did, _, at in rows:
+            docs.setdefault(k1, set()).add((did, at & 1))
+        want = sorted((did, at) for k1, _, did, _, at in rows if len(docs[k1]) > 1)
+        cuts = [0, *sorted(int(c) for c in rng.integers(0, n + 1, rng.integers(0, 3))), n]  # partitions
+        found = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            steps = [lo, *sorted(int(c) for c in rng.integers(lo, hi + 1, rng.integers(0, 4))), hi]
+            part = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in (0, 0, 2, 3, 4)], ["k1", "k2", "did", "row", "at"]) for a, b in zip(steps, steps[1:], strict=False)]
+            found += [r for b in S._neighbours(iter(part)) for r in b.to_pylist()]
+        edge = {}
+        for r in found:
+            if r["state"] != S.SHARED:
+                edge.setdefault(r["key"], []).append(r)
+        good = {k for k, v in edge.items() if any(r["state"] == S.SHARED_AT_EDGE for r in v) or len({(r["did"], r["at"] & 1) for r in v}) > 1}
+        assert sorted((r["did"], r["at"]) for r in found if r["state"] != S.OPEN or r["key"] in good) == want
+
+
+def test_words_decide_and_not_their_hashes():
+    base = [f"w{i}" for i in range(60)]
+    other = base[:40] + ["another"] + base[41:]
+    texts = [" ".join(base), " ".join(other), " ".join(base[3:])]
+    key = pa.array([1, 1, 1], pa.int64())  # as if the hashes of all suffixes were equal
+    t = pa.table({"key": key, "nul": [False] * 3, "did": pa.array([1, 2, 3], pa.int64()), "row": pa.array([1, 2, 3], pa.int64()), "before": pa.array([3, 3, 0], pa.int32()),
+                  "words": pa.array([" ".join(x.split()[:53]).encode() for x in texts[:2]] + [" ".join(texts[2].split()[:50]).encode()], pa.binary()), "pos": pa.array([[3], [3], [0]], pa.list_(pa.int32()))})
+    got = S._span_batch(t).to_pylist()
+    assert [(r["did"], r["start_word"], r["end_word"], r["removed"], r["first_id"]) for r in got] == [(1, 3, 53, False, 1), (3, 0, 50, True, 1)]
 
 
 def test_removed_text_holds_each_passage_once(spark):
