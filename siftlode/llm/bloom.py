@@ -39,3 +39,11 @@ class Bloom:
         for at in self.places(key):
             out = out & (F.getbit(F.get(self.bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
         return out
+
+
+def may_be_in(keys: DataFrame, key: Column, rate: float = 0.05, seed: int = 3) -> Column | None:
+    """Test of key that lets all of keys (key) pass and few others, so that other rows need not be
+    shuffled for a join; None where keys are too many for a bounded filter."""
+    keys = keys.distinct()
+    n = keys.count()
+    return Bloom(keys, n, rate, seed).has(key) if Bloom.fits(n, rate) else None

@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,42 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def id_array(column: pa.Array) -> pa.Array:
-    return column.cast(pa.int64())
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by keys -> tables in which no run of equal keys is cut."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        changes = np.flatnonzero(np.logical_or.reduce([np.diff(b[k].to_numpy()) != 0 for k in keys]))
+        if held and any(b[k][0] != held[-1][k][-1] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        end = int(changes[-1]) + 1 if len(changes) else 0
+        if end:
+            yield pa.Table.from_batches([*held, b.slice(0, end)])
+            held = []
+        held.append(b.slice(end))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_blocks(rows: DataFrame, bucket: str, id_: str, block: int, files: int) -> DataFrame:
+    """rows -> + block int, part int, with rows of heavy buckets repeated: each pair of rows of a bucket is
+    in some part of it, and no part has more than about two blocks.
+
+    A bucket of more than `block` rows is cut into blocks by a hash of id_, and every pair of blocks is
+    a part."""
+    sizes = rows.groupBy(F.col(bucket).alias("hb")).count().where(F.col("count") > block)
+    heavy = cut(sizes.select("hb", F.ceil(F.col("count") / block).cast("int").alias("blocks")), files)
+    n = heavy.count()
+    if not n:
+        drop(heavy)
+        return rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("part"))
+    names = rows.columns
+    rows = rows.join(small(heavy, n), rows[bucket] == heavy.hb, "left")
+    mine = F.pmod(F.xxhash64(id_, F.lit(7)), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
+    return rows.select(*names, F.coalesce(mine, F.lit(0)).alias("block"), F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
 
 
 def hook(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, drop, files_for, hook, small
+from siftlode.llm.bloom import may_be_in
+from siftlode.llm.common import components, cut, drop, files_for, hook, in_blocks, whole_runs
 
 SEGMENTS, WIDTH = 4, 16
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
@@ -127,24 +128,7 @@ def _compare(tau: int):
         return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[lab[moved]].view(np.int64))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket, part = b["bucket"].to_numpy(), b["part"].to_numpy()
-            changes = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))
-            same = held and (bucket[0], part[0]) == (held[-1]["bucket"][-1].as_py(), held[-1]["part"][-1].as_py())
-            if held and not same:
-                yield emit(pa.Table.from_batches(held))
-                held = []
-            if len(changes):
-                end = int(changes[-1]) + 1
-                yield emit(pa.Table.from_batches([*held, b.slice(0, end)]))
-                held = [b.slice(end)]
-            else:
-                held.append(b)
-        if held:
-            yield emit(pa.Table.from_batches(held))
+        return map(emit, whole_runs(batches, ("bucket", "part")))
 
     return run
 
@@ -159,15 +143,7 @@ def fingerprint_links(fps: DataFrame, tau: int = 3, block: int = BLOCK) -> DataF
     keys = [F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(start), F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket"))
             for start, masks in ring_keys(tau) for n, mask in enumerate(masks)]
     rows = fps.select("fp", F.inline(F.array(*keys)))
-    heavy = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), files_for(fps))
-    n = heavy.count()
-    if n:
-        rows = rows.join(small(heavy, n), rows.bucket == heavy.hb, "left")
-        mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
-        rows = rows.select("fp", "start", "bucket", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
-    else:
-        rows = rows.withColumn("part", F.lit(0))
+    rows = in_blocks(rows, "bucket", "fp", block, files_for(fps))
     dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "fp")
     return dealt.select("bucket", "part", "start", "fp").mapInArrow(_compare(tau), "a long, b long")
 
@@ -201,14 +177,24 @@ def row_key() -> dict[str, Column]:
     return {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "row": F.xxhash64("doc_id", "text")}
 
 
-def first_rows(docs: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """The row of docs that comes first in each component; classes (fp, first: struct of row_key())."""
-    best = classes.join(comp, classes.fp == comp.id, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
-    best = cut(best.select(F.col("first.did").alias("bd"), F.col("first.row").alias("br")), files_for(classes))
-    drop(classes)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumns(row_key()).drop("doc_id", "text")
-    kept = rows.join(best, (F.col("did") == F.col("bd")) & (F.col("row") == F.col("br"))).dropDuplicates(["did", "row"])
-    return kept.select("doc.*")
+def first_rows(docs: DataFrame, prints: DataFrame, comp: DataFrame) -> DataFrame:
+    """The row of docs that comes first in each component; prints (did, row: row_key(), fp).
+
+    Only rows that go, or stand several times, are looked for by a join, and texts that a Bloom filter
+    shows not to be among them are not shuffled."""
+    most = files_for(prints)
+    rows = prints.groupBy("did", "row").agg(F.first("fp").alias("fp"), F.count("*").alias("n"))
+    rows = cut(rows.join(comp, rows.fp == comp.id, "left").select("did", "row", "n", F.coalesce("component", "fp").alias("c")), most)
+    best = rows.groupBy(F.col("c").alias("bc")).agg(F.min(F.struct("did", "row")).alias("first"))
+    fates = rows.join(best, rows.c == best.bc).select(F.col("did").alias("fd"), F.col("row").alias("fr"), (F.struct("did", "row") == F.col("first")).alias("stays"), "n")
+    fates = cut(fates.where("not stays or n > 1"), most)
+    drop(rows)
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumns(row_key()).drop("doc_id", "text")
+    maybe = may_be_in(fates.select(F.col("fr").alias("key")), F.col("row"))
+    some = keyed if maybe is None else keyed.where(maybe)
+    some = some.join(fates, (F.col("did") == F.col("fd")) & (F.col("row") == F.col("fr")), "left")
+    out = some.where("n is null").select("doc.*").unionByName(some.where("stays").dropDuplicates(["did", "row"]).select("doc.*"))
+    return out if maybe is None else out.unionByName(keyed.where(~maybe).select("doc.*"))
 
 
 def keep_first(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 42) -> DataFrame:
@@ -218,10 +204,7 @@ def keep_first(docs: DataFrame, words: int = 3, tau: int = 3, seed: int = 42) ->
     the text; of rows equal in both, any one).  An empty table gives no rows.
     """
     prints = cut(fingerprints(docs.select("doc_id", "text").withColumns(row_key()), words, seed, ("did", "row")))
-    most = files_for(prints)
-    classes = cut(prints.groupBy("fp").agg(F.min(F.struct("did", "row")).alias("first")), most)
-    edges = cut(fingerprint_links(classes.select("fp"), tau), most)
-    comp = components(edges)
-    out = first_rows(docs, classes, comp)
+    edges = cut(fingerprint_links(prints.select("fp").distinct(), tau), files_for(prints))
+    out = first_rows(docs, prints, components(edges))
     drop(prints, edges)
     return out

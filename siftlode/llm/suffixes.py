@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.bloom import Bloom
+from siftlode.llm.bloom import may_be_in
 from siftlode.llm.common import cut, drop, files_for, small
 
 #: A passage repeats if this many words in a row do.
@@ -367,13 +367,6 @@ def _frequent(slices: DataFrame) -> DataFrame:
     return spans
 
 
-def _maybe(ids: DataFrame, rate: float = 0.05) -> Column | None:
-    """Test that lets all of ids (did) pass and few others, so that other texts need not be shuffled;
-    None where the ids are too many for a bounded filter, and joins see every row."""
-    n = ids.count()
-    return Bloom(ids.select(F.col("did").alias("key")), n, rate, seed=3).has(F.col("did")) if Bloom.fits(n, rate) else None
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     nul = F.col("doc_id").isNull()
     return docs.withColumns({"nul": nul, "did": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "row": F.xxhash64("doc_id", "text")})
@@ -408,7 +401,7 @@ def find_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     known = cut(hits.groupBy("did", "row").agg(F.collect_list(F.struct("key", "at")).alias("hits")), most)
     drop(hits)
     texts = docs.select("did", "row", "text")
-    maybe = _maybe(known.select("did").distinct())
+    maybe = may_be_in(known.select(F.col("row").alias("key")), F.col("row"))
     if maybe is not None:
         texts = texts.where(maybe)
     slices = cut(texts.dropDuplicates(["did", "row"]).join(known, ["did", "row"]).mapInArrow(_slices, "key long, nul boolean, did long, row long, before int, words binary, pos array<int>"), 4 * most)
@@ -491,7 +484,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = found.where("removed")
     spans = cut(spans.groupBy(F.col("did").alias("sd"), F.col("row").alias("sr")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), most)
     drop(found)
-    maybe = _maybe(spans.select(F.col("sd").alias("did")).distinct())
+    maybe = may_be_in(spans.select(F.col("sr").alias("key")), F.col("row"))
     some = keyed if maybe is None else keyed.where(maybe)
     joined = some.join(spans, (F.col("did") == F.col("sd")) & (F.col("row") == F.col("sr")), "left")
     out = joined.where("spans is not null").select("doc", "spans").mapInArrow(_cut_batch, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))

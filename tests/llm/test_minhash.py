@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline as P
 from siftlode.llm import minhash, simhash
@@ -30,8 +32,32 @@ def test_similar_is_the_jaccard_of_the_words():
     sets = [minhash.shingles(t) for t in texts]
     for i, a in enumerate(texts):
         for j in range(i):
-            assert minhash.similar(sets[i], sets[j]) == (jaccard(a, texts[j]) >= 0.8)
-    assert minhash.shingles(None) == minhash.shingles(" ") == frozenset() and not minhash.similar(frozenset(), frozenset())
+            assert minhash.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])) == (jaccard(a, texts[j]) >= 0.8)
+    assert len(minhash.shingles(None)) == len(minhash.shingles(" ")) == 0
+
+
+def test_parts_are_linked_as_all_their_pairs_are(monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    for _ in range(40):
+        rows = []
+        for bucket in range(3):
+            base = rng.integers(0, 1 << 60, 40)
+            for _ in range(int(rng.integers(1, 25))):
+                own = rng.random(40) < rng.choice([0.0, 0.05, 0.1, 0.15, 0.4])
+                rows.append((bucket, 0, int(rng.integers(0, 12)), sorted({int(x) for x in np.where(own, rng.integers(0, 1 << 60, 40), base)})))
+        t = pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int32()), "c": pa.array([r[2] for r in rows], pa.int64()), "shingles": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+        comp = list(range(12))
+        for x, y in zip(*(minhash._links(t)[c].to_pylist() for c in ("a", "b")), strict=True):
+            lo, hi = sorted((comp[x], comp[y]))
+            comp = [lo if c == hi else c for c in comp]
+        want = list(range(12))
+        for i, x in enumerate(rows):
+            for y in rows[:i]:
+                if x[0] == y[0] and len(set(x[3]) & set(y[3])) >= 0.8 * len(set(x[3]) | set(y[3])):
+                    lo, hi = sorted((want[x[2]], want[y[2]]))
+                    want = [lo if c == hi else c for c in want]
+        assert comp == want
 
 
 def test_bands_reach_pairs_at_the_threshold():
@@ -45,8 +71,13 @@ def test_bands_reach_pairs_at_the_threshold():
     assert met >= 499
 
 
-def test_stage_against_brute_force(spark):
-    texts = planted() + [None, "", "one two", "one two"]
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_stage_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash.joined, "__defaults__", (block,))
+    rng = np.random.default_rng(3)
+    base = [f"c{x}" for x in rng.integers(0, 5000, 100)]  # many copies of one text, most too far from each other
+    many = [" ".join(f"v{i}{k}" if rng.random() < 0.02 else w for k, w in enumerate(base)) for i in range(60)]
+    texts = planted() + many + [None, "", "one two", "one two"]
     order = np.random.default_rng(1).permutation(len(texts)).tolist()
     texts = [texts[i] for i in order]
     comp = list(range(len(texts)))
