@@ -20,7 +20,8 @@ STORED_HZ, FEATURE_HZ = 24_000, 16_000
 FRAME, HOP, FFT, MELS = 400, 160, 512, 32
 #: Shape of a tensor: frames by mel bands.
 SHAPE = (16, MELS)
-#: Samples resampled and frames transformed at once, so that memory does not follow a text's length.
+#: Samples resampled and frames transformed at once, so that the arrays between steps are bounded; what is
+#: kept of a text follows its length (about 16 bytes a byte: samples, mel bands, media and tensors).
 BLOCK = 1 << 19
 FRAMES = 4096
 #: Bytes of results in one batch.
@@ -94,11 +95,11 @@ def _mel(hz: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, hz: int) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapped Hann frames -> (frames by bands of log energy, frame energy in dB); at least one frame."""
-    if len(x) < FRAME:
-        x = np.r_[x, np.zeros(FRAME - len(x), np.float32)]
+    """Overlapped Hann frames -> (frames by bands of log energy, frame energy in dB).  Zeros fill the last
+    frame, so that every sample is in one; the Hann window is nowhere zero on them."""
+    x = np.r_[x, np.zeros(max(FRAME - len(x), 0) + -max(len(x) - FRAME, 0) % HOP, np.float32)]
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    window = np.hanning(FRAME).astype(np.float32)
+    window = np.hanning(FRAME + 2)[1:-1].astype(np.float32)
     mels, energy = [], []
     for at in range(0, len(frames), FRAMES):
         f = frames[at : at + FRAMES] * window

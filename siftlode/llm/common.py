@@ -6,6 +6,7 @@ Every helper is a DataFrame plan; the driver only ever sees row counts and other
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,14 @@ _own_dir: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that spark.checkpoint.dir names; one of our own only where none is set and all
+    runs on this machine (tests).  Elsewhere executors would write where nobody reads: an error."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="siftlode-")
     return _own_dir

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import cut, drop
+from siftlode.llm.common import cut, drop, small, wave
 
 FEATURES = (
     "log_chars", "log_words", "word_len", "word_len_sd", "short_words", "long_words", "distinct_words",
@@ -165,23 +165,27 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: f
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Gam:
     """A model from labels (doc_id, quality) of docs (doc_id, text).
 
-    The sample is bounded: about max_rows labels, chosen by a hash of doc_id so that reruns agree; the
-    ids are broadcast (their bound is max_rows), features are made on the executors, and max_rows rows
-    of numbers reach the driver.  Null labels are left out; of repeated ids every row counts.
+    The sample is bounded by rows: about max_rows different labels, chosen by a hash of doc_id so that
+    reruns agree, and of the rows that have such an id about max_rows, chosen by a hash of the text.
+    Labels are broadcast after they were counted; features are made on the executors, and numbers of
+    max_rows rows reach the driver.  Null labels and ids are left out; an id that is labelled both ways
+    counts both ways; repeated labels and equal rows count once.
     """
+    share = lambda n: F.lit(int((1 << 20) * min(1.0, max_rows / max(n, 1))))
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / n)))
-    known = cut(known)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text")
+    known = cut(known.distinct(), wave(docs.sparkSession))
+    sample = cut(known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < share(known.count())), wave(docs.sparkSession))
+    rows = docs.select("doc_id", "text").join(small(sample, sample.count()), "doc_id").select("doc_id", "y", "text", F.xxhash64("text").alias("h"))
+    n = rows.select("doc_id", "y", "h").distinct().count()
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(5)), F.lit(1 << 20)) < share(n))
+    rows = rows.groupBy("doc_id", "y", "h").agg(F.first("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], ["y", "x"])
 
     got = rows.mapInArrow(run, "y double, x array<double>").toPandas()
-    drop(known)
+    drop(known, sample)
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["y"].to_numpy()))  # whatever order the rows came in
     return fit(x[order], got["y"].to_numpy(float)[order])

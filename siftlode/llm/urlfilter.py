@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.llm.bloom import Bloom
-from siftlode.llm.common import cut, drop, files_for
+from siftlode.llm.common import cut, drop, files_for, small, wave
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,15 +32,22 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every key that a rule for this host and path could have: each host suffix by each path prefix."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    by = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(F.array_compact(by), lambda p: F.concat(h, p))))
+def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
+    """Every key that a listed rule for this host and path could have: each host suffix of at most
+    `labels` labels by each path prefix of a listed length."""
+    have = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    hosts = F.array_compact(F.array(*[F.when(have >= i, F.substring_index(host, ".", -i)) for i in range(1, labels + 1)]))
+    by = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(by, lambda p: F.concat(h, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
+def listed(spark: SparkSession, rules: tuple[tuple[str, str], ...] = RULES, own_block: tuple[str, ...] = RESERVED) -> DataFrame:
+    """The rules of the program as a list (key, side); real lists are tables of that form."""
+    rows = [(k, v) for k, v in rules] + [(k, "own") for k in own_block]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("side")) for k, v in rows])))
+
+
 def build_cascade(universe: DataFrame, flag: str, max_levels: int = 60) -> list[Bloom]:
     """Levels of a cascade that says for every key of universe (key, <flag> boolean) whether it is
     listed.  Level 1 holds the listed keys; level i + 1 holds the keys of the other side that level i
@@ -73,30 +80,35 @@ def in_cascade(levels: list[Bloom], key: Column) -> Column:
     return out
 
 
-def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, own_block: tuple[str, ...] = RESERVED) -> DataFrame:
-    """pages (page_id, url, ...) -> page_id, url, host, path, rule, verdict, decided_by.
+def filter_urls(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url, ...), rules (key `host/path`, side: allow, block or own; by default listed())
+    -> page_id, url, host, path, rule, verdict, decided_by.
 
     A rule `host/path` fits its host and all subdomains where the url's path starts with the rule's;
     the longest fitting rule wins (of equal length, the greater string), and a key listed both ways
-    is blocked.  Urls that no rule fits are blocked if `own_block` lists them, else allowed.
+    is blocked.  Urls that no rule fits are blocked if a key of side own fits, else allowed.  Null keys,
+    keys without a slash and other sides are ignored.
 
     All keys that any url of the corpus could match form the key universe (one aggregation, with
-    partial sums, so hot keys are combined before the shuffle).  Over it one cascade is built for the
-    allowed, the blocked and the own keys; urls are then judged by bit tests alone, without a join.
-    Null url, or one without `://`: empty host and path, no rule.  Repeated rows are judged alike, an
-    empty table gives no rows, other columns are ignored.
+    partial sums, so hot keys are combined before the shuffle); a url has one for each listed path
+    length and host suffix of as many labels as a listed host has at most, however long its host is.
+    Over it one cascade is built for the allowed, the blocked and the own keys; urls are then judged by
+    bit tests alone, without a join.  Null url, or one without `://`: empty host and path, no rule.
+    Repeated rows are judged alike, an empty table gives no rows, other columns are ignored.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    listed = [(k, "allow" if v == "allow" else "block") for k, v in rules] + [(k, "own") for k in own_block]
-    lengths = sorted({len(k) - k.index("/") for k, _ in listed})
-    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    sides = {}
-    for side in ("allow", "block", "own"):
-        keys = [k for k, v in listed if v == side]
-        sides[side] = F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")
-    flags = [F.array_contains(c, F.col("key")).alias(side) for side, c in sides.items()]
-    universe = cut(urls.select(F.explode("keys").alias("key")).groupBy("key").agg(F.lit(1).alias("one")).select("key", *flags), files_for(pages))
+    rules = (listed(pages.sparkSession) if rules is None else rules).where("instr(key, '/') > 0").select(F.col("key").alias("rule"), "side")
+    sides = ("allow", "block", "own")
+    known = cut(rules.groupBy("rule").agg(*(F.coalesce(F.max(F.col("side") == side), F.lit(False)).alias(side) for side in sides)), wave(pages.sparkSession))
+    name = F.substring_index("rule", "/", 1)
+    # numbers only: the most labels of a host, and the different lengths of paths, at most as many as the longest
+    most = known.agg(F.count("*").alias("rules"), F.max(F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1).alias("labels"), F.collect_set(F.length("rule") - F.length(name)).alias("lengths")).first()
+    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), most.labels or 0, sorted(most.lengths)) if most.rules else F.array().cast("array<string>"))
+    keys = urls.select(F.explode("keys").alias("key")).groupBy("key").agg(F.lit(1).alias("one"))
+    universe = keys.join(small(known, most.rules), F.col("key") == F.col("rule"), "left").select("key", *(F.coalesce(side, F.lit(False)).alias(side) for side in sides))
+    universe = cut(universe, files_for(pages))
+    drop(known)
     cascade = {side: build_cascade(universe, side) for side in sides}
     drop(universe)
 

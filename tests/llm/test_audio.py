@@ -51,3 +51,51 @@ def test_a_quiet_run_does_not_silence_the_rest():
         payload, _ = audio.payload_of(prose() + c * 1500 + prose())
         starts = audio.tensors(payload, audio.STORED_HZ).column("start_s").to_numpy()
         assert (starts < 0.6).any() and (starts > 0.9).any()
+
+
+def plain_log_mel(x, hz):
+    """By the definition of the transform, one frame at a time."""
+    n, bins = np.arange(audio.FRAME), np.arange(audio.FFT // 2 + 1)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * (n + 1) / (audio.FRAME + 1))
+    wave = np.exp(-2j * np.pi * np.outer(bins, n) / audio.FFT)
+    top = 2595 * np.log10(1 + hz / 2 / 700)
+    edge = [700 * (10 ** (top * i / (audio.MELS + 1) / 2595) - 1) for i in range(audio.MELS + 2)]
+    out = []
+    for at in range(0, max(1, -(-(len(x) - audio.FRAME) // audio.HOP) + 1) * audio.HOP, audio.HOP):
+        f = np.zeros(audio.FRAME)
+        f[: len(x[at : at + audio.FRAME])] = x[at : at + audio.FRAME]
+        power = np.abs(wave @ (f * window)) ** 2
+        row = []
+        for lo, mid, hi in zip(edge, edge[1:], edge[2:]):
+            row.append(sum(p * max(0, min((b * hz / audio.FFT - lo) / (mid - lo), (hi - b * hz / audio.FFT) / (hi - mid))) for b, p in zip(bins, power)))
+        out.append(np.log(np.array(row) + 1e-6))
+    return np.array(out)
+
+
+def test_log_mel_against_the_definition():
+    rng = np.random.default_rng(2)
+    for n in (1, 128, 399, 400, 401, 560, 561, 1000):
+        x = rng.normal(0, 0.3, n).astype(np.float32)
+        mel, db = audio.log_mel(x, 16_000)
+        want = plain_log_mel(x, 16_000)
+        assert mel.shape == want.shape and np.allclose(mel, want, atol=2e-3) and len(db) == len(want)
+
+
+def test_every_byte_of_a_text_is_in_a_frame():
+    rng = np.random.default_rng(7)
+    for n in (192, 768, 960, 1920, 3840):
+        base = rng.integers(33, 127, n).astype(np.uint8)
+        whole = audio.log_mel(audio.resample((base.astype(np.float32) - 128) / 128, 24_000, 16_000), 16_000)[0]
+        for at in (*range(0, n, 37), *range(n - 20, n)):
+            other = base.copy()
+            other[at] ^= 0x60
+            mel = audio.log_mel(audio.resample((other.astype(np.float32) - 128) / 128, 24_000, 16_000), 16_000)[0]
+            assert not np.array_equal(mel, whole), (n, at)
+
+
+def test_only_quiet_segments_are_left_out():
+    """A byte is missing from the tensors only where the energy stays under the level of the last segment."""
+    loud = bytes(np.random.default_rng(1).integers(0, 256, 4800).astype(np.uint8))
+    quiet = b"\x80" * 4800
+    t = audio.tensors(loud + quiet, 24_000)
+    assert t.num_rows and max(t["end_s"].to_pylist()) < 0.3 and min(t["start_s"].to_pylist()) < 0.02

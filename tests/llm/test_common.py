@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from siftlode.llm import common
@@ -43,3 +45,40 @@ def test_the_folder_is_the_sessions_own_only_where_none_is_named():
             get = staticmethod(lambda key, default=None: "hdfs:///shared" if key == "spark.checkpoint.dir" else default)
 
     assert common.scratch_dir(Session) == "hdfs:///shared"
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Session)
+
+
+def test_runs_are_whole():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a = np.sort(rng.integers(0, 9, 40))
+        b = np.sort(rng.integers(0, 3, 40))
+        t = pa.table({"a": a, "b": b}).sort_by([("a", "ascending"), ("b", "ascending")])
+        parts = list(common.whole_runs(iter([x for n in (7,) for x in t.to_batches(max_chunksize=n)]), ("a", "b")))
+        assert pa.concat_tables(parts).equals(t.combine_chunks()) or pa.concat_tables(parts).to_pylist() == t.to_pylist()
+        ends = [(p["a"][-1].as_py(), p["b"][-1].as_py()) for p in parts]
+        starts = [(p["a"][0].as_py(), p["b"][0].as_py()) for p in parts]
+        assert all(x != y for x, y in zip(ends, starts[1:]))
+
+
+def test_blocks_bring_each_pair_of_a_bucket_together(spark):
+    rows = spark.createDataFrame([(b, i) for b, n in ((1, 40), (2, 3)) for i in range(n)], "bucket long, id long")
+    got = {}
+    for r in common.in_blocks(rows, "bucket", "id", 10, 2).collect():
+        got.setdefault((r.bucket, r.part), set()).add(r.id)
+    for b, n in ((1, 40), (2, 3)):
+        for i in range(n):
+            for j in range(i):
+                assert any(k == b and {i, j} <= v for (k, _), v in got.items())
+    assert len([k for k in got if k[0] == 1]) == 10

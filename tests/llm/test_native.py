@@ -33,6 +33,15 @@ def test_urls_against_brute_force(spark):
     assert urlfilter.filter_urls(df.where(F.lit(False))).collect() == []
 
 
+def test_lists_are_tables_and_long_hosts_have_few_keys(spark):
+    rules = spark.createDataFrame([("b.c/", "block"), ("a.b.c/x/", "allow"), ("b.c/", "allow"), ("c/x/", "own"), (None, "block"), ("noslash", "block"), ("d/", "other")], "key string, side string")
+    urls = ["http://" + "l." * 30_000 + "b.c/x", "http://a.b.c/x/y", "http://q.a.b.c/x/", "http://c/x/1", "http://b.c", "http://d/", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.decided_by) for r in urlfilter.filter_urls(df, rules).collect()}
+    assert got == {0: ("b.c/", "block", "rule"), 1: ("a.b.c/x/", "allow", "rule"), 2: ("a.b.c/x/", "allow", "rule"), 3: (None, "block", "reserved"), 4: (None, "allow", "default"), 5: (None, "allow", "default"), 6: (None, "allow", "default")}
+    assert {r.verdict for r in urlfilter.filter_urls(df, rules.where("key is null")).collect()} == {"allow"}
+
+
 def test_cascades_are_exact_over_their_universe(spark):
     u = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 97 == 3).alias("listed")).cache()
     levels = urlfilter.build_cascade(u, "listed")
@@ -102,3 +111,22 @@ def test_mixing(spark, hot):
         assert abs(taken[s] - target[s]) <= 61, (s, taken[s], target[s])
     assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, got))
     assert mixing.mix(df.where(F.lit(False))).collect() == []
+
+
+def test_a_row_is_repeated_by_its_own_source_only(spark):
+    rows = [(1, "w " * 50, "a", 0), (1, "w " * 50, "b", 1), (2, "v " * 4000, "b", 1), (3, "u " * 2000, "c", 2), (4, None, None, 3), (None, "", "a", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, h int")
+    want = {(r.doc_id, r.source): r.repeats for r in mixing.mix(df).collect()}
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    have = defaultdict(int)
+    for r in got.collect():
+        have[r.doc_id, r.source] += 1
+    assert dict(have) == {k: n for k, n in want.items() if n} and max(have.values()) <= 3 and want[1, "a"] != want[1, "b"]
+
+
+def test_sources_are_numbered_by_code_points(spark):
+    names = [f"s{i:03d}" for i in range(200)] + ["", "Z", "é", "a", None]
+    df = spark.createDataFrame([(n, 1) for n in reversed(names)], "source string, source_size long").repartition(7)
+    got = {r.source: r.n for r in mixing.numbered(df).collect()}
+    assert got == {s: i for i, s in enumerate([*sorted(names[:-1]), None])}
