@@ -173,7 +173,8 @@ def joined(texts: DataFrame, docs: DataFrame, links: DataFrame, block: int = BLO
     most = files_for(texts)
     rows = texts.select("th", "fp", "n", F.explode("buckets").alias("bucket"))
     of_two = cut(rows.groupBy(F.col("bucket").alias("tb")).agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("tb"), most)
-    shared = rows.join(of_two, F.col("bucket") == F.col("tb")).groupBy("bucket", "th").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+    maybe = may_be_in(of_two.select(F.col("tb").alias("key")), F.col("bucket"))
+    shared = (rows if maybe is None else rows.where(maybe)).join(of_two, F.col("bucket") == F.col("tb")).groupBy("bucket", "th").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
     shared = cut(shared, most)
     sizes = shared.groupBy(F.col("bucket").alias("sb")).agg(F.count("*").alias("size"))
     known = shared.join(sizes, F.col("bucket") == F.col("sb")).groupBy(F.col("th").alias("kh")).agg(F.sum("size").alias("met"))
@@ -181,7 +182,8 @@ def joined(texts: DataFrame, docs: DataFrame, links: DataFrame, block: int = BLO
     met = cut(shared.join(known, F.col("th") == F.col("kh")).select("bucket", "th", "fp", "n", "met"), most)
     drop(shared, of_two)
     centre = met.groupBy(F.col("bucket").alias("cb")).agg(F.max(F.struct("met", "th", "fp", "n")).alias("m"))
-    pairs = met.join(centre, F.col("bucket") == F.col("cb")).where("fp <> m.fp").where(F.least("n", "m.n") * SIMILAR[1] >= F.greatest("n", "m.n") * SIMILAR[0])
+    # what is within 3 bits is linked already
+    pairs = met.join(centre, F.col("bucket") == F.col("cb")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) > 3).where(F.least("n", "m.n") * SIMILAR[1] >= F.greatest("n", "m.n") * SIMILAR[0])
     pairs = cut(pairs.select(F.col("th").alias("a"), F.col("m.th").alias("b"), F.col("fp").alias("fa"), F.col("m.fp").alias("fb")).distinct(), most)
     found = verified(pairs, sets)
     comp = cut(components(links.select("a", "b").unionByName(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")))), most)

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.bloom import may_be_in
-from siftlode.llm.common import cut, drop, files_for, small
+from siftlode.llm.common import cut, drop, files_for, small, whole_runs
 
 #: A passage repeats if this many words in a row do.
 MIN_WORDS = 50
-#: Words of a minimiser's gram, and grams among which the least is retained.
-GRAM, WINDOW = 8, 32
+#: Words of a minimiser's gram; a passage has WINDOW of them, and the suffix at the least is retained.
+GRAM = 8
+WINDOW = MIN_WORDS - GRAM + 1
 #: Words from a retained position that lie inside any passage which it is retained for.
 SUFFIX = MIN_WORDS - WINDOW + 1
 #: Suffixes of one key that a task compares word by word; more are compared as passages, over all tasks.
@@ -103,8 +104,8 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Retained positions, and of each the least and greatest start of the passages it stands for.
 
-    A passage of MIN_WORDS words is stood for by the least gram (the leftmost of ties) among its first
-    WINDOW, which its own words alone decide; the starts that share a position are a range."""
+    A passage of MIN_WORDS words is stood for by the least of its grams (the leftmost of ties), which its
+    own words alone decide; the starts that share a position are a range."""
     n = len(h) - MIN_WORDS + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3
@@ -298,40 +299,39 @@ def extended(t: pa.Table) -> list[np.ndarray]:
 
 
 _SPAN = "did long, row long, nul boolean, start_word int, end_word int, removed boolean, first_id long, first_nul boolean"
+#: Matches of one suffix in its document.
+_MATCH = "did long, row long, nul boolean, found array<struct<start_word:int,end_word:int,removed:boolean,first_id:bigint,first_nul:boolean>>"
 
 
-def _span_batch(t: pa.Table) -> pa.RecordBatch:
+def _match_batch(t: pa.Table) -> pa.RecordBatch:
     row, high, low, removed, first = extended(t)
+    order = np.argsort(row, kind="stable")
+    row, high, low, removed, first = (x[order] for x in (row, high, low, removed, first))
     pos = t["pos"].combine_chunks().take(pa.array(row))
     n = pos.value_lengths().to_numpy()
     at, many = pos.flatten().to_numpy(), lambda x: np.repeat(x, n)
     did, nul = t["did"].to_numpy(), t["nul"].to_numpy()
     start, end = (at - many(high)).astype(np.int32), (at - many(low) + MIN_WORDS).astype(np.int32)
-    cols = [did[many(row)], t["row"].to_numpy()[many(row)], nul[many(row)], start, end, many(removed), did[many(first)], nul[many(first)]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split(" ")[0] for x in _SPAN.split(", ")])
+    found = pa.StructArray.from_arrays([pa.array(x) for x in (start, end, many(removed), did[many(first)], nul[many(first)])], ["start_word", "end_word", "removed", "first_id", "first_nul"])
+    rows = np.unique(row)
+    ends = np.searchsorted(many(row), rows, side="right")
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), found)
+    return pa.RecordBatch.from_arrays([pa.array(did[rows]), pa.array(t["row"].to_numpy()[rows]), pa.array(nul[rows]), lists], ["did", "row", "nul", "found"])
 
 
 def _extend(run: int):
-    """Slices sorted by key -> spans; whole runs are compared together, about `run` rows at a time."""
+    """Slices sorted by key -> matches; whole runs are compared together, about `run` rows at a time."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b["key"].to_numpy()
-            last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # where the last run begins
-            if not last and held and held[-1]["key"][-1].as_py() != key[0]:
-                yield _span_batch(pa.Table.from_batches(held))
+        for t in whole_runs(batches, ("key",)):
+            held.append(t)
+            rows += t.num_rows
+            if rows > run:
+                yield _match_batch(pa.concat_tables(held))
                 held, rows = [], 0
-            held.append(b)
-            rows += b.num_rows
-            if last and rows > run:
-                held[-1] = b.slice(0, last)
-                yield _span_batch(pa.Table.from_batches(held))
-                held, rows = [b.slice(last)], b.num_rows - last
         if held:
-            yield _span_batch(pa.Table.from_batches(held))
+            yield _match_batch(pa.concat_tables(held))
 
     return go
 
@@ -360,9 +360,8 @@ def _frequent(slices: DataFrame) -> DataFrame:
     firsts = cut(firsts.where("first <> last").select("f1", "f2", "first"), files_for(rows))
     found = rows.join(firsts, (rows.h1 == firsts.f1) & (rows.h2 == firsts.f2))
     removed = (F.col("first.nul") != F.col("nul")) | (F.col("first.did") != F.col("did"))
-    spans = found.select("did", "row", "nul", "start_word", (F.col("start_word") + MIN_WORDS).cast("int").alias("end_word"), removed.alias("removed"),
-                         F.col("first.did").alias("first_id"), F.col("first.nul").alias("first_nul"))
-    spans = cut(spans, files_for(rows))
+    one = F.struct("start_word", (F.col("start_word") + MIN_WORDS).cast("int").alias("end_word"), removed.alias("removed"), F.col("first.did").alias("first_id"), F.col("first.nul").alias("first_nul"))
+    spans = cut(found.groupBy("did", "row", "nul").agg(F.collect_list(one).alias("found")), files_for(rows))
     drop(rows, firsts)
     return spans
 
@@ -376,8 +375,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches of one document -> spans, apart for passages that begin here and elsewhere."""
     for b in batches:
         rows = []
-        for did, row, found in zip(b["did"].to_pylist(), b["row"].to_pylist(), b["found"], strict=True):
-            start, end, removed, first, first_nul, nul = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("start_word", "end_word", "removed", "first_id", "first_nul", "nul"))
+        for did, row, nul, found in zip(b["did"].to_pylist(), b["row"].to_pylist(), b["nul"].to_pylist(), b["found"], strict=True):
+            start, end, removed, first, first_nul = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("start_word", "end_word", "removed", "first_id", "first_nul"))
             for kind in (True, False):
                 s = np.flatnonzero(removed == kind)
                 s = s[np.argsort(start[s], kind="stable")]
@@ -388,7 +387,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for lo, hi in zip(new, np.r_[new[1:], len(s)], strict=True):
                     part = s[lo:hi]
                     of = part[np.lexsort((first[part], first_nul[part]))[0]]
-                    rows.append((did, row, bool(nul[of]), int(start[part[0]]), int(reach[hi - 1]), kind, int(first[of]), bool(first_nul[of])))
+                    rows.append((did, row, nul, int(start[part[0]]), int(reach[hi - 1]), kind, int(first[of]), bool(first_nul[of])))
         cols = list(zip(*rows, strict=True)) or [[]] * 8
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split(" ")[0] for x in _SPAN.split(", ")])
@@ -410,14 +409,14 @@ def find_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     heavy = cut(slices.groupBy(F.col("key").alias("hk")).count().where(F.col("count") > run).select("hk"), most)
     n = heavy.count()
     rare = slices.join(small(heavy, n), F.col("key") == F.col("hk"), "left_anti") if n else slices
-    found = rare.repartition("key").sortWithinPartitions("key").mapInArrow(_extend(run), _SPAN)
+    found = rare.repartition("key").sortWithinPartitions("key").mapInArrow(_extend(run), _MATCH)
     frequent = None
     if n:
         frequent = _frequent(slices.join(small(heavy, n), F.col("key") == F.col("hk"), "left_semi"))
         found = found.unionByName(frequent)
     found = cut(found, most)
     drop(slices, heavy, frequent)
-    merged = found.groupBy("did", "row").agg(F.collect_list(F.struct("nul", "start_word", "end_word", "removed", "first_id", "first_nul")).alias("found"))
+    merged = found.groupBy("did", "row", "nul").agg(F.flatten(F.collect_list("found")).alias("found"))
     spans = cut(merged.mapInArrow(_merge, _SPAN), files_for(found))
     drop(found)
     return spans
@@ -427,10 +426,10 @@ def repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, start_word, end_word, removed, first_doc_id: passages of at
     least MIN_WORDS words, in words from 0 (end exclusive), that stand in documents of different id.
 
-    Suffixes are retained where a gram of 8 words is the least of 32, which depends on the words alone,
-    so a passage of 50 words has such a position among its first 32, the same in every copy.  Retained
+    Suffixes are retained where a gram of 8 words is the least of a passage's 43, which depends on its
+    words alone, so each passage has one retained suffix, at the same place in every copy.  Retained
     suffixes are sorted by their first words over all partitions and compared with their neighbours;
-    those that share 19 words with another document fetch the words around them, are sorted by the words
+    those that share 8 words with another document fetch the words around them, are sorted by the words
     on either side, and matches are extended to the left and right as far as neighbours agree, word by
     word.  Keys with more than `run` suffixes are compared by the 128-bit hashes of their passages
     instead, with sums over all tasks.  A span is the union of the 50-word passages that occur in two
