@@ -109,8 +109,9 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
 
 
 def in_blocks(rows: DataFrame, bucket: str, id_: str, block: int, files: int) -> DataFrame:
-    """rows -> + block int, part int, with rows of heavy buckets repeated: each pair of rows of a bucket is
-    in some part of it, and no part has more than about two blocks.
+    """rows -> + block int, part int, two boolean, with rows of heavy buckets repeated: each pair of rows of a
+    bucket is in some part of it, and no part has more than about two blocks.  two: the part is for pairs
+    of rows of different blocks; those of one block have a part of their own.
 
     A bucket of more than `block` rows is cut into blocks by a hash of id_, and every pair of blocks is
     a part."""
@@ -119,12 +120,13 @@ def in_blocks(rows: DataFrame, bucket: str, id_: str, block: int, files: int) ->
     n = heavy.count()
     if not n:
         drop(heavy)
-        return rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("part"))
+        return rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(False).alias("two"))
     names = rows.columns
     rows = rows.join(small(heavy, n), rows[bucket] == heavy.hb, "left")
     mine = F.pmod(F.xxhash64(id_, F.lit(7)), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
-    return rows.select(*names, F.coalesce(mine, F.lit(0)).alias("block"), F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
+    one = lambda part, two: F.struct(part.cast("int").alias("part"), two.alias("two"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: one(F.least(x, mine) * F.col("blocks") + F.greatest(x, mine), x != mine))
+    return rows.select(*names, F.coalesce(mine, F.lit(0)).alias("block"), F.inline(F.when(F.col("blocks").isNull(), F.array(one(F.lit(0), F.lit(False)))).otherwise(pairs)))
 
 
 def hook(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

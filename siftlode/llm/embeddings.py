@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import components, cut, drop, files_for, hook, small
+from siftlode.llm.common import components, cut, drop, files_for, hook, in_blocks, whole_runs
 
 #: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
 BLOCK = 4096
 TILE = 1024
+#: Bits of a vector's sketch, the signs of as many further projections.
+SKETCH = 128
 
 
 def collision(distance: float, width: float) -> float:
@@ -54,6 +56,21 @@ class Hashing:
             out ^= out >> np.uint64(32)
         return out.view(np.int64)
 
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        """Signs of SKETCH projections of normalised vectors: rows by two words of 64 bits."""
+        g = np.random.default_rng([self.seed, unit.shape[1], 1]).standard_normal((unit.shape[1], SKETCH))
+        return np.packbits(unit @ g > 0, axis=1).view(np.int64)
+
+
+def far(threshold: float, miss: float = 1e-9) -> int:
+    """Bits in which the sketches of two vectors at the threshold differ at most, but for a chance of `miss`."""
+    p = math.acos(threshold) / math.pi
+    rest, k = 1.0, -1
+    while rest > miss:
+        k += 1
+        rest -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    return k
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit rows, in double precision, of a list column whose lists are all of one length."""
@@ -70,13 +87,40 @@ def _bucket_rows(how: Hashing):
                 dims = b["embedding"].value_lengths().to_numpy()
                 for d in np.unique(dims):
                     part = b.filter(pa.array(dims == d))
-                    keys = how.keys(_matrix(part["embedding"]))
+                    unit = _matrix(part["embedding"])
+                    keys, sketch = how.keys(unit), how.sketch(unit)
                     for t in range(how.tables):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(np.full(len(keys), t, np.int32)), part["id"], part["copies"], part["embedding"]], ["bucket", "t", "id", "copies", "embedding"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(np.full(len(keys), t, np.int32)), part["id"], pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["bucket", "t", "id", "s1", "s2"])
 
     return run
 
 
+def _near(most: int):
+    """Sorted rows of buckets -> those whose sketch is near that of another row of their bucket."""
+
+    def keep(rows: pa.Table) -> pa.RecordBatch:
+        bucket, part = rows["bucket"].to_numpy(), rows["part"].to_numpy()
+        run = np.cumsum(np.r_[0, (np.diff(bucket) != 0) | (np.diff(part) != 0)])
+        a, b = rows["s1"].to_numpy().view(np.uint64), rows["s2"].to_numpy().view(np.uint64)
+        block, two = rows["block"].to_numpy(), rows["two"].to_numpy()
+        good = np.zeros(len(run), bool)
+        at, step = np.flatnonzero(run[1:] == run[:-1]), 1
+        while len(at):  # every pair of a run, whose size is bounded, without a matrix of them
+            other = at + step
+            hit = np.bitwise_count(a[at] ^ a[other]) + np.bitwise_count(b[at] ^ b[other]) <= most
+            hit &= ~two[at] | (block[at] != block[other])
+            good[at[hit]] = True
+            good[other[hit]] = True
+            step += 1
+            at = at[at + step < len(run)]
+            at = at[run[at + step] == run[at]]
+        one = rows.combine_chunks().filter(pa.array(good))
+        names = ["bucket", "part", "two", "block", "t", "id"]
+        return pa.RecordBatch.from_arrays([pa.array(one[c].to_numpy()) for c in names], names)
+
+    return lambda batches: map(keep, whole_runs(batches, ("bucket", "part")))
+
+
 def _compare(how: Hashing, threshold: float):
     """Sorted rows of buckets -> links (kind 0: a, b) that span what is connected, and (kind 1: a, n)
     the vectors that a is linked to.  A pair counts only in the first table in which it meets."""
@@ -89,12 +133,12 @@ def _compare(how: Hashing, threshold: float):
         if not several.any():
             return
         ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
-        table, block = rows["t"].to_numpy(), rows["block"].to_numpy()
+        table, block, two = rows["t"].to_numpy(), rows["block"].to_numpy(), rows["two"].to_numpy()
         vectors = rows["embedding"].combine_chunks()
         lab, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         for lo, hi in zip(first[several].tolist(), last[several].tolist(), strict=True):
             v = _matrix(vectors.slice(lo, hi - lo))
-            across = block[lo] != block[hi - 1]  # a part of two blocks: pairs within one belong elsewhere
+            across = two[lo]  # pairs within a block belong to another part
             for i in range(0, hi - lo, TILE):
                 for j in range(i, hi - lo, TILE):
                     x, y = np.nonzero(v[i : i + TILE] @ v[j : j + TILE].T >= threshold)
@@ -119,53 +163,36 @@ def _compare(how: Hashing, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[ids[a], ids[c]]), pa.array(np.r_[ids[lab[a]], n[c]])], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket, part = b["bucket"].to_numpy(), b["part"].to_numpy()
-            changes = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))
-            if held and (bucket[0], part[0]) != (held[-1]["bucket"][-1].as_py(), held[-1]["part"][-1].as_py()):
-                yield from emit(pa.Table.from_batches(held))
-                held = []
-            if len(changes):
-                end = int(changes[-1]) + 1
-                yield from emit(pa.Table.from_batches([*held, b.slice(0, end)]))
-                held = [b.slice(end)]
-            else:
-                held.append(b)
-        if held:
-            yield from emit(pa.Table.from_batches(held))
+        for rows in whole_runs(batches, ("bucket", "part")):
+            yield from emit(rows)
 
     return run
 
 
 def link_vectors(classes: DataFrame, threshold: float, how: Hashing, block: int = BLOCK) -> DataFrame:
-    """Distinct valid vectors (id, copies, embedding) -> a table (kind, a, b): see _compare()."""
-    rows = classes.select("id", "copies", "embedding").mapInArrow(_bucket_rows(how), "bucket long, t int, id long, copies long, embedding array<float>")
-    rows = table = cut(rows)
-    sizes = rows.groupBy("bucket").count()
-    heavy = cut(sizes.where(F.col("count") > block).select(F.col("bucket").alias("hb"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), files_for(table))
-    n = heavy.count()
-    if n:
-        rows = rows.join(small(heavy, n), rows.bucket == heavy.hb, "left")
-        mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
-        rows = rows.select("bucket", "t", "id", "copies", "embedding", F.coalesce(mine, F.lit(0)).alias("block"), F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
-    else:
-        rows = rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("part"))
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "block", "id")
-    found = dealt.select("bucket", "part", "block", "t", "id", "copies", "embedding").mapInArrow(_compare(how, threshold), "kind int, a long, b long")
-    found = cut(found, files_for(table))
-    drop(table, heavy)
+    """Distinct valid vectors (id, copies, embedding) -> a table (kind, a, b): see _compare().
+
+    Buckets are formed of ids and sketches, 36 bytes a row; vectors are fetched only for rows that have
+    a near sketch in their bucket, which chance meetings do not."""
+    rows = classes.select("id", "embedding").mapInArrow(_bucket_rows(how), "bucket long, t int, id long, s1 long, s2 long")
+    table = cut(rows)
+    dealt = in_blocks(table, "bucket", "id", block, files_for(table)).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    live = dealt.select("bucket", "part", "two", "block", "t", "id", "s1", "s2").mapInArrow(_near(far(threshold)), "bucket long, part int, two boolean, block int, t int, id long")
+    live = cut(live, files_for(table))
+    drop(table)
+    vectors = classes.select(F.col("id").alias("vid"), "copies", "embedding")
+    both = live.join(vectors, F.col("id") == F.col("vid")).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "block", "id")
+    found = both.select("bucket", "part", "two", "block", "t", "id", "copies", "embedding").mapInArrow(_compare(how, threshold), "kind int, a long, b long")
+    found = cut(found, files_for(live))
+    drop(live)
     return found
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.98, how: Hashing | None = None) -> DataFrame:
     """vectors (vec_id, embedding array<float>, ...) -> vec_id, n_links, component_id, kept, one row per row.
 
-    Normalised vectors are hashed by quantised Gaussian projections into several tables; those that
-    share a bucket in any are compared by cosine in double precision, and pairs at or above the
+    embedding: an array of floats or doubles, compared as they are.  Normalised vectors are hashed by
+    quantised Gaussian projections into several tables; those that share a bucket in any are compared by cosine in double precision, and pairs at or above the
     threshold are links.  Equal vectors are one class that is compared once and counts as many links as
     it has copies.  n_links: other rows linked directly.  component_id: smallest vec_id reachable.
 
@@ -175,7 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     """
     e = F.col("embedding")
     good = F.coalesce(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, e.cast("array<float>")).alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, e).alias("embedding"))
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), files_for(vectors))
     how = how or Hashing.planned(classes.count(), threshold, recall)
