@@ -82,3 +82,24 @@ def csv_audit_field(c: Column) -> Column:
 
 def mask_secret(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 6), F.lit("***[REDACTED]"))
+
+
+def regex_replace(c: Column, pattern: str, to: str, first: bool = False) -> Column:
+    """##pattern##replacement of a rule: every match, or the first one; $1 names a group."""
+    if not first:
+        return sub(c, pattern, to)
+    n = re.compile(pattern).groups
+    after = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 2}" if m[1] != "0" else "$2", to)  # behind two groups of our own
+    return sub(c, rf"(?s)\A(.*?)({pattern})(.*)\z", "$1" + after + f"${n + 3}")
+
+
+def regex_extract(c: Column, patterns: tuple[str, ...], group: int = 0) -> Column:
+    """Matches of the last pattern, each pattern looking at what the one before found, a match a line;
+    none as soon as a pattern finds nothing.  A group that a pattern lacks, or that took no part, is the whole match."""
+    for p in patterns:
+        g = group if re.compile(p).groups >= group else 0
+        found = F.regexp_extract_all(c, F.lit(p), F.lit(g))
+        if g:
+            found = F.zip_with(found, F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda x, whole: F.when(x == "", whole).otherwise(x))
+        c = F.when(F.size(found) > 0, F.array_join(found, "\n"))
+    return F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: x != "")

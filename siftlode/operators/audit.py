@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import ascii_bounded, matches
@@ -85,3 +88,20 @@ def checks(reviewed: DataFrame, cleaned: DataFrame, groups: DataFrame, summary_i
         ("input-total", sin, F.col("r_n")), ("output-total", sout, F.col("c_n")), ("sources-count", F.col("r_n"), sin), ("removed-reason", F.col("r_why"), zero),
     ]
     return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), (n == e).alias("pass"), n.cast("long").alias("n"), e.cast("long").alias("expected")) for i, n, e in rows])))
+
+
+def matching(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows of which some column holds its text, whatever the case; without texts, all rows."""
+    hits = [F.coalesce(F.contains(F.lower(F.col(c)), F.lit(text.lower())), F.lit(False)) for c, text in wanted.items() if text]
+    return df.where(reduce(or_, hits)) if hits else df
+
+
+def page(df: DataFrame, by: str, ties: tuple[str, ...], start: int, size: int, descending: bool = False) -> DataFrame:
+    """size rows from start on, in the order of a column with nulls last, then of ties."""
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    return df.orderBy(first, *[F.col(c).asc_nulls_last() for c in ties]).offset(start).limit(size)
+
+
+def repeated(df: DataFrame, key: Column, id_: str) -> DataFrame:
+    """(key, n, first) of keys that several rows share."""
+    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(id_).alias("first")).where("n > 1 and key is not null")

@@ -235,7 +235,3 @@ def search_word(check_key: Column, category: Column) -> Column:
 def excluded(status: Column, unavailable: bool = False, unknown: bool = False, complex_: bool = False) -> Column:
     gone = ([] if unavailable else ["dead", "timeout", "forbidden", "invalid"]) + ([] if unknown else ["unknown"]) + ([] if complex_ else ["complex_unverified"])
     return status.isin(*gone) if gone else F.lit(False)
-
-
-def safe_headers(headers: Column) -> Column:
-    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*vocab.UNSAFE_HEADERS))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,30 +109,96 @@ def batch_summary(results: DataFrame) -> DataFrame:
     return counted.unionByName(reasons).where("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
-def fetch_with(requests: DataFrame, fetch: Callable[[str, str, str | None], tuple[int | None, str | None, str | None, str | None]], workers: int = 16) -> DataFrame:
-    """(idx, url, method, body) -> idx, url, status, content_type, page, error by a given fetch function.
+def top_reasons(results: DataFrame, k: int = 10) -> DataFrame:
+    """(reason, n): the k most frequent failure reasons of batch results."""
+    return results.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(k)
 
-    Off by default: nothing in the library calls this without being handed `fetch`.  Private addresses
-    are refused before it is called; requests of a partition run `workers` at a time.
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
-    import pandas as pd
+#: Most redirects that are followed, and bytes of a body that are kept.
+HOPS, BODY = 5, 262_144
 
-    asked = requests.withColumn("__private", F.coalesce(urls.private_ip(F.regexp_extract("url", urls.AUTHORITY, 1)), F.lit(True)))
 
-    def one(row):
-        if row["__private"]:
-            return (row["idx"], row["url"], None, None, None, "ssrf_blocked")
+def refused(url: str, resolve: Callable[[str], list[str]] | None = None) -> bool:
+    """private_url() in a task, before each hop; resolve(host) -> addresses adds what names stand for."""
+    try:
+        host = (urlsplit(url).hostname or "").rstrip(".").lower()
+    except ValueError:
+        return True
+    if not host or host == "localhost" or host.endswith((".local", ".localhost")):
+        return True
+    for text in [host, *(resolve(host) if resolve else ())]:
         try:
-            status, kind, page, error = fetch(row["url"], row["method"], row["body"])
-        except Exception as bad:  # whatever a fetcher raises is that request's error
-            status, kind, page, error = None, None, None, "timeout" if "timeout" in str(bad).lower() else "network_error"
-        return (row["idx"], row["url"], status, kind, page[:262_144] if page else page, error)
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            continue
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        if ip.is_loopback or ip.is_link_local or ip.is_unspecified or any(ip in net for net in _PRIVATE if net.version == ip.version):
+            return True
+    return False
+
+
+_PRIVATE = [ipaddress.ip_network(x) for x in ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")]
+
+
+def error_name(text: str) -> tuple[str, bool]:
+    """(error of an exception's text, whether another attempt is worth it)."""
+    low = text.lower()
+    if "abort" in low or "timeout" in low or "timed out" in low:
+        return "timeout", True
+    if any(x in low for x in ("enotfound", "dns", "getaddrinfo", "name or service")):
+        return "dns_failed", False
+    if any(x in low for x in ("refused", "reset", "tls", "certificate", "ssl")):
+        return "connection_error", False
+    return "network_error", True
+
+
+def fetch_with(requests: DataFrame, fetch: Callable[[str, str, str | None, dict], tuple[int, str | None, str | None, str | None]], workers: int = 16, retry: int = 1, resolve: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(idx, url, method, body[, headers]) -> idx, url, status, content_type, page, error, hops, attempts, ms.
+
+    fetch(url, method, body, headers) -> status, content type, body, location of a redirect; it raises
+    where there is no answer.  Nothing in the library calls this without being handed `fetch`.  Private
+    hosts are refused before each request, redirects (five at most, as GET) among them; what may pass
+    by itself is tried again.  Requests of a partition run `workers` at a time.
+    """
+    has_headers = "headers" in requests.columns
+
+    def attempt(url: str, method: str, body: str | None, headers: dict) -> tuple:
+        for hops in range(HOPS + 1):
+            if refused(url, resolve):
+                return (None, None, None, "ssrf_blocked", hops)
+            status, kind, page, location = fetch(url, method, body, headers)
+            if status not in (301, 302, 307, 308) or not location or hops == HOPS:
+                return (status, kind, page[:BODY] if page else page, None, hops)
+            url, method, body = urljoin(url, location), "GET", None
+
+    def one(row) -> tuple:
+        began = time.monotonic()
+        for tries in range(1, retry + 2):
+            try:
+                out = attempt(row["url"], row["method"], row["body"], dict(row["headers"] or ()) if has_headers else {})
+                break
+            except Exception as bad:  # whatever a fetcher raises is that request's error
+                name, again = error_name(f"{type(bad).__name__} {bad}")
+                out = (None, None, None, name, 0)
+                if not again:
+                    break
+        return (row["idx"], row["url"], *out, tries, int((time.monotonic() - began) * 1000))
 
     def go(batches):
         with ThreadPoolExecutor(workers) as pool:
             for b in batches:
-                yield pd.DataFrame(list(pool.map(one, b.to_dict("records"))), columns=["idx", "url", "status", "content_type", "page", "error"]).astype({"status": "Int32"})
+                yield pd.DataFrame(list(pool.map(one, b.to_dict("records"))), columns=["idx", "url", "status", "content_type", "page", "error", "hops", "attempts", "ms"]).astype({"status": "Int32"})
+
+    return requests.mapInPandas(go, "idx long, url string, status int, content_type string, page string, error string, hops int, attempts int, ms long")
+
+
+def connectivity(responses: DataFrame) -> DataFrame:
+    """What fetch_with() found of each record's own url, as process() takes it: idx, connectivity,
+    search_status (NOT_CHECKED), measured_respond_time."""
+    return responses.select("idx", connectivity_status(F.col("status"), F.col("error")).alias("connectivity"), F.lit("NOT_CHECKED").alias("search_status"), F.when(F.col("error").isNull(), F.col("ms").cast("double")).alias("measured_respond_time"))
+
 
-    return asked.mapInPandas(go, "idx long, url string, status int, content_type string, page string, error string")
+def validate_mode(mode: str | None) -> str | None:
+    """A mode of validation, whatever its case and white space; None for anything else."""
+    m = mode.strip().lower() if isinstance(mode, str) else ""
+    return m if m in vocab.VALIDATE_MODES else None

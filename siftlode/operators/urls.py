@@ -14,6 +14,12 @@ from siftlode.functions.text import CJK, NOT_S, S, encode_component, matches, su
 HTTP = r"(?i)^https?://.+"
 DOMAIN = r"^[a-zA-Z0-9][-a-zA-Z0-9.]*\.[a-zA-Z]{2,}(:[0-9]+)?(/.*)?\z"
 AUTHORITY = r"(?i)^https?://(?:[^/?#@]*@)?([^/:?#\\]+)"
+#: Host of a url that is about to be fetched, with the brackets of an IPv6 address.
+TARGET = r"(?i)^https?://(?:[^/?#\\]*@)?(\[[^\]/?#]*\]|[^/:?#\\]+)"
+#: Codes in {{...}} that are worked out: (page - 1) * 20 + 1, page * 20 + 1, 20 * (page - 1).
+PAGE_SHIFTED = r"^\(\s*page\s*([+-])\s*([0-9]{1,9})\s*\)\s*(?:\*\s*([0-9]{1,9}))?\s*(?:([+-])\s*([0-9]{1,9}))?\z"
+PAGE_TIMES = r"^page\s*(?:\*\s*([0-9]{1,9}))?\s*(?:([+-])\s*([0-9]{1,9}))?\z"
+TIMES_PAGE = r"^([0-9]{1,9})\s*\*\s*\(\s*page\s*([+-])\s*([0-9]{1,9})\s*\)\z"
 
 
 #: What is left of a url when a trailing CJK note, #note, @maintainer and punctuation are gone.
@@ -82,42 +88,85 @@ def url_key(raw: Column, candidate: Column | None = None) -> Column:
     return F.when(http, no_slash(c)).when(looks_like_domain(c), no_slash(F.concat(F.lit("https://"), c))).otherwise(trim(F.lower(c)))
 
 
+def host_of(url: Column) -> Column:
+    """Host that an http url is fetched from, in lower case, without user, port, brackets and final dots; null if none."""
+    return F.nullif(sub(F.lower(F.regexp_extract(url, TARGET, 1)), r"^\[|\]\z|\.+\z"), F.lit(""))
+
+
 def private_ip(ip: Column) -> Column:
-    """Literal loopback, private, link-local and unique-local addresses."""
-    part = F.transform(F.split(ip, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
-    a, b = F.get(part, F.lit(0)), F.get(part, F.lit(1))
-    v4 = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
-    in4 = (a == 127) | (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
+    """Literal unspecified, loopback, private, link-local and unique-local addresses; other text is none."""
     low = F.lower(ip)
-    return F.when(v4, in4).otherwise((low == "::1") | low.startswith("fc") | low.startswith("fd"))
+    v4 = F.regexp_extract(low, r"^(?:::ffff:)?([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
+    part = F.transform(F.split(v4, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
+    a, b = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+    in4 = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
+    in6 = F.contains(low, F.lit(":")) & low.rlike(r"^(::1?|0:0:0:0:0:0:0:[01]|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]:.*)\z")
+    return F.when(v4 != "", in4).otherwise(in6)
+
+
+def private_host(host: Column) -> Column:
+    """Names and addresses of this machine or its network; names are not looked up."""
+    return F.coalesce((host == "localhost") | host.endswith(".localhost") | host.endswith(".local") | private_ip(host), F.lit(False))
+
+
+def private_url(url: Column) -> Column:
+    """A url that must not be fetched: it has no host, or a private one."""
+    host = host_of(url)
+    return host.isNull() | private_host(host)
 
 
 def has_template_js(c: Column) -> Column:
     return matches(c, r"\{\{.*?(\?|\.length|\.substring|\.slice|\.replace|&&|\|\|).*?\}\}")
 
 
-def search_request(template: Column, base: Column, keyword: Column, page: Column) -> Column:
-    """struct(url, method, body, charset) of a search template `url[,{options}]`.
+def template_value(code: Column, key: Column, page: Column, base: Column) -> Column:
+    """Text for the code inside {{...}}: the keyword (encoded, or as it is in upper or lower case), the
+    page and sums of it, the base.  Notes (#...) and all other scripts give nothing; none is run."""
+    c = trim(code)
+    part = lambda pattern, i, default: F.coalesce(F.nullif(F.regexp_extract(c, pattern, i), F.lit("")).cast("long"), F.lit(default))
+    signed = lambda pattern, i: F.when(F.regexp_extract(c, pattern, i) == "-", -part(pattern, i + 1, 0)).otherwise(part(pattern, i + 1, 0))
+    value = (
+        F.when(c.isin("key", "keyword", "encodeURIComponent(key)", "encodeURIComponent(keyword)"), encode_component(key))
+        .when(c == "key.toUpperCase()", F.upper(key)).when(c == "key.toLowerCase()", F.lower(key)).when(c.isin("source.bookSourceUrl", "baseUrl"), base)
+        .when(c.rlike(PAGE_SHIFTED), ((page + signed(PAGE_SHIFTED, 1)) * part(PAGE_SHIFTED, 3, 1) + signed(PAGE_SHIFTED, 4)).cast("string"))
+        .when(c.rlike(PAGE_TIMES), (page * part(PAGE_TIMES, 1, 1) + signed(PAGE_TIMES, 2)).cast("string"))
+        .when(c.rlike(TIMES_PAGE), (part(TIMES_PAGE, 1, 1) * (page + signed(TIMES_PAGE, 2))).cast("string"))
+    )
+    return F.coalesce(value, F.lit(""))
 
-    {{key}} and {{keyword}} become the encoded keyword, {{page}} the page, {{source.bookSourceUrl}} the
-    base; <a,b,c> is the page's entry, the last one beyond it; a path is put behind the base's origin.
-    """
-    at = F.instr(template, ",{")
-    url = F.when(at > 0, F.substring(template, 1, at - 1)).otherwise(template)
-    options = F.from_json(F.when(at > 0, F.substring(template, at + 1, F.length(template))), "method string, body string, charset string")
-    key = encode_component(keyword)
-    number = page.cast("string")
 
-    def fill(c: Column) -> Column:
-        for name, value in (("{{key}}", key), ("{{keyword}}", key), ("{{page}}", number), ("{{source.bookSourceUrl}}", base)):
-            c = F.replace(c, F.lit(name), value)
-        return c
+def fill_template(template: Column, key: Column, page: Column, base: Column) -> Column:
+    """template with every {{...}} replaced by its template_value()."""
+    codes = F.regexp_extract_all(template, F.lit(r"(?s)\{\{(.*?)\}\}"), F.lit(1))
+    texts = F.split(template, r"(?s)\{\{.*?\}\}", -1)
+    return F.array_join(F.zip_with(texts, codes, lambda t, c: F.concat(t, template_value(c, key, page, base))), "")
+
 
+def search_request(template: Column, base: Column, keyword: Column, page: Column) -> Column:
+    """struct(url, method, body, charset, headers) of a search template `url[,{options}]`.
+
+    {{...}} is filled by fill_template(); <a,b,c> is the page's entry, the last one beyond it; a path is
+    put behind the base's origin.  Headers that are never sent on are left out.
+    """
+    two = r"(?s)\A(.*?),\s*(\{(?!\{).*\})\s*\z"  # a comma before {{ belongs to the url
+    url = F.coalesce(F.nullif(F.regexp_extract(template, two, 1), F.lit("")), template)
+    options = F.from_json(F.nullif(F.regexp_extract(template, two, 2), F.lit("")), "method string, body string, charset string, headers map<string,string>")
+    fill = lambda c: fill_template(c, keyword, page, base)
     pages = F.split(F.regexp_extract(url, "<([^<>]*)>", 1), ",")
     one = trim(F.element_at(pages, F.least(page, F.size(pages))))
     url = fill(F.when(url.rlike("<[^<>]*>"), F.concat(F.regexp_extract(url, "^([^<]*)<", 1), one, F.regexp_extract(url, ">([^<>]*)\\z", 1))).otherwise(url))
     origin = F.regexp_extract(base, "(?i)^(https?://[^/?#]+)", 1)
     url = F.when(matches(url, "(?i)^https?://"), url).when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("/"), F.concat(origin, url)).when(looks_like_domain(url), F.concat(F.lit("https://"), url)).otherwise(F.concat(origin, F.lit("/"), url))
     method = F.upper(F.coalesce(options["method"], F.lit("GET")))
-    body = F.coalesce(fill(options["body"]), F.when(method == "POST", F.concat(F.lit("searchkey="), key)))
-    return F.struct(url.alias("url"), method.alias("method"), body.alias("body"), options["charset"].alias("charset"))
+    body = F.coalesce(fill(options["body"]), F.when(method == "POST", F.concat(F.lit("searchkey="), encode_component(keyword))))
+    return F.struct(url.alias("url"), method.alias("method"), body.alias("body"), options["charset"].alias("charset"), safe_headers(F.coalesce(options["headers"], F.create_map().cast("map<string,string>"))).alias("headers"))
+
+
+def safe_headers(headers: Column) -> Column:
+    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*vocab.UNSAFE_HEADERS))
+
+
+def header_field(header: Column) -> Column:
+    """Headers that a record's `header` field (the text of a JSON object) asks for and that may be sent;
+    none where it is null or cannot be read."""
+    return safe_headers(F.coalesce(F.from_json(header, "map<string,string>"), F.create_map().cast("map<string,string>")))

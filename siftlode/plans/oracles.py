@@ -141,8 +141,9 @@ AVAILABILITY = """case when structure_status = 'STRUCTURE_INVALID' then 'invalid
 LOGIN = "case when coalesce(login_url, '') <> '' or coalesce(login_ui, '') <> '' or coalesce(login_check_js, '') <> '' then case when regexp_matches(coalesce(login_check_js, ''), 'cookie|token|session', 'i') then 'needsLogin' else 'loginRelated' end end"
 
 
-def avail_cte() -> str:
-    return f"a0 as (select *, {LOGIN} as login, {CONNECTIVITY_SQL} as connectivity, {SEARCH_SQL} as search_status from st), av as (select *, {AVAILABILITY} as availability from a0)"
+def avail_cte(online: bool = True) -> str:
+    found = f"{CONNECTIVITY_SQL} as connectivity, {SEARCH_SQL} as search_status" if online else "'NOT_CHECKED' as connectivity, 'NOT_CHECKED' as search_status"
+    return f"a0 as (select *, {LOGIN} as login, {found} from st), av as (select *, {AVAILABILITY} as availability from a0)"
 
 
 def bracket(c: str, brackets: tuple) -> str:
@@ -173,8 +174,8 @@ def score_cte() -> str:
     return f"sc as (select *, cast({total} as int) as score from av)"
 
 
-def upto_score() -> str:
-    return f"with {names_cte()}, {class_cte()}, {struct_cte()}, {avail_cte()}, {score_cte()}"
+def upto_score(online: bool = True) -> str:
+    return f"with {names_cte()}, {class_cte()}, {struct_cte()}, {avail_cte(online)}, {score_cte()}"
 
 
 def dedupe_key(level: str) -> str:
@@ -193,10 +194,34 @@ RULE_FIELDS = " + ".join(f"cast(coalesce({c}, '') <> '' as int)" for c in ("rs_l
 SURVIVOR = "score desc, case availability " + " ".join(f"when '{k}' then {v}" for k, v in vocab.AVAILABILITY_RANK.items()) + f" else 99 end, respond_time asc nulls last, coalesce(last_update_time, 0) desc, coalesce(weight, 0) desc, {RULE_FIELDS} desc, idx"
 
 
-def upto_dedupe(level: str) -> str:
+def upto_dedupe(level: str, online: bool = True, where: str = "true") -> str:
     risk = "bool_or(category is distinct from kcat or type is distinct from ktype) over (partition by part)" if level in ("host", "aggressive") else "false"
-    return f"""{upto_score()}, {urls_cte('sc')}, dk as (select *, {dedupe_key(level)} as dedupe_key from nu), dp as (select *, coalesce(dedupe_key, chr(1) || idx) as part from dk),
+    return f"""{upto_score(online)}, sf as (select * from sc where {where}), {urls_cte('sf')}, dk as (select *, {dedupe_key(level)} as dedupe_key from nu), dp as (select *, coalesce(dedupe_key, chr(1) || idx) as part from dk),
 d1 as (select *, row_number() over w as dup_rank, count(*) over (partition by part) as dup_size, min(idx) over (partition by part) as dup_first_idx, first_value(idx) over w as kidx, first_value(name) over w as kname, first_value(score) over w as kscore,
   first_value(category) over w as kcat, first_value(type) over w as ktype, first_value(availability) over w as kavail, first_value(rs_list) over w as krs_list, first_value(rs_name) over w as krs_name, first_value(rs_url) over w as krs_url, first_value(bi_name) over w as kbi_name,
   first_value(toc_list) over w as ktoc_list, first_value(ct_content) over w as kct_content, first_value(last_update_time) over w as klast, first_value(respond_time) over w as krt from dp window w as (partition by part order by {SURVIVOR} rows between unbounded preceding and unbounded following)),
 dd as (select *, dup_size > 1 and {risk} as dup_risk from d1), de as (select *, dup_rank = 1 or dup_risk as dup_kept from dd)"""
+
+
+def reason(k: str = "k") -> str:
+    same = lambda a, b: f"case when {a} is not distinct from {b} then 'yes' else 'no' end"
+    return f"""case when not dup_kept then 'Duplicate of "' || kname || '" (score diff: ' || (kscore - score) || ', same category: ' || {same('category', 'kcat')} || ', same type: ' || {same('type', 'ktype')} || ')' end"""
+
+
+KEPT_TAGS = "list_filter(list_transform(string_split(coalesce(grp, ''), ','), lambda x: trim(x)), lambda x: x <> '' and x <> category and x not in ('小说', '漫画', '有声', '影视', '下载'))"
+CATEGORY_FIRST = f"case when len({KEPT_TAGS}) > 0 then category || ', ' || array_to_string({KEPT_TAGS}, ', ') else category end"
+EXCLUDED = "availability in ('dead', 'timeout', 'forbidden', 'invalid', 'unknown', 'complex_unverified')"
+
+
+def reviewed() -> str:
+    """rv: every record of an offline run with default switches, with its outcome."""
+    return f"""{upto_dedupe('conservative', False, 'coalesce(enabled, true)')}, rv0 as (
+select idx, name, url, grp, type, cleaned_name, category, availability, structure_status, respond_time, score, dup_kept as after_dedupe, {reason()} as why from de
+union all select idx, name, url, grp, type, cleaned_name, category, availability, structure_status, respond_time, score, false, 'Filtered: disabled source excluded' from sc where not coalesce(enabled, true)),
+rv as (select *, {CATEGORY_FIRST} as final_group, after_dedupe and not {EXCLUDED} as kept, coalesce(why, case when {EXCLUDED} then 'Excluded: availability=' || availability end) as removed_reason from rv0)"""
+
+
+def unescaped(c: str) -> str:
+    for coded, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        c = f"replace({c}, '{coded}', '{plain}')"
+    return c

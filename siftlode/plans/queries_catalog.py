@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import csv_audit_field, csv_field, encode_component
-from siftlode.operators import dedupe, judge, names, urls
+from siftlode.operators import audit, dedupe, judge, names, urls
 from siftlode.plans import oracles as O
 from siftlode.plans.testdata import catalog, judged, table
 
@@ -126,15 +126,14 @@ def score_breakdown(spark, sf_dir):
 
 def _dedupe(level):
     def run(spark, sf_dir):
-        m = dedupe.dedupe(judged(spark, sf_dir), level)
+        m = dedupe.ranked(dedupe.dedupe(judged(spark, sf_dir), level))
         return m.select("idx", "dedupe_key", "dup_rank", "dup_size", "dup_risk", "dup_kept", F.col("k.idx").alias("kept_idx"), dedupe.removed_reason().alias("removed_reason"))
 
     return run
 
 
-_reason = """case when not dup_kept then 'Duplicate of "' || kname || '" (score diff: ' || (kscore - score) || ', same category: ' || case when category is not distinct from kcat then 'yes' else 'no' end || ', same type: ' || case when type is not distinct from ktype then 'yes' else 'no' end || ')' end"""
 for _level in dedupe.LEVELS[1:]:
-    query(f"{O.upto_dedupe(_level)} select idx, dedupe_key, cast(dup_rank as int) as dup_rank, dup_size, dup_risk, dup_kept, kidx as kept_idx, {_reason} as removed_reason from de", f"dedupe_{_level}")(_dedupe(_level))
+    query(f"{O.upto_dedupe(_level)} select idx, dedupe_key, cast(dup_rank as int) as dup_rank, dup_size, dup_risk, dup_kept, kidx as kept_idx, {O.reason()} as removed_reason from de", f"dedupe_{_level}")(_dedupe(_level))
 
 
 @query(f"{O.upto_dedupe('host')} select dedupe_key, idx, score from de where dup_rank = 1 and dedupe_key is not null")
@@ -144,7 +143,8 @@ def dedupe_survivors(spark, sf_dir):
 
 def _groups(level):
     def run(spark, sf_dir):
-        g = dedupe.groups(dedupe.dedupe(judged(spark, sf_dir), level), level)
+        m = dedupe.dedupe(judged(spark, sf_dir), level)
+        g = dedupe.listed(m, dedupe.groups(m, level))
         return g.select(F.col("group_id").cast("long").alias("group_id"), "group_key", "kept_idx", "kept_name", "dup_risk", "reason", F.array_join(F.transform("removed_indices", lambda x: x.cast("string")), ",").alias("removed"))
 
     return run
@@ -170,8 +170,8 @@ def dedupe_field_diff(spark, sf_dir):
 
 @query("select md5(lower(trim(text))) as text_key, count(*) as n, min(doc_id) as first_doc from documents group by 1 having count(*) > 1")
 def duplicate_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.md5(F.lower(F.trim("text"))).alias("text_key"), "doc_id")
-    return d.groupBy("text_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    found = audit.repeated(table(spark, sf_dir, "documents"), F.md5(F.lower(F.trim("text"))), "doc_id")
+    return found.select(F.col("key").alias("text_key"), "n", F.col("first").alias("first_doc"))
 
 
 def _group_mode(mode):
@@ -182,11 +182,10 @@ def _group_mode(mode):
     return run
 
 
-_kept_tags = "list_filter(list_transform(string_split(coalesce(grp, ''), ','), lambda x: trim(x)), lambda x: x <> '' and x <> category and x not in ('小说', '漫画', '有声', '影视', '下载'))"
 for _mode, _sql in {
     "overwrite": ("category", "'overwrite'"), "append": ("case when coalesce(grp, '') = '' then category when contains(grp, category) then grp else grp || ', ' || category end", "'append'"),
     "preserve": ("coalesce(grp, '')", "'preserved-original'"), "report-only": ("coalesce(grp, '')", "'report-only (suggested: ' || category || ')'"),
-    "category-first": (f"case when len({_kept_tags}) > 0 then category || ', ' || array_to_string({_kept_tags}, ', ') else category end", "'category-first'"),
+    "category-first": (O.CATEGORY_FIRST, "'category-first'"),
 }.items():
     query(f"with {O.names_cte()}, {O.class_cte()} select idx, {_sql[0]} as final_group, {_sql[1]} as reason from cl", "group_mode_" + _mode.replace("-", "_"))(_group_mode(_mode))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlode.functions import times
-from siftlode.functions.text import mask_secret
+from siftlode.functions.text import mask_secret, regex_extract, regex_replace
 from siftlode.operators import audit, dedupe, judge, names, probes, urls
 from siftlode.plans import oracles as O
-from siftlode.plans.process import Options, process
+from siftlode.plans.process import Options, not_disabled, only_enabled, process
 from siftlode.plans.testdata import AS_OF, catalog, judged, table
 from siftlode.rules import chain, frames
 from siftlode.sources.catalog import page_store
+from siftlode.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -32,7 +33,8 @@ CAT = f"with cat as ({O.CATALOG_SQL})"
 
 @query(f"{CAT} select idx, enabled, coalesce(enabled, false) as only_enabled, coalesce(enabled, true) as not_disabled from cat")
 def filters_enabled(spark, sf_dir):
-    return catalog(spark, sf_dir).select("idx", "enabled", F.coalesce("enabled", F.lit(False)).alias("only_enabled"), F.coalesce("enabled", F.lit(True)).alias("not_disabled"))
+    e = F.col("enabled")
+    return catalog(spark, sf_dir).select("idx", "enabled", only_enabled(e).alias("only_enabled"), not_disabled(e).alias("not_disabled"))
 
 
 @query(f"{CAT}, {O.urls_cte('cat', 'idx, url')} select idx, url_status from nu where url_status = 'VALID_HTTP'")
@@ -156,12 +158,9 @@ def audit_checks(spark, sf_dir):
 
 @query(f"{O.upto_dedupe('url')} select dedupe_key, kidx as kept_idx, idx as removed_idx, kname as kept_name, name as removed_name, kcat as kept_category, category as removed_category, case when type is distinct from ktype then 'yes' else 'no' end as type_different from de where dup_size > 1 and dup_rank > 1 and dedupe_key is not null")
 def duplicate_risk_join(spark, sf_dir):
-    """Groups joined back to both records of each pair, as the risk file lists them."""
-    rows = judged(spark, sf_dir)
-    pairs = dedupe.groups(dedupe.dedupe(rows, "url"), "url").select("group_key", "kept_idx", F.explode("removed_indices").alias("removed_idx"))
-    side = lambda p: rows.select(F.col("idx").alias(f"{p}_i"), F.col("name").alias(f"{p}_name"), F.col("category").alias(f"{p}_category"), F.col("type").alias(f"{p}_type"))
-    both = pairs.join(side("kept"), F.col("kept_idx") == F.col("kept_i")).join(side("removed"), F.col("removed_idx") == F.col("removed_i"))
-    return both.select(F.col("group_key").alias("dedupe_key"), "kept_idx", "removed_idx", "kept_name", "removed_name", "kept_category", "removed_category", F.when(F.col("kept_type").eqNullSafe(F.col("removed_type")), "no").otherwise("yes").alias("type_different"))
+    """The survivor beside each other member, as the risk file lists them."""
+    found = dedupe.pairs(dedupe.dedupe(judged(spark, sf_dir), "url"))
+    return found.select("dedupe_key", "kept_idx", "removed_idx", "kept_name", "removed_name", "kept_category", "removed_category", F.when(F.col("type_conflict"), "yes").otherwise("no").alias("type_different"))
 
 
 IPS = ("127.0.0.1", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.9.9", "169.254.1.1", "8.8.8.8", "::1", "fc00::1", "FD12::1", "2001:db8::1", "example.com", "172.31.255.255", "11.0.0.1")
@@ -173,6 +172,48 @@ def private_ip(spark, sf_dir):
     return spark.sql(f"select * from values {_ips} as t(ip)").select("ip", urls.private_ip(F.col("ip")).alias("private"))
 
 
+_hosts = """select page_id, case page_id % 15 when 0 then 'http://[::1]:8080/x' when 1 then 'http://localhost' when 2 then 'https://user@printer.local/a' when 3 then 'http://fcbooks.com/' when 4 then 'http://fdnovel.net:80/b' when 5 then 'http://0.0.0.0/'
+when 6 then 'https://[FC00::' || page_id || ']/' when 7 then 'http://192.168.1.' || (page_id % 256) || '/' when 8 then 'http://172.' || (10 + page_id % 30) || '.1.1?q' when 9 then 'ftp://10.0.0.1/' when 10 then 'http://[2001:db8::' || page_id || ']' when 11 then 'http://a@127.0.0.1#x'
+when 12 then 'http://local.example.org/' when 13 then 'http://[::ffff:10.1.1.1]/' else url end as url from pages"""
+
+
+@query(rf"""with h as ({_hosts}), t as (select *, lower(regexp_extract(url, '^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]+)', 1, 'i')) as raw from h), n as (select *, case when raw = '' then null else trim(raw, '[]') end as host from t)
+select page_id, host, case when host is null then true when contains(host, ':') then host = '::1' or regexp_matches(host, '^f[cd]') or regexp_matches(host, '^::ffff:10\.')
+  when regexp_matches(host, '^[0-9.]+$') then regexp_matches(host, '^(0|10|127)\.') or regexp_matches(host, '^192\.168\.') or regexp_matches(host, '^172\.(1[6-9]|2[0-9]|3[01])\.') else host = 'localhost' or host like '%.local' end as private from n""")
+def private_hosts(spark, sf_dir):
+    d = spark.sql(_hosts.replace("from pages", "from {pages}"), pages=table(spark, sf_dir, "pages"))
+    return d.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.private_url(F.col("url")).alias("private"))
+
+
+_header = """select event_id, case event_id % 6 when 0 then null when 1 then 'not json' when 2 then '{"Cookie": "x", "Accept": "a/b"}' when 3 then '{"HOST": "h", "x-api-key": "k"}' when 4 then '{"Referer": "https://e.com/' || event_id || '"}' else props end as header from events"""
+
+
+@query(f"""with h as ({_header}), e as (select event_id, unnest(json_keys(header)) as k, header from h where event_id % 6 not in (0, 1)), g as (select event_id, string_agg(k || '=' || json_extract_string(header, '$."' || k || '"'), ';' order by k) as sent from e where lower(k) not in ('cookie', 'host', 'x-api-key') group by event_id)
+select event_id, coalesce(sent, '') as sent from h left join g using (event_id)""")
+def header_field(spark, sf_dir):
+    d = spark.sql(_header.replace("{", "{{").replace("}", "}}").replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    sent = F.array_sort(F.map_entries(urls.header_field(F.col("header"))))
+    return d.select("event_id", F.array_join(F.transform(sent, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("sent"))
+
+
+_templates = ("'/s?o={{(page-1)*20}}&n={{ page + 1 }}'", "'/s/{{key.toUpperCase()}}/{{page*10-1}}'", "'/s?a={{20*(page-1)}}{{# a note}}&k={{encodeURIComponent(key)}}'", "'{{baseUrl}}/q={{process.exit()}}.'", "'/s,{\"method\":\"post\",\"body\":\"k={{key}}&o={{(page+2)*3}}\",\"headers\":{\"Cookie\":\"c\",\"Accept\":\"t\"}}'", "'//h.example.com/<a,b,{{page}}>'")
+_tpl = "select page_id, 'https://b.example.com' as base, 1 + page_id % 4 as page, case page_id % 6 " + " ".join(f"when {i} then {t}" for i, t in enumerate(_templates)) + " end as template from pages"
+
+
+@query(f"""with t as ({_tpl}) select page_id, case page_id % 6 when 0 then base || '/s?o=' || (page - 1) * 20 || '&n=' || (page + 1) when 1 then base || '/s/AB C/' || (page * 10 - 1) when 2 then base || '/s?a=' || 20 * (page - 1) || '&k=ab%20c' when 3 then base || '/q=.'
+  when 4 then base || '/s' else 'https://h.example.com/' || case page when 1 then 'a' when 2 then 'b' else cast(page as varchar) end end as url, case when page_id % 6 = 4 then 'k=ab%20c&o=' || (page + 2) * 3 end as body, case when page_id % 6 = 4 then 'Accept' else '' end as headers from t""")
+def search_templates(spark, sf_dir):
+    d = spark.sql(_tpl.replace("{", "{{").replace("}", "}}").replace("from pages", "from {pages}"), pages=table(spark, sf_dir, "pages"))
+    r = urls.search_request(F.col("template"), F.col("base"), F.lit("ab c"), F.col("page").cast("int"))
+    return d.select("page_id", r.alias("r")).select("page_id", "r.url", "r.body", F.array_join(F.map_keys("r.headers"), ",").alias("headers"))
+
+
+@query("select page_id, case when page_id % 3 = 0 then 'SEARCH_TEMPLATE_COMPLEX' when page_id % 3 = 1 then 'SEARCH_SKIPPED_NON_HTTP' end as precheck from pages")
+def search_precheck_templates(spark, sf_dir):
+    d = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 1, "an identifier").otherwise("https://e.com").alias("url"), F.when(F.col("page_id") % 3 == 0, "/s?q={{key.length > 2 ? key : 'x'}}").otherwise("/s?q={{key}}").alias("search_url"), *[F.lit(None).cast("string").alias(c) for c in ("explore_url", "login_url", "login_check_js", "js_lib")])
+    return d.select("page_id", probes.search_precheck(F.col("url")).alias("precheck"))
+
+
 _resp = "select page_id, case page_id % 9 when 0 then 403 when 1 then 404 when 2 then 503 when 3 then 429 when 4 then 302 when 5 then null else 200 end as status, case page_id % 13 when 0 then 'timeout' when 1 then 'dns_failed' else null end as error, case page_id % 8 when 0 then 'Access denied by Cloudflare, please wait a little while and try it once again' when 1 then '请登录 输入密码' when 2 then '{\"data\": [1, 2, 3], \"pad\": \"xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx\"}' when 3 then 'short' else html end as body, case when page_id % 2 = 0 then '.list' end as rule from pages"
 
 
@@ -250,20 +291,27 @@ def batch_summary_long(spark, sf_dir):
 
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def json_props_path(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return frames.apply_rule(table(spark, sf_dir, "events"), "$.k", content="props", keys=("event_id",)).select("event_id", F.col("text").alias("k"))
 
 
 @query("select doc_id, regexp_replace(text, '([A-Za-z]+)ing', '<\\1>', 'g') as replaced, regexp_replace(text, '([A-Za-z]+)ing', '<\\1>') as replaced_first, array_to_string(regexp_extract_all(text, '([A-Z][a-z]+)\\.', 1), chr(10)) as extracted from documents")
 def regex_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    first = F.regexp_replace("text", r"(?s)^(.*?)([A-Za-z]+)ing(.*)\z", "$1<$2>$3")
-    return d.select("doc_id", F.regexp_replace("text", "([A-Za-z]+)ing", "<$1>").alias("replaced"), first.alias("replaced_first"), F.array_join(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)\."), F.lit(1)), "\n").alias("extracted"))
+    t, ing = F.col("text"), "([A-Za-z]+)ing"
+    return table(spark, sf_dir, "documents").select("doc_id", regex_replace(t, ing, "<$1>").alias("replaced"), regex_replace(t, ing, "<$1>", first=True).alias("replaced_first"),
+                                                    F.when(t.isNotNull(), F.array_join(regex_extract(t, (r"([A-Z][a-z]+)\.",), 1), "\n")).alias("extracted"))
+
+
+@query("with a as (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+ the [a-z]+') as x from documents), b as (select doc_id, list_filter(list_transform(x, lambda s: regexp_extract(s, '[a-z]+$')), lambda s: s <> '') as x from a) select doc_id, len(x) as n, array_to_string(x, ',') as words from b")
+def regex_extract_chain(spark, sf_dir):
+    """Two patterns, the second over the matches of the first; its third group does not exist."""
+    x = regex_extract(F.col("text"), ("[A-Za-z]+ the [a-z]+", r"(?m)[a-z]+$"), 3)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(x).cast("long").alias("n"), F.array_join(x, ",").alias("words"))
 
 
 @query("select event_id, map_keys(h) as kept from (select event_id, map {'Accept': 'a', 'X-Real-IP': 'b', 'k' || (event_id % 3): 'c'} as h from events) where false union all select event_id, ['Accept', 'k' || (event_id % 3)] from events")
 def safe_headers(spark, sf_dir):
     h = F.create_map(F.lit("Accept"), F.lit("a"), F.lit("X-Real-IP"), F.lit("b"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")), F.lit("c"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_sort(F.map_keys(judge.safe_headers(h))).alias("kept"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_sort(F.map_keys(urls.safe_headers(h))).alias("kept"))
 
 
 @query("select conv_id, turn, substr(text, 1, 6) || '***[REDACTED]' as masked from conversations")
@@ -289,12 +337,12 @@ def times_shown(spark, sf_dir):
 def sort_nulls_last_page(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     joined = c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "o_orderkey", "o_totalprice")
-    return joined.orderBy(F.col("o_totalprice").desc_nulls_last(), "c_custkey", F.col("o_orderkey").asc_nulls_last()).offset(50).limit(50)
+    return audit.page(joined, "o_totalprice", ("c_custkey", "o_orderkey"), 50, 50, descending=True)
 
 
 @query("select page_id, url from pages where (contains(lower(url), 'blog') or contains(lower(html), 'spam')) and url is not null")
 def ui_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.contains(F.lower("url"), F.lit("blog")) | F.contains(F.lower("html"), F.lit("spam"))).select("page_id", "url").where("url is not null")
+    return audit.matching(table(spark, sf_dir, "pages"), {"url": "Blog", "html": "SPAM"}).select("page_id", "url").where("url is not null")
 
 
 _unesc = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -315,16 +363,21 @@ def xpath_links(spark, sf_dir):
     return frames.apply_rule(table(spark, sf_dir, "pages"), "//nav//a/@href").select("page_id", "ord", "text")
 
 
-@query()
-def css_article_paragraphs(spark, sf_dir):
-    return frames.apply_rule(table(spark, sf_dir, "pages"), "article > p@text").select("page_id", "ord", F.length("text").alias("chars"))
+_nav = "with n as (select page_id, url, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav from pages), "
+_links = "regexp_extract_all(nav, 'href=\"([^\"]*)\"', 1)"
+_texts = "list_filter(regexp_extract_all(nav, '(?s)<a [^>]*>([^<]*)</a>', 1), lambda x: trim(x) <> '')"
 
 
-@query()
+@query(f"{_nav} a as (select page_id, {_texts} as t, {_links} as l from n), i as (select page_id, t, l, unnest(range(greatest(len(t), len(l)))) as i from a), w as (select page_id, 2 * i as ord, trim(t[i + 1]) as text from i where i < len(t) union all select page_id, 2 * i + 1, l[i + 1] from i where i < len(l)) select page_id, cast(row_number() over (partition by page_id order by ord) - 1 as int) as ord, {O.unescaped('text')} as text from w")
 def interleave_rule(spark, sf_dir):
     return frames.apply_rule(table(spark, sf_dir, "pages"), "nav a@text %% nav a@href").select("page_id", "ord", "text")
 
 
+@query()
+def css_article_paragraphs(spark, sf_dir):
+    return frames.apply_rule(table(spark, sf_dir, "pages"), "article > p@text").select("page_id", "ord", F.length("text").alias("chars"))
+
+
 def _chain_inputs(spark, sf_dir):
     """Each page is the search result, detail and contents page of a record of its own."""
     pages = table(spark, sf_dir, "pages")
@@ -333,7 +386,7 @@ def _chain_inputs(spark, sf_dir):
                        F.when(F.col("page_id") % 10 == 9, "").otherwise("nav a").alias("rs_list"), s("text").alias("rs_name"), s("").alias("rs_author"), F.when(F.col("page_id") % 6 == 5, "@src").otherwise("@href").alias("rs_url"),
                        s("h1@text").alias("bi_name"), s("").alias("bi_author"), s("nav a").alias("toc_list"), s("text").alias("toc_name"), s("href").alias("toc_url"), s("article@text").alias("ct_content"))
     store = page_store(pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html")))
-    extra = pages.select(F.col("html").alias("body"), F.explode(F.array(*[F.lit(i) for i in range(1)])).alias("i"), "url", "page_id")
+    extra = pages.select(F.col("html").alias("body"), "url", "page_id")
     # the first link of each page leads to a page of the same site, made from the next one's body
     link = F.regexp_extract("body", r'<a href="([^"]*)"', 1)
     site = F.regexp_extract("url", "(?i)^(https?://[^/?#]+)", 1)
@@ -342,30 +395,87 @@ def _chain_inputs(spark, sf_dir):
     return cat, store.unionByName(page_store(sub.join(known, "url", "left_anti")))
 
 
-@query()
+_fail = "case when regexp_matches(lower(body), 'cloudflare|captcha|verification|blocked|access denied') then 'cloudflare_detected' when regexp_matches(lower(body), '403 forbidden') or (contains(lower(body), '请登录') and contains(lower(body), '密码')) or length(body) < 50 then 'empty_response' end"
+_nav_of = "regexp_extract(body, '(?s)<nav>(.*?)</nav>', 1)"
+_site = "regexp_extract(url, '^(https?://[^/?#]+)', 1, 'i')"
+_h1 = "trim(regexp_replace(" + O.unescaped("regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)") + ", '<[^>]*>', '', 'g'))"
+
+
+def _step(name: str, source: str, stage: str, reason: str, found: str, next_: str) -> str:
+    """A stage over `source` (idx, url, src, body): results and the next url."""
+    return f"""{name}0 as (select s.*, p.url is null as lost, p.body from {source} s left join store p using (url)), {name}1 as (select *, case when lost then 'network_error' else {_fail} end as failed, {_nav_of} as nav from {name}0),
+{name} as (select idx, src, '{stage}' as stage, coalesce(failed, {reason}) as reason, case when failed is null then {found} else 0 end as found, case when failed is null and ({reason}) is null then {next_} end as url from {name}1)"""
+
+
+_first = f"{_site} || {O.unescaped(f'{_links}[1]')}"
+_count = f"len({_links.replace('href=', '<a [^>]*href=')})"
+CHAIN = f"""with cat as (select page_id as idx, url, page_id % 6 = 5 as src, page_id % 10 = 9 as skip from pages), top as (select url, min_by(html, page_id) as body from pages group by url),
+sub0 as (select {_site} || regexp_extract(html, '<a href="([^"]*)"', 1) as url, html, page_id from pages where regexp_extract(html, '<a href="([^"]*)"', 1) <> ''), store as (select * from top union all select url, min_by(html, page_id) from sub0 where url not in (select url from top) group by url),
+a as (select idx, url, src from cat where not skip),
+{_step('b', 'a', 'search', f"case when {_count} = 0 then 'list_empty' when src then 'book_url_missing' end", _count, _first)}, c as (select * from b where url is not null),
+{_step('d', 'c', 'bookInfo', f"case when {_h1} = '' then 'name_empty' end", f"cast({_h1} <> '' as int)", 'url')}, e as (select * from d where url is not null),
+{_step('f', 'e', 'toc', f"case when {_count} = 0 then 'list_empty' end", _count, _first)}, g as (select * from f where url is not null),
+{_step('h', 'g', 'content', "case when length(regexp_replace(regexp_extract(body, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', '', 'g')) < 20 then 'content_too_short' end", '1', 'url')},
+chain as (select idx, 'search' as stage, 'SKIPPED' as status, cast(null as varchar) as reason, 0 as found from cat where skip union all select idx, stage, case when reason is null then 'PASS' else 'FAIL' end, reason, found from (select * from b union all select * from d union all select * from f union all select * from h))"""
+
+
+@query(f"{CHAIN} select idx, stage, status, reason, case when stage = 'content' then cast(found > 0 as bigint) else found end as found from chain")
 def chain_status(spark, sf_dir):
-    return chain.verify_chain(*_chain_inputs(spark, sf_dir)).select("idx", "stage", "status", "reason", "found")
+    """found: items of a list; of a text only whether there is any."""
+    found = F.when(F.col("stage") == "content", (F.col("found") > 0).cast("long")).otherwise(F.col("found"))
+    return chain.verify_chain(*_chain_inputs(spark, sf_dir)).select("idx", "stage", "status", "reason", found.alias("found"))
 
 
-@query()
+@query(f"{CHAIN} select stage, status, reason, count(*) as n from chain group by all")
 def chain_stage_counts(spark, sf_dir):
     return chain.verify_chain(*_chain_inputs(spark, sf_dir)).groupBy("stage", "status", "reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{CHAIN} select idx, count(*) filter (where status = 'PASS') as verified, count(*) as stages, bool_and(status = 'PASS') as all_passed, ': ' || count(*) filter (where status = 'PASS') || '/' || count(*) || ' stages passed' as summary from chain group by idx")
+def chain_final(spark, sf_dir):
+    return chain.final_result(chain.verify_chain(*_chain_inputs(spark, sf_dir)))
+
+
+def _run(spark, sf_dir):
+    return process(catalog(spark, sf_dir), Options(as_of=AS_OF))
+
+
+@query(f"{O.reviewed()} select idx, cleaned_name, category, availability, score, final_group, kept, removed_reason from rv")
 def process_reviewed(spark, sf_dir):
     """The whole run offline with default switches: every record with its outcome."""
-    r = process(catalog(spark, sf_dir), Options(as_of=AS_OF))
-    return r.reviewed.select("idx", "cleaned_name", "category", "availability", "score", "final_group", "kept", "removed_reason")
+    return _run(spark, sf_dir).reviewed.select("idx", "cleaned_name", "category", "availability", "score", "final_group", "kept", "removed_reason")
 
 
-@query()
+_kinds = {"小说": "novel", "漫画": "comic", "有声": "audio", "影视": "video", "下载": "download", "其他": "other", "失效": "invalid"}
+
+
+@query(f"""{O.reviewed()} select count(*) as input_total, count(*) filter (where kept) as output_total, count(*) filter (where not after_dedupe) as duplicate_count, count(*) filter (where removed_reason like 'Duplicate of%') as exact_duplicate_count, count(*) filter (where removed_reason like 'Excluded:%') as unavailable_count,
+count(*) filter (where removed_reason like 'Filtered:%') as filtered_count, count(*) filter (where structure_status = 'STRUCTURE_OK') as ok_count, count(*) filter (where structure_status = 'STRUCTURE_WARN') as warn_count, count(*) filter (where structure_status = 'STRUCTURE_INVALID') as invalid_count,
+{', '.join(f"count(*) filter (where availability = '{a}') as {a}" for a in ('usable', 'probably_usable', 'complex_unverified', 'login_related', 'needs_login', 'forbidden', 'timeout', 'unknown', 'dead', 'invalid'))},
+{', '.join(f"count(*) filter (where kept and category = '{c}') as kept_{k}" for c, k in _kinds.items())}, cast(round(avg(respond_time) filter (where respond_time >= 0)) as bigint) as average_respond_time from rv""")
+def process_summary(spark, sf_dir):
+    return _run(spark, sf_dir).summary()
+
+
+_out_tags = "select count(*) from groups where trim(string_split(coalesce(grp, ''), ',')[1]) not in ('', category)"
+
+
+@query(f"""{O.reviewed()}, groups as (select idx, coalesce(nullif(cleaned_name, ''), name) as name, final_group as grp, category from rv where kept), n as (select (select count(*) from groups) as c, (select count(*) from rv) as r, ({_out_tags}) as t, {_dirty_n} as dn, (select count(*) from rv where not kept and removed_reason is null) as w)
+select id, n = expected as pass, n, expected from (select unnest([{", ".join(f"{{'id': '{i}', 'n': {x}, 'expected': {e}}}" for i, x, e in (
+    ('count-match', 'c', 'c'), ('groups-total-equals-cleaned', 'c', 'c'), ('cleaned-has-original-index', '0', '0'), ('groups-has-original-index', '0', '0'), ('cleaned-no-dup-index', '0', '0'), ('groups-no-dup-index', '0', '0'), ('index-sets-match', '0', '0'), ('same-index-same-fields', '0', '0'),
+    ('file-category-matches', '0', '0'), ('group-tag-matches-file', 't', '0'), ('dirty-names-in-groups', 'dn', '0'), ('no-unavailable-in-default', '0', '0'), ('input-total', 'r', 'r'), ('output-total', 'c', 'c'), ('sources-count', 'r', 'r'), ('removed-reason', 'w', '0')))}], recursive := true) from n)""")
 def process_checks(spark, sf_dir):
-    return process(catalog(spark, sf_dir), Options(as_of=AS_OF)).checks()
+    return _run(spark, sf_dir).checks()
+
+
+@query(f"{O.upto_score()}, b as (select case idx % 5 when 0 then 'list_empty' when 1 then 'http_403' when 2 then 'http_403' when 3 then 'network_error' end as reason from sc) select reason, count(*) as n from b where reason is not null group by 1 order by n desc, reason limit 2")
+def top_failure_reasons(spark, sf_dir):
+    m = F.col("idx") % 5
+    b = judged(spark, sf_dir).select("idx", F.array_compact(F.array(F.when(m == 0, "list_empty").when(m.isin(1, 2), "http_403").when(m == 3, "network_error"))).alias("reasons"))
+    return probes.top_reasons(b, 2)
 
 
 @query("select time_bucket(interval '5 minutes', ts) as window_start, event_type, count(*) as n, sum(value) as total from events group by all")
 def window_progress(spark, sf_dir):
-    """The batch form of the streaming counts."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    """The streaming counts over a table that is all there."""
+    return incremental.progress(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Any
-from urllib.parse import quote, urljoin
+from urllib.parse import urljoin
 
 from siftlode.rules.dom import Node, parse
 from siftlode.rules.select import BadRule, css, css_is, jsonpath, xpath
@@ -248,52 +248,3 @@ def resolve(candidate: str | None, base: str | None, source: str | None = None)
         if b and re.match(r"(?i)https?://", b):
             return urljoin(b, c)
     return "https://" + c if DOMAIN.fullmatch(c) else None
-
-
-def expression(text: str, key: str, page: int) -> str | None:
-    """Value of a {{...}} that is a variable or one of a few safe forms; None for any other script."""
-    t = text.strip()
-    if t in ("key", "keyword"):
-        return key
-    if t == "encodeURIComponent(key)":
-        return quote(key, safe="-_.!~*'()")
-    if m := re.fullmatch(r"key\.to(Upper|Lower)Case\(\)", t):
-        return key.upper() if m[1] == "Upper" else key.lower()
-    if re.fullmatch(r"[\d\s+\-*()page]+", t) and not re.search(r"[a-z]", t.replace("page", "")) and "**" not in t and len(t) <= 60:
-        tokens = re.findall(r"\d+|page|[+\-*()]", t)
-        if re.search(r"(?:\d|page)\s+(?:\d|page)", t):
-            return None
-        try:
-            return str(_arith([str(page) if x == "page" else x for x in tokens]))
-        except (IndexError, ValueError):
-            return None
-    return None
-
-
-def _arith(tokens: list[str]) -> int:
-    def term() -> int:
-        x = atom()
-        while tokens and tokens[0] == "*":
-            tokens.pop(0)
-            x *= atom()
-        return x
-
-    def atom() -> int:
-        t = tokens.pop(0)
-        if t == "(":
-            x = total()
-            if tokens.pop(0) != ")":
-                raise ValueError(t)
-            return x
-        return -atom() if t == "-" else int(t)
-
-    def total() -> int:
-        x = term()
-        while tokens and tokens[0] in "+-":
-            x = x + term() if tokens.pop(0) == "+" else x - term()
-        return x
-
-    x = total()
-    if tokens:
-        raise ValueError(tokens[0])
-    return x

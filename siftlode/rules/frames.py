@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlode.rules.engine import Document, first_text, kind_of, resolve, run, text_of
 from siftlode.rules.select import BadRule
@@ -41,6 +42,27 @@ def apply_rule(df: DataFrame, rule: str, content: str = "html", keys: tuple[str,
     return kept.mapInArrow(go, schema)
 
 
+def items_of(body: str | None, list_rule: str | None, base: str | None, rules: list[str | None], names: list[str], urls: tuple[str, ...]) -> tuple[list[tuple], str | None]:
+    """(values of each item, preview, error) for the items of a document; and what is wrong with its list rule."""
+    doc = Document(body)
+    unread = lambda bad: str(bad) if str(bad).startswith("unsupported") else "unsupported_rule_syntax"
+    try:
+        found = run(list_rule, doc) if list_rule else [None]
+    except BadRule as bad:
+        return [], unread(bad)
+    rows = []
+    for item in found:
+        values, error = [], None
+        for name, rule in zip(names, rules, strict=True):
+            try:
+                v = first_text(rule, doc, item)
+            except BadRule as bad:
+                v, error = None, unread(bad)
+            values.append(resolve(v, base) if name in urls else v)
+        rows.append((values, text_of(item if item is not None else doc.body)[:80], error))
+    return rows, None
+
+
 def extract_items(df: DataFrame, list_rule: Column, fields: dict[str, Column], content: str = "body", base: Column | None = None, urls: tuple[str, ...] = (), keys: tuple[str, ...] = ("idx",)) -> DataFrame:
     """One row for each item of list_rule (or the whole document where it is empty): keys, ord, the fields
     as text, confidence (share of rules that gave a value), preview, error.  Fields named in urls are
@@ -52,23 +74,10 @@ def extract_items(df: DataFrame, list_rule: Column, fields: dict[str, Column], c
     types = [pa.int32(), *[pa.string()] * len(names), pa.float64(), pa.string(), pa.string()]
 
     def items(body, list_rule_, base_, rules):
-        doc = Document(body)
-        try:
-            found = run(list_rule_, doc) if list_rule_ else [None]
-        except BadRule as bad:
-            return [(None, *[None] * len(names), 0.0, None, str(bad) if str(bad).startswith("unsupported") else "unsupported_rule_syntax")]
-        rows = []
-        for n, item in enumerate(found):
-            values, error = [], None
-            for name, rule in zip(names, rules, strict=True):
-                try:
-                    v = first_text(rule, doc, item)
-                except BadRule as bad:
-                    v, error = None, str(bad) if str(bad).startswith("unsupported") else "unsupported_rule_syntax"
-                values.append(resolve(v, base_) if name in urls else v)
-            asked = sum(bool(r) for r in rules)
-            rows.append((n, *values, sum(v is not None for v, r in zip(values, rules, strict=True) if r) / asked if asked else 0.0, text_of(item if item is not None else doc.body)[:80], error))
-        return rows or [(None, *[None] * len(names), 0.0, None, None)]
+        found, unread = items_of(body, list_rule_, base_, rules, names, urls)
+        asked = sum(bool(r) for r in rules)
+        rows = [(n, *values, sum(v is not None for v, r in zip(values, rules, strict=True) if r) / asked if asked else 0.0, preview, error) for n, (values, preview, error) in enumerate(found)]
+        return rows or [(None, *[None] * len(names), 0.0, None, unread)]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keys)
@@ -85,3 +94,37 @@ def extract_items(df: DataFrame, list_rule: Column, fields: dict[str, Column], c
                 yield pa.RecordBatch.from_arrays([*[b[j].take(pa.array(at, pa.int64())) for j in range(k)], *[pa.array(c, t) for c, t in zip(data, types, strict=True)]], out_names)
 
     return kept.mapInArrow(go, schema)
+
+
+def extract_one(df: DataFrame, list_rule: Column, fields: dict[str, Column], content: str, base: Column, urls: tuple[str, ...] = ()) -> DataFrame:
+    """df without content + got: n (items), error, first (fields of the first item), some (the first value of
+    each field in any item), one row for each row; n is null where content is.
+
+    What a record's next request needs of a page is settled in the task that parses it, so the items
+    of a page are never rows."""
+    names = list(fields)
+    keys = [c for c in df.columns if c != content]
+    extra = [F.col(content).alias("__content"), list_rule.alias("__list"), base.alias("__base"), *[c.alias(f"__f_{n}") for n, c in fields.items()]]
+    kept = df.select(*keys, *extra)
+    values = ", ".join(f"{n}: string" for n in names)
+    schema = T.StructType([*(kept.schema[k] for k in keys), T.StructField("got", T.StructType.fromDDL(f"n int, error string, first struct<{values}>, some struct<{values}>"))])
+    of = pa.struct([(n, pa.string()) for n in names])
+    kind = pa.struct([("n", pa.int32()), ("error", pa.string()), ("first", of), ("some", of)])
+
+    def one(body, list_rule_, base_, *rules):
+        if body is None:
+            return None
+        found, unread = items_of(body, list_rule_, base_, list(rules), names, urls)
+        some = {n: next((v[i] for v, _, _ in found if v[i] is not None), None) for i, n in enumerate(names)}
+        return {"n": len(found), "error": unread or next((e for _, _, e in found if e), None), "first": dict(zip(names, found[0][0], strict=True)) if found else dict.fromkeys(names), "some": some}
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(keys)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                b = whole.slice(lo, ROWS)
+                got = [one(*x) for x in zip(*(b[j].to_pylist() for j in range(k, b.num_columns)), strict=True)]
+                none = {"n": None, "error": None, "first": None, "some": None}
+                yield pa.RecordBatch.from_arrays([*(b[j] for j in range(k)), pa.array([x or none for x in got], kind)], [*keys, "got"])
+
+    return kept.mapInArrow(go, schema)

@@ -32,7 +32,9 @@ def flatten(records: DataFrame, idx: str = "idx", record: str = "record") -> Dat
     cols = [F.when(c_ >= 0, c_).alias(name) if name in BUNDLES else c_ for c_, name in zip(cols, ["idx", *FIELDS, *BUNDLES], strict=True)]
     issues = F.array_compact(F.array(*[
         F.when(F.try_variant_get(v, f"$.{path}", "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, f"$.{path}", "variant")) & F.try_variant_get(v, f"$.{path}", kind).isNull(), F.lit(f"{path}: not {kind}"))
-        for path, kind in FIELDS.values()]))
+        for path, kind in FIELDS.values()], *[
+        F.when(F.try_variant_get(v, f"$.{path}", "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, f"$.{path}", "variant")) & F.try_variant_get(v, f"$.{path}", "map<string,variant>").isNull(), F.lit(f"{path}: not an object"))
+        for path in BUNDLES.values()]))
     return records.select(*cols, issues.alias("issues"), v.alias("raw"))
 
 

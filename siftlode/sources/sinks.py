@@ -38,8 +38,24 @@ def duplicates_csv() -> dict[str, Column]:
     return {"groupId": F.col("group_id"), "groupKey": F.col("group_key"), "keptIndex": F.col("kept_idx"), "removedIndices": joined, "reason": F.col("reason")}
 
 
-def rebuilt(df: DataFrame, meta: bool = False, normalized_url: bool = False) -> DataFrame:
-    """(idx, json) of kept records: the raw record with name, group (and url) overwritten, unknown keys kept."""
+def with_batch(df: DataFrame, batch: DataFrame | None) -> DataFrame:
+    """Reviewed rows with the outcome of their validation, where there was one."""
+    if batch is None:
+        return df
+    b = batch.select(F.col("idx").alias("bidx"), F.col("mode").alias("batch_mode"), F.col("status").alias("batch_status"), "first_failure_stage", F.array_join("reasons", "; ").alias("failure_reasons"), F.array_join("warnings", "; ").alias("batch_warnings"))
+    return df.join(b, F.col("idx") == F.col("bidx"), "left").drop("bidx")
+
+
+def write_array(df: DataFrame, path: str) -> None:
+    """(idx, json) as the parts of one JSON array, in the order of idx: put together, they are a file that
+    can be imported.  Every part but the last ends in a comma, so no rows pass through the driver."""
+    ends = df.agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()  # two numbers
+    line = F.concat(F.when(F.col("idx") == F.lit(ends.lo), "[").otherwise(""), "json", F.when(F.col("idx") == F.lit(ends.hi), "]").otherwise(","))
+    df.repartitionByRange("idx").sortWithinPartitions("idx").select(line.alias("line")).write.mode("overwrite").text(path)
+
+
+def rebuilt(df: DataFrame, meta: bool = False, normalized_url: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, json, columns of keep) of kept records: the raw record with name, group (and url) overwritten, unknown keys kept."""
     raw = F.from_json(F.to_json("raw"), "map<string,variant>")
     text = lambda c: F.parse_json(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
     over = [("bookSourceName", F.coalesce(F.nullif("cleaned_name", F.lit("")), "name", F.lit(""))), ("bookSourceGroup", F.col("final_group"))]
@@ -53,7 +69,7 @@ def rebuilt(df: DataFrame, meta: bool = False, normalized_url: bool = False) ->
         fresh = F.map_concat(fresh, F.create_map(F.lit("originalIndex"), F.parse_json(F.col("idx").cast("string"))))
         names = F.array_append(names, F.lit("originalIndex"))
     kept = F.map_filter(raw, lambda k, _: ~F.array_contains(names, k))
-    return df.select("idx", F.to_json(F.map_concat(kept, fresh)).alias("json"))
+    return df.select("idx", F.to_json(F.map_concat(kept, fresh)).alias("json"), *keep)
 
 
 def html_report(summary: dict, tables: dict[str, DataFrame]) -> str:
