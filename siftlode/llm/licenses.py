@@ -50,7 +50,8 @@ def scan(docs: DataFrame, base: tuple = BASE_PHRASES, passages: tuple = PASSAGES
     a constant of the program), and the words themselves are compared so a collision cannot count.
     Hits are summed by diagonal, the place less the template's place; diagonals of a template at most
     `gap` apart in a document are merged, which lets words be dropped or put in; a merged span is
-    verified by the share of distinct template pairs seen and by its length.  Phrases of `base` must
+    verified by the share of distinct template pairs seen and by its length; where it is too long, as beside
+    repeated pairs, each of its diagonals is verified by itself.  Phrases of `base` must
     be whole on one diagonal.  Rows are told apart by rid, so null and repeated doc_ids are scanned
     row by row.  Null or empty text: no words, no spans.  Other columns are ignored.
     """
@@ -71,14 +72,17 @@ def scan(docs: DataFrame, base: tuple = BASE_PHRASES, passages: tuple = PASSAGES
     w = Window.partitionBy("rid", "t").orderBy("diagonal")
     new = F.col("exact") | (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(w) > gap)
     spans = votes.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = F.col("diagonal") + F.element_at("seen", 1), F.col("diagonal") + F.element_at("seen", -1) + K
+    alone = F.size(F.array_distinct("seen")) / F.col("tlen")
     spans = spans.groupBy("rid", "doc_id", "n_words", "t", "exact", "tlen", "label", "span").agg(
-        F.min(F.col("diagonal") + F.element_at("seen", 1)).alias("start"),
-        F.max(F.col("diagonal") + F.element_at("seen", -1) + K).alias("end"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("pairs"),
+        F.min(first).alias("start"), F.max(last).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("pairs"),
+        F.collect_list(F.when((F.col("tlen") > 0) & (alone >= cover), F.struct(first.alias("start"), last.alias("end"), alone.alias("cover")))).alias("whole"),
     )
-    spans = spans.withColumn("cover", F.when(F.col("tlen") > 0, F.col("pairs") / F.col("tlen")).otherwise(0.0))
-    good = (F.col("t") < 0) | F.col("exact") | ((F.col("cover") >= cover) & (F.col("end") - F.col("start") <= 2 * (F.col("tlen") + K)))
-    return spans.where(good).select("rid", "doc_id", "n_words", "t", "label", "exact", "start", "end", "cover")
+    covered = F.when(F.col("tlen") > 0, F.col("pairs") / F.col("tlen")).otherwise(0.0)
+    good = (F.col("t") < 0) | F.col("exact") | ((covered >= cover) & (F.col("end") - F.col("start") <= 2 * (F.col("tlen") + K)))
+    # a chain of diagonals that has grown too long is told by those of them that stand alone
+    kept = F.when(good, F.array(F.struct("start", "end", covered.alias("cover")))).otherwise(F.col("whole"))
+    return spans.select("rid", "doc_id", "n_words", "t", "label", "exact", F.inline(kept))
 
 
 def license_report(docs: DataFrame, **options) -> DataFrame:

@@ -66,7 +66,39 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_suffix_dedup, op4_embedding_dedup, op5_bestfit_packing, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash)}
 
+UPPER, LOWER = licenses.UPPER, licenses.LOWER
+_TEMPLATES = ", ".join(f"({t}, {str(t < len(licenses.BASE_PHRASES)).lower()}, '{label}', '{words}')" for t, (words, label) in enumerate((*licenses.BASE_PHRASES, *licenses.PASSAGES)))
+
 ORACLE_SQL = {
+    "op3_suffix_dedup": rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) as k from (select doc_id, w, unnest(range(greatest(len(w) - 49, 0))) as s from w)),
+f as (select k, min(doc_id) as first from g group by k having count(distinct doc_id) > 1),
+h as (select distinct doc_id, s, first, first < doc_id as removed from g join f using (k)),
+n as (select *, case when s > lag(s) over (partition by doc_id, removed order by s) + 50 then 1 else 0 end as new from h),
+i as (select *, sum(new) over (partition by doc_id, removed order by s rows between unbounded preceding and current row) as span from n)
+select doc_id, cast(min(s) as int) as start_word, cast(max(s) + 50 as int) as end_word, removed, min(first) as first_doc_id from i group by doc_id, removed, span""",
+    "op4_embedding_dedup": """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+ok as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (select a, b from l union select r.a, l.b from reach r join l on r.b = l.a),
+c as (select a, min(least(a, b)) as component_id from reach group by a), d as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept from v left join c on c.a = vec_id left join d on d.a = vec_id""",
+    "op6_license_scans": rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t(t, exact, label, words) as (values {_TEMPLATES}), u as (select t, exact, label, string_split(words, ' ') as w, unnest(range(len(string_split(words, ' ')) - 1)) as tpos from t),
+p as (select doc_id, w, unnest(range(greatest(len(w) - 1, 0))) as pos from d),
+hit as (select doc_id, t, exact, label, len(u.w) - 1 as tlen, pos - tpos as diagonal, tpos from p join u on p.w[pos + 1] = u.w[tpos + 1] and p.w[pos + 2] = u.w[tpos + 2]),
+vote as (select doc_id, t, exact, label, tlen, diagonal, list(distinct tpos) as seen, min(diagonal + tpos) as start, max(diagonal + tpos) + 2 as stop from hit group by all having not exact or count(*) = tlen),
+new as (select *, case when exact or coalesce(diagonal - lag(diagonal) over (partition by doc_id, t order by diagonal) > 3, true) then 1 else 0 end as new from vote),
+chain as (select *, sum(new) over (partition by doc_id, t order by diagonal rows between unbounded preceding and current row) as span from new),
+merged as (select doc_id, t, exact, label, tlen, span, min(start) as start, max(stop) as stop, len(list_distinct(flatten(list(seen)))) / any_value(tlen) as cover from chain group by doc_id, t, exact, label, tlen, span),
+good as (select *, exact or (cover >= 0.8 and stop - start <= 2 * (tlen + 2)) as whole from merged),
+spans as (select doc_id, exact, label, start, cover from good where whole union all select c.doc_id, c.exact, c.label, c.start, len(c.seen) / c.tlen from chain c join good g using (doc_id, t, span) where not g.whole and len(c.seen) / c.tlen >= 0.8)
+select d.doc_id, cast(any_value(len(w)) as bigint) as n_words, count(*) filter (where exact) as n_base, min(start) filter (where exact) as first_word, max(start) filter (where exact) as last_word,
+  coalesce(array_to_string(list_sort(list(distinct label) filter (where exact)), ','), '') as base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (where label is not null)), ','), '') as labels, coalesce(max(cover), 0.0) as score
+from d left join spans using (doc_id) group by d.doc_id""",
     "op2_url_filters": r"""
 with u as (
   select page_id, case when position('://' in url) > 0 then regexp_extract(substr(url, position('://' in url) + 3), '^[^?#]*') else '' end as rest from pages

@@ -76,6 +76,13 @@ def test_license_places_against_brute_force(spark):
     assert licenses.license_report(df.where(F.lit(False))).collect() == []
 
 
+def test_a_passage_beside_repeated_pairs_is_found(spark):
+    tail = " general public license" * 4
+    df = spark.createDataFrame([(1, "gnu lesser general public license" + tail), (2, "general public license" + tail), (3, "gnu lesser general public license")], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_report(df).collect()}
+    assert got == {1: {"gpl", "lgpl"}, 2: {"gpl"}, 3: {"gpl", "lgpl"}}
+
+
 def shares(sizes, weights, cap):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
