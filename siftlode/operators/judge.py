@@ -52,12 +52,12 @@ def classify(df: DataFrame, name: str = "cleaned_name", into: str = "cls") -> Da
     def vote(cond, weight, rank, category):
         return F.when(cond, F.struct(F.lit(weight).alias("w"), F.lit(rank).alias("r"), (category if isinstance(category, Column) else F.lit(category)).alias("c")))
 
-    at = lambda x: F.col(f"{prefix}{x}")
-    votes = [vote(at("type").isNotNull(), 18, 0, at("type")), vote(at("type").isNull(), 2, 0, "其他")]
-    votes += [vote(at(f"k{i}"), 18, 1 + i, c) for i, c in enumerate(KEYWORD_ORDER)]
+    at, V = (lambda x: F.col(f"{prefix}{x}")), vocab.VOTES
+    votes = [vote(at("type").isNotNull(), V["type"], 0, at("type")), vote(at("type").isNull(), V["no_type"], 0, "其他")]
+    votes += [vote(at(f"k{i}"), V["keyword"], 1 + i, c) for i, c in enumerate(KEYWORD_ORDER)]
     votes += [vote(at(f"m{i}"), m[1], 6 + i, m[0]) for i, m in enumerate(vocab.MEDIA_MARKS)]
-    votes += [vote(at("group").isNotNull(), 10, 10, at("group"))]
-    votes += [vote((F.col("type") == 1) & at("n2"), 20, 11, "有声"), vote((F.col("type") == 2) & at("n0"), 20, 11, "漫画")]
+    votes += [vote(at("group").isNotNull(), V["group"], 10, at("group"))]
+    votes += [vote((F.col("type") == 1) & at("n2"), V["type_and_keyword"], 11, "有声"), vote((F.col("type") == 2) & at("n0"), V["type_and_keyword"], 11, "漫画")]
     df = df.withColumn(f"{prefix}votes", F.array_compact(F.array(*votes)))
     total = lambda c: F.aggregate(F.filter(at("votes"), lambda v: v["c"] == c), F.lit(0), lambda a, v: a + v["w"])
     rank = lambda c: F.array_min(F.transform(F.filter(at("votes"), lambda v: v["c"] == c), lambda v: v["r"]))
@@ -167,31 +167,31 @@ def score(df: DataFrame, as_of: int, into: str = "score") -> DataFrame:
     rt = F.coalesce("measured_respond_time", "respond_time")
     ts, now = F.col("last_update_time"), F.lit(as_of)
     tier = js_tier([F.col(c) for c in ("search_url", "explore_url", "login_url", "login_check_js", "js_lib")])
-    parts: list[tuple[Column | str, Column, Column | int]] = [("availability_" + k, F.col("availability") == k, v) for k, v in vocab.AVAILABILITY_SCORE.items()]
+    parts: list[tuple] = [("availability_" + k, F.col("availability") == k, v) for k, v in vocab.AVAILABILITY_SCORE.items()]
     parts += [
-        ("connect_ok", F.col("connectivity") == "CONNECT_OK", 30),
-        ("search_http_ok", F.col("search_status").isin("SEARCH_HTTP_OK", "SEARCH_PARSE_OK"), 30),
-        ("search_rule_likely_ok", F.col("search_status") == "SEARCH_RULE_LIKELY_OK", 20),
-        ("enabled", F.col("enabled"), 10), ("enabled_explore", F.col("enabled_explore"), 5),
-        ("has_search_url", filled(F.col("search_url")), 10), ("has_rule_search_booklist", filled(F.col("rs_list")), 10),
-        ("has_rule_search_name", filled(F.col("rs_name")), 8), ("has_rule_search_bookurl", filled(F.col("rs_url")), 8),
-        ("has_rule_bookinfo_name", filled(F.col("bi_name")), 8), ("has_rule_toc_chapterlist", filled(F.col("toc_list")), 8),
-        ("has_rule_content_content", filled(F.col("ct_content")), 8),
-        ("respond_time", rt >= 0, _bracket(rt, vocab.RESPOND_BONUS)), ("respond_time_high", rt > 30000, -20),
+        ("connect_ok", F.col("connectivity") == "CONNECT_OK"),
+        ("search_http_ok", F.col("search_status").isin("SEARCH_HTTP_OK", "SEARCH_PARSE_OK")),
+        ("search_rule_likely_ok", F.col("search_status") == "SEARCH_RULE_LIKELY_OK"),
+        ("enabled", F.col("enabled")), ("enabled_explore", F.col("enabled_explore")),
+        ("has_search_url", filled(F.col("search_url"))), ("has_rule_search_booklist", filled(F.col("rs_list"))),
+        ("has_rule_search_name", filled(F.col("rs_name"))), ("has_rule_search_bookurl", filled(F.col("rs_url"))),
+        ("has_rule_bookinfo_name", filled(F.col("bi_name"))), ("has_rule_toc_chapterlist", filled(F.col("toc_list"))),
+        ("has_rule_content_content", filled(F.col("ct_content"))),
+        ("respond_time", rt >= 0, _bracket(rt, vocab.RESPOND_BONUS)), ("respond_time_high", rt > 30000),
         ("last_update", (ts > 0) & (ts <= now + DAY_MS), _bracket((now - ts) / DAY_MS, vocab.UPDATE_BONUS)),
-        ("last_update_old", is_old(ts, as_of), -10),
+        ("last_update_old", is_old(ts, as_of)),
         ("weight", F.col("weight").isNotNull(), F.coalesce(*[F.when(F.col("weight") >= least, bonus) for least, bonus in vocab.WEIGHT_BONUS], F.lit(0))),
-        ("classification_high", F.col("confidence") == "high", 5),
+        ("classification_high", F.col("confidence") == "high"),
     ]
     parts += [("availability_" + k, F.col("availability") == k, -v) for k, v in vocab.AVAILABILITY_PENALTY.items()]
     parts += [
-        ("name_contains_dead", matches(F.col("name"), "失效"), -40), ("group_contains_dead", matches(F.col("grp"), "失效|校验超时"), -40),
-        ("missing_search_url", ~filled(F.col("search_url")), -20), ("missing_rule_search", F.col("rs_keys").isNull(), -20),
-        ("missing_rule_content", F.coalesce(F.col("ct_keys"), F.lit(0)) == 0, -20),
-        ("needs_login", F.col("availability").isin("needs_login", "login_related"), -10),
-        ("complex_js_eval", tier == "eval", -20), ("complex_js_dynamic", tier == "dynamic", -10), ("complex_js_static", tier == "static", -5),
+        ("name_contains_dead", matches(F.col("name"), "失效")), ("group_contains_dead", matches(F.col("grp"), "失效|校验超时")),
+        ("missing_search_url", ~filled(F.col("search_url"))), ("missing_rule_search", F.col("rs_keys").isNull()),
+        ("missing_rule_content", F.coalesce(F.col("ct_keys"), F.lit(0)) == 0),
+        ("needs_login", F.col("availability").isin("needs_login", "login_related")),
+        ("complex_js_eval", tier == "eval"), ("complex_js_dynamic", tier == "dynamic"), ("complex_js_static", tier == "static"),
     ]
-    entries = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(key).alias("key"), (v if isinstance(v, Column) else F.lit(v)).cast("int").alias("value"))) for key, cond, v in parts]))
+    entries = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(key).alias("key"), (v[0] if v and isinstance(v[0], Column) else F.lit(v[0] if v else vocab.POINTS[key])).cast("int").alias("value"))) for key, cond, *v in parts]))
     df = df.withColumn(f"{into}_entries", entries)
     total = F.aggregate(F.col(f"{into}_entries"), F.lit(0), lambda a, e: a + e["value"])
     risks = F.array_compact(F.array(F.when(ts > now + DAY_MS, F.lit("FUTURE_TIMESTAMP"))))

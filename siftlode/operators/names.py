@@ -81,7 +81,7 @@ def clean_names(df: DataFrame, name: str = "name", mode: str = "loose", keep_lat
     return barrier(df.withColumn(into, out)).drop(*[c for c in (f"{prefix}{x}" for x in [*range(len(STEPS) + 1), "last", "pick"])])
 
 
-#: What marks a name as not clean: (issue, pattern).
+# What marks a name as not clean: (issue, pattern).
 DIRTY = (
     ("emoji", f"[{vocab.PICTOGRAPHIC}]"),
     ("var-selector", r"[\x{FE00}-\x{FE0F}]"),
