@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,6 +55,7 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftlode_path = path
+    _made.append(path)
 
     def at_exit():
         try:
@@ -71,6 +73,17 @@ def drop(*tables: DataFrame | None) -> None:
         path = getattr(t, "_siftlode_path", None)
         if path:
             _delete(t.sparkSession, path)
+            if path in _made:
+                _made.remove(path)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Remove all tables of this driver that are still there, but for those of keep: for a caller that has
+    written its results, so that nothing lies about until the driver ends."""
+    spared = {getattr(t, "_siftlode_path", None) for t in keep}
+    for path in [p for p in _made if p not in spared]:
+        _delete(spark, path)
+        _made.remove(path)
 
 
 def wave(spark: SparkSession) -> int:
