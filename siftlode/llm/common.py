@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +78,13 @@ def drop(*tables: DataFrame | None) -> None:
                 _made.remove(path)
 
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Remove all tables of this driver that are still there, but for those of keep: for a caller that has
-    written its results, so that nothing lies about until the driver ends."""
-    spared = {getattr(t, "_siftlode_path", None) for t in keep}
-    for path in [p for p in _made if p not in spared]:
+@contextmanager
+def swept(spark: SparkSession):
+    """Removes, at its end, the tables that were made meanwhile, but for those given to what it yields: for a
+    caller that has written its result, so that nothing lies about until the driver ends."""
+    before, kept = set(_made), []
+    yield kept.append
+    for path in set(_made) - before - {t._siftlode_path for t in kept}:
         _delete(spark, path)
         _made.remove(path)
 

@@ -37,11 +37,11 @@ def test_tables_are_written_where_the_cluster_says(spark, tmp_path, monkeypatch)
     assert t.count() == 5 and 0 < len(list(tmp_path.glob("siftlode/*/*.parquet"))) <= 2
     common.drop(t)
     assert not list(tmp_path.glob("siftlode/*"))
-    tables = [common.cut(spark.range(3)) for _ in range(3)]
-    monkeypatch.setattr(common, "_made", [x._siftlode_path for x in tables])
-    common.sweep(spark, tables[1])
-    assert len(list(tmp_path.glob("siftlode/*"))) == 1 and tables[1].count() == 3
-    common.sweep(spark)
+    early = common.cut(spark.range(2))
+    with common.swept(spark) as keep:
+        tables = [common.cut(spark.range(3)) for _ in range(3)]
+        keep(tables[1])
+    assert len(list(tmp_path.glob("siftlode/*"))) == 2 and tables[1].count() == 3 and early.count() == 2
 
 
 def test_the_folder_is_the_sessions_own_only_where_none_is_named():
