@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.llm import langid, minhash, mixing, packing, quality, suffixes
-from siftlode.llm.common import cut, sweep
+from siftlode.llm.common import cut, drop, swept
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -71,11 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is a table that the next one reads.  Tables between
-    the steps of a stage go when it is written: results of other operators that are still to be read from
-    this driver have to be written before."""
+    """All stages over documents; what each returns is a table that the next one reads.  The tables between
+    the steps of a stage go when its own is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-        sweep(spark, docs)
+        with swept(spark) as keep:
+            done = cut(stage(spark, docs, sf_dir))
+            keep(done)
+        drop(docs)
+        docs = done
     return docs
