@@ -197,7 +197,9 @@ def shared_suffixes(docs: DataFrame) -> DataFrame:
     of the order, so a key of a third of all rows is spread over as many partitions as it fills; runs
     that reach the edge of a partition are settled by their keys, two at most for each partition."""
     suffixes = cut(suffix_rows(docs))
-    dealt = suffixes.repartitionByRange("k1", "k2", "did", "row").sortWithinPartitions("k1", "k2", "did", "row", "at")
+    # the place in the table is part of the ranges, so that not even equal rows have to be in one partition
+    dealt = suffixes.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("k1", "k2", "did", "row", "place")
+    dealt = dealt.sortWithinPartitions("k1", "k2", "did", "row", "at").select("k1", "k2", "did", "row", "at")
     found = cut(dealt.mapInArrow(_neighbours, "key long, did long, row long, at long, state byte"), files_for(suffixes))
     drop(suffixes)
     doc = F.struct(F.col("did"), F.col("at") % 2)
@@ -210,7 +212,7 @@ def shared_suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their shared suffixes -> for each suffix the words that its passages reach over."""
+    """Texts with their shared suffixes, in any order -> for each suffix the words that its passages reach over."""
     names = ["key", "nul", "did", "row", "before", "words", "pos"]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
     for b in batches:
@@ -397,7 +399,7 @@ def find_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """_keyed docs -> a table did, row, nul, start_word, end_word, removed, first_id, first_nul: see repeated_spans()."""
     hits = shared_suffixes(docs)
     most = files_for(hits)
-    known = cut(hits.groupBy("did", "row").agg(F.collect_list(F.struct("key", "at")).alias("hits")), most)
+    known = cut(hits.groupBy("did", "row").agg(F.collect_set(F.struct("key", "at")).alias("hits")), most)
     drop(hits)
     texts = docs.select("did", "row", "text")
     maybe = may_be_in(known.select(F.col("row").alias("key")), F.col("row"))
