@@ -51,6 +51,25 @@ def from_lines(lines: DataFrame, text: str = "value", idx: str = "idx") -> DataF
     return flatten(lines.select(F.col(idx).alias("idx"), F.parse_json(text).alias("record")))
 
 
+#: Bytes of an uploaded catalog at most, and uploads that are kept.
+UPLOAD_BYTES, UPLOADS = 50 << 20, 50
+
+
+def landed(spark: SparkSession, folder: str, most: int = UPLOAD_BYTES, newest: int = UPLOADS) -> DataFrame:
+    """Files of a landing folder -> path, name (made safe), bytes, modified, verdict: accepted, not_json (by
+    suffix), too_large, unreadable (not a JSON array), or evicted, where `newest` later ones were accepted.
+
+    Only files that may pass by suffix and size are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.substring(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[^a-zA-Z0-9._-]", "_"), 1, 128)
+    fits = F.lower("path").endswith(".json") & (F.col("length") <= most)
+    array = F.try_variant_get(F.try_parse_json(F.decode(F.when(fits, F.col("content")), "utf-8")), "$", "array<variant>").isNotNull()
+    verdict = F.when(~F.lower("path").endswith(".json"), "not_json").when(F.col("length") > most, "too_large").when(~array, "unreadable").otherwise("accepted")
+    rows = files.select("path", name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), verdict.alias("verdict"))
+    last = rows.where("verdict = 'accepted'").orderBy(F.desc("modified"), "path").limit(newest).select(F.col("path").alias("last"))
+    return rows.join(last, F.col("path") == F.col("last"), "left").withColumn("verdict", F.when((F.col("verdict") == "accepted") & F.col("last").isNull(), "evicted").otherwise(F.col("verdict"))).drop("last")
+
+
 def preview(df: DataFrame, limit: int = 5) -> tuple[DataFrame, int]:
     """The first rows by idx, 1 to 50 of them, and the number of all."""
     return df.orderBy("idx").limit(min(50, max(1, limit))), df.count()

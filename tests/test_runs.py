@@ -13,7 +13,7 @@ from siftlode.operators import probes
 from siftlode.plans import process as plan
 from siftlode.rules.chain import batch_results, final_result, verify_chain
 from siftlode.sources import results, sinks
-from siftlode.sources.catalog import page_store, read_catalog, safe_file_name, safe_input, safe_output
+from siftlode.sources.catalog import landed, page_store, read_catalog, safe_file_name, safe_input, safe_output
 from siftlode.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,16 @@ def test_reading_keeps_order_unknown_keys_and_issues(spark, catalog, tmp_path):
         read_catalog(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_what_lands_is_judged_before_it_is_read(spark, tmp_path):
+    import os
+
+    for i, (name, text) in enumerate([("a b.json", "[]"), ("b.json", "[1, 2]"), ("c.JSON", '[{"x": 1}]'), ("d.json", '{"not": "an array"}'), ("e.json", "[" + "1," * 500 + "1]"), ("f.txt", "[]"), ("g.json", "[oops")]):
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (1000 + i, 1000 + i))
+    got = {r.name: r.verdict for r in landed(spark, str(tmp_path), most=500, newest=2).collect()}
+    assert got == {"a_b.json": "evicted", "b.json": "accepted", "c.JSON": "accepted", "d.json": "unreadable", "e.json": "too_large", "f.txt": "not_json", "g.json": "unreadable"}
+
+
 def test_process_writes_and_checks(catalog, tmp_path):
     r = process(catalog, Options(as_of=AS_OF, dedupe_level="host", include_unknown=True, write_meta=True, group_mode="overwrite"))
     rows = {x.idx: x for x in r.reviewed.collect()}
