@@ -15,6 +15,13 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.withColumn("__at", F.monotonically_increasing_id()).where("__at >= 0").drop("__at")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns over all cores: for rows that are small but dear to work on, which Spark would
+    leave in one task where their file is small."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def opaque(df: DataFrame, column: str) -> DataFrame:
     """df with a column that is to be a join key, cut off from what it is made of.
 

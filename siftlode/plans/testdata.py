@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.functions.plan import barrier
+from siftlode.functions.plan import barrier, spread
 from siftlode.operators import judge, names, urls
 
 AS_OF = 1_767_225_600_000
@@ -50,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = CATALOG_SQL.replace("{", "{{").replace("}", "}}").replace("from pages", "from {pages}")
-    return spark.sql(text, pages=table(spark, sf_dir, "pages"))
+    return spread(spark.sql(text, pages=table(spark, sf_dir, "pages")), "idx")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions import vocab
+from siftlode.functions.plan import spread
 from siftlode.functions.text import filled
 from siftlode.operators import judge, probes, urls
 from siftlode.rules.frames import extract_one
@@ -60,7 +61,7 @@ def verify_chain(catalog: DataFrame, pages: DataFrame, max_stage: str = "content
     live = filled(F.col("rs_list"))
     request = urls.search_request(F.col("search_url"), F.col("url"), key, F.lit(1))["url"]
     df = catalog.select("idx", request.alias("url"), *[F.col(c) if c in catalog.columns else F.lit(None).cast("string").alias(c) for c in rules])
-    df = df.withColumns({"live": live, "done": F.when(live, F.array().cast(f"array<{ROW}>")).otherwise(F.array(skipped.cast(ROW)))})
+    df = spread(df, "idx").withColumns({"live": live, "done": F.when(live, F.array().cast(f"array<{ROW}>")).otherwise(F.array(skipped.cast(ROW)))})
     first, some, rule = (lambda c: F.col(f"got.first.{c}")), (lambda c: F.col(f"got.some.{c}")), F.col
     stages = {
         "search": lambda d: _stage(d, pages, "search", rule("rs_list"), {"name": rule("rs_name"), "author": rule("rs_author"), "book_url": rule("rs_url")}, ("book_url",), some("book_url").isNotNull(), rule("got.n"), first("name"), "book_url_missing", some("book_url")),
