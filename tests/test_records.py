@@ -77,7 +77,8 @@ def test_dedupe_prefers_score_and_vetoes_risk(spark):
     assert host == {0: (False, False), 1: (True, False), 2: (True, True), 3: (True, True)}
     assert not dedupe.dedupe(df, "host", allow_risky=True).where("dup_risk").count()
     assert dedupe.dedupe(df, "exact").where("not dup_kept").count() == 0
-    g = dedupe.groups(dedupe.dedupe(df, "host"), "host").orderBy("group_id").collect()
+    m = dedupe.dedupe(df, "host")
+    g = dedupe.listed(m, dedupe.groups(m, "host")).orderBy("group_id").collect()
     assert [(r.kept_idx, r.removed_indices) for r in g] == [(1, [0]), (2, [])]
 
 
