@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import audio, embeddings, langid, licenses, mixing, packing, quality, simhash, suffixes, urlfilter
+from siftlode.llm import audio, embeddings, interactions, langid, licenses, mixing, packing, quality, simhash, suffixes, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,12 +64,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_suffix_dedup, op4_embedding_dedup, op5_bestfit_packing, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash)}
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = interactions.failures(_read(spark, sf_dir, "documents"))
+    steps = interactions.audit(interactions.marked(flagged, _read(spark, sf_dir, "labels")))
+    return steps.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_suffix_dedup, op4_embedding_dedup, op5_bestfit_packing, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash, op11_filter_interactions)}
 
 UPPER, LOWER = licenses.UPPER, licenses.LOWER
 _TEMPLATES = ", ".join(f"({t}, {str(t < len(licenses.BASE_PHRASES)).lower()}, '{label}', '{words}')" for t, (words, label) in enumerate((*licenses.BASE_PHRASES, *licenses.PASSAGES)))
 
 ORACLE_SQL = {
+    "op11_filter_interactions": r"""
+with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+lab as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+o(ord, k) as (select '', 0 union all select ord || f, k + 1 from o, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(f) where k < 5 and position(f in ord) = 0),
+fails as (
+  select d.doc_id, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (case when len(w) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end) || (case when 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) then 'C' else '' end)
+    || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end) || (case when d.doc_id > min(d.doc_id) over (partition by t) then 'E' else '' end) as failed
+  from d left join lab using (doc_id)),
+same as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by part, failed),
+walk as (
+  select part, failed, n, good, toxic, ord, s as step, substr(ord, s, 1) as f, regexp_matches(substr(ord, 1, s - 1), '[' || failed || '0]') as gone, position(substr(ord, s, 1) in failed) > 0 as fail
+  from same, (select ord from o where k = 5), (select unnest(range(1, 6)) as s)),
+told as (
+  select part, ord as filter_order, step, f, sum(case when gone or fail then 0 else n end) as kept, sum(case when fail and not gone then n else 0 end) as removed, sum(case when fail and gone then n else 0 end) as redundant,
+    sum(case when failed = f then n else 0 end) as unique_fails, sum(case when fail and not gone then good else 0 end) as good_lost, sum(case when fail and not gone then toxic else 0 end) as toxic_lost
+  from walk group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from told""",
     "op3_suffix_dedup": rf"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
 g as (select doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) as k from (select doc_id, w, unnest(range(greatest(len(w) - 49, 0))) as s from w)),

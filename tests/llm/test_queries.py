@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 CONTRACT = {
     "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op2_url_filters": {"page_id", "host", "path", "rule", "verdict"}, "op3_suffix_dedup": {"doc_id"}, "op4_embedding_dedup": {"vec_id", "n_links", "component_id", "kept"},
     "op5_bestfit_packing": {"bin_id", "doc_id"}, "op6_license_scans": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}, "op7_source_mixing": {"doc_id", "size", "source_size", "target", "taken"},
-    "op8_quality_gam": {"doc_id", "held_out", "score", "predicted"}, "op9_audio_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}, "op10_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op8_quality_gam": {"doc_id", "held_out", "score", "predicted"}, "op11_filter_interactions": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"}, "op9_audio_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}, "op10_simhash": {"doc_id", "fingerprint", "component_id"},
 }
 
 
@@ -41,7 +41,7 @@ def test_queries_return_what_they_promise(spark, docs, name):
         assert len(set(by.values())) == len({docs[i].text or "" for i in docs})
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "labels"):
             con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
         want = con.execute(queries.ORACLE_SQL[name]).fetchdf()
         assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
