@@ -15,8 +15,8 @@ def walked(docs, labels, filters="ABCDE"):
     for i, text, _ in docs:
         if i is not None:
             first[text or ""] = min(first.get(text or "", i), i)
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if i is not None and q == 1}
+    toxic = {i for i, _, t in labels if i is not None and t == 1}
     told = {}
     for i, text, lang in docs:
         t = text or ""
