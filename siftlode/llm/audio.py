@@ -125,26 +125,35 @@ def segments(db: np.ndarray, spread: float = 0.5) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def tiles(found: list[tuple[int, int]], frames: int, most: int = SHAPE[0]) -> list[tuple[int, int, bool]]:
+    """All frames in pieces of `most` at most, none of which crosses the edge of a segment: (from, to, in a segment)."""
+    edges = [0, *(e for span in found for e in span), frames]
+    inside = [k % 2 == 1 for k in range(len(edges) - 1)]
+    return [(at, min(at + most, hi), on) for lo, hi, on in zip(edges, edges[1:], inside, strict=False) for at in range(lo, hi, most)]
+
+
 @lru_cache(1)
 def _tensor_type() -> pa.FixedShapeTensorType:
-    return pa.fixed_shape_tensor(pa.float16(), SHAPE)
+    return pa.fixed_shape_tensor(pa.float32(), SHAPE)
 
 
 def tensors(samples: bytes, hz: int) -> pa.RecordBatch:
-    """start_s, end_s and a 16 by 32 log-mel tensor for each piece of each segment; short pieces are
-    filled with the least value.  Samples -> features only, whatever the bytes mean."""
+    """start_s, end_s, active (whether it lies in a segment) and a 16 by 32 log-mel tensor for each piece of the
+    signal; short pieces are filled with the least value.  Every frame is in exactly one piece: the segments
+    mark what is loud, they do not choose what is kept.  Samples -> features only, whatever the bytes mean."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     mel, db = log_mel(resample(x, hz, FEATURE_HZ), FEATURE_HZ)
-    spans = [(at, min(at + SHAPE[0], hi)) for lo, hi in segments(db) for at in range(lo, hi, SHAPE[0])]
-    out = np.full((len(spans), *SHAPE), np.log(1e-6), np.float16)
-    for i, (lo, hi) in enumerate(spans):
+    spans = tiles(segments(db), len(db))
+    out = np.full((len(spans), *SHAPE), np.log(1e-6), np.float32)
+    for i, (lo, hi, _) in enumerate(spans):
         out[i, : hi - lo] = mel[lo:hi]
     flat = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), SHAPE[0] * SHAPE[1])
     cells = pa.ExtensionArray.from_storage(_tensor_type(), flat)
     sec = HOP / FEATURE_HZ
-    starts = pa.array([lo * sec for lo, _ in spans], pa.float64())
-    ends = pa.array([((hi - 1) * HOP + FRAME) / FEATURE_HZ for _, hi in spans], pa.float64())
-    return pa.RecordBatch.from_arrays([starts, ends, cells], ["start_s", "end_s", "log_mel"])
+    starts = pa.array([lo * sec for lo, _, _ in spans], pa.float64())
+    ends = pa.array([((hi - 1) * HOP + FRAME) / FEATURE_HZ for _, hi, _ in spans], pa.float64())
+    active = pa.array([on for _, _, on in spans], pa.bool_())
+    return pa.RecordBatch.from_arrays([starts, ends, active, cells], ["start_s", "end_s", "active", "log_mel"])
 
 
 def to_ipc(batch: pa.RecordBatch) -> bytes:
@@ -164,7 +173,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     n_tensors, features, one row per row.
 
     media is a WAV file of the whole padded text; all else is made from the bytes read back out of it.
-    features is an Arrow stream of start_s, end_s and a fixed-shape tensor per piece of a segment.
+    features is an Arrow stream of start_s, end_s, active and a fixed-shape tensor per piece of the signal, all
+    of it; active marks the pieces of the segments.
     Null and empty texts are 192 spaces.  Equal texts give equal values; null and repeated doc_ids pass
     through; an empty table gives no rows; other columns are ignored.
     """

@@ -93,9 +93,77 @@ def test_every_byte_of_a_text_is_in_a_frame():
             assert not np.array_equal(mel, whole), (n, at)
 
 
-def test_only_quiet_segments_are_left_out():
-    """A byte is missing from the tensors only where the energy stays under the level of the last segment."""
+def plain_resample(x, up, down, taps=12):
+    """Output m is the sum over the input of the prototype filter at m * down - n * up from its centre."""
+    n = taps * up
+    at = (np.arange(n) - (n - 1) / 2) / max(up, down)
+    proto = np.sinc(at) * np.kaiser(n, 7.0)
+    proto *= up / proto.sum()
+    out = []
+    for m in range(-(-len(x) * up // down)):
+        places = ((k, m * down + taps // 2 * up - k * up) for k in range(len(x)))
+        out.append(sum(x[k] * proto[i] for k, i in places if 0 <= i < n))
+    return np.array(out)
+
+
+def plain_segments(db, spread=0.5):
+    """A walk with two levels."""
+    if db.std() < 1e-3:
+        return [(0, len(db))]
+    level = min(db.mean() + spread * db.std(), max(db.mean(), np.percentile(db, 90)), db.max())
+    found, since = [], None
+    for i, v in enumerate(db):
+        if since is None and v >= level:
+            since = i
+        elif since is not None and v < db.mean() - spread * db.std():
+            found.append((since, i))
+            since = None
+    return [*found, (since, len(db))] if since is not None else found
+
+
+def test_resampling_segments_and_tensors_against_plain_forms():
+    rng = np.random.default_rng(9)
+    for n in (192, 384, 1920):
+        x = rng.normal(0, 0.3, n).astype(np.float32)
+        assert np.allclose(audio.resample(x, 24_000, 16_000), plain_resample(x, 2, 3), atol=1e-5)
+    text = "".join(rng.choice(list("etaoin shrdlu,.ÄÖ\n~|"), 9000))
+    payload, _ = audio.payload_of(text)
+    t = audio.tensors(payload, audio.STORED_HZ)
+    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
+    mel, db = audio.log_mel(audio.resample(x, 24_000, 16_000), 16_000)
+    marked = np.zeros(len(db), bool)
+    for lo, hi in plain_segments(db.astype(float)):
+        marked[lo:hi] = True
+    cells, at = t.column("log_mel").storage.flatten().to_numpy().reshape(-1, *audio.SHAPE), 0
+    for i, row in enumerate(t.drop_columns(["log_mel"]).to_pylist()):
+        lo = round(row["start_s"] * 100)
+        hi = round((row["end_s"] * 16_000 - audio.FRAME) / audio.HOP) + 1
+        assert lo == at and 0 < hi - lo <= audio.SHAPE[0] and set(marked[lo:hi].tolist()) == {row["active"]}
+        assert np.array_equal(cells[i][: hi - lo], mel[lo:hi]) and np.allclose(cells[i][hi - lo :], np.log(1e-6))
+        at = hi
+    assert at == len(db) and 0 < marked.mean() < 1
+    for _ in range(50):
+        db = rng.normal(0, 5, rng.integers(1, 60))
+        assert audio.segments(db) == plain_segments(db)
+
+
+def test_quiet_parts_are_kept_and_marked():
     loud = bytes(np.random.default_rng(1).integers(0, 256, 4800).astype(np.uint8))
-    quiet = b"\x80" * 4800
-    t = audio.tensors(loud + quiet, 24_000)
-    assert t.num_rows and max(t["end_s"].to_pylist()) < 0.3 and min(t["start_s"].to_pylist()) < 0.02
+    t = audio.tensors(loud + b"\x80" * 4800, 24_000)
+    active = np.array(t["active"].to_pylist())
+    assert active[0] and not active[-1] and max(t["end_s"].to_pylist()) >= 0.4 and min(t["start_s"].to_pylist()) == 0
+
+
+def test_any_changed_byte_of_a_document_changes_its_features(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 200").collect()
+    same = looked = 0
+    for r in docs:
+        payload, n = audio.payload_of(r.text)
+        base = audio.to_ipc(audio.tensors(payload, audio.STORED_HZ))
+        for at in rng.integers(0, max(n, 1), 4):
+            other = bytearray(payload)
+            other[at] ^= 1  # the least change that there is
+            same += audio.to_ipc(audio.tensors(bytes(other), audio.STORED_HZ)) == base
+            looked += 1
+    assert looked >= 800 and same == 0
