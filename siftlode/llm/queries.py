@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import audio, embeddings, interactions, langid, licenses, mainpart, mixing, packing, quality, simhash, suffixes, urlfilter
+from siftlode.llm import audio, crosstok, embeddings, interactions, langid, licenses, mainpart, mixing, packing, quality, simhash, suffixes, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,11 +70,15 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.aligned_documents(_read(spark, sf_dir, "documents"))
+
+
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpart.extract(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_suffix_dedup, op4_embedding_dedup, op5_bestfit_packing, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash, op11_filter_interactions, op13_main_text)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_suffix_dedup, op4_embedding_dedup, op5_bestfit_packing, op6_license_scans, op7_source_mixing, op8_quality_gam, op9_audio_media, op10_simhash, op11_filter_interactions, op12_token_alignment, op13_main_text)}
 
 UPPER, LOWER = licenses.UPPER, licenses.LOWER
 _TEMPLATES = ", ".join(f"({t}, {str(t < len(licenses.BASE_PHRASES)).lower()}, '{label}', '{words}')" for t, (words, label) in enumerate((*licenses.BASE_PHRASES, *licenses.PASSAGES)))

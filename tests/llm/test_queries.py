@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 CONTRACT = {
     "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op2_url_filters": {"page_id", "host", "path", "rule", "verdict"}, "op3_suffix_dedup": {"doc_id"}, "op4_embedding_dedup": {"vec_id", "n_links", "component_id", "kept"},
     "op5_bestfit_packing": {"bin_id", "doc_id"}, "op6_license_scans": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}, "op7_source_mixing": {"doc_id", "size", "source_size", "target", "taken"},
-    "op13_main_text": {"page_id", "url", "text", "n_chars"}, "op8_quality_gam": {"doc_id", "held_out", "score", "predicted"}, "op11_filter_interactions": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"}, "op9_audio_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}, "op10_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op12_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}, "op13_main_text": {"page_id", "url", "text", "n_chars"}, "op8_quality_gam": {"doc_id", "held_out", "score", "predicted"}, "op11_filter_interactions": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"}, "op9_audio_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}, "op10_simhash": {"doc_id", "fingerprint", "component_id"},
 }
 
 
@@ -30,7 +30,7 @@ def test_queries_return_what_they_promise(spark, docs, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     assert CONTRACT[name] <= set(got.columns) and set(CONTRACT) == set(queries.QUERIES)
     fold = lambda n: got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % n)
-    if name in ("op1_language_id", "op6_license_scans", "op7_source_mixing", "op8_quality_gam", "op9_audio_media", "op10_simhash"):
+    if name in ("op1_language_id", "op6_license_scans", "op7_source_mixing", "op8_quality_gam", "op9_audio_media", "op10_simhash", "op12_token_alignment"):
         assert sorted(got.doc_id) == sorted(docs)
     if name in ("op1_language_id", "op8_quality_gam"):
         assert (got.held_out == (fold(4) == 2 if name.startswith("op1_") else fold(5) == 0)).all() and got.score.between(0, 1).all()
