@@ -84,13 +84,96 @@ def mask_secret(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 6), F.lit("***[REDACTED]"))
 
 
+def web_regex(pattern: str) -> str | None:
+    """A pattern of the web platform in the words that Java's and Python's engines read alike; None if there are none.
+
+    Dots, \\s, \\d, \\w, \\b and $ differ between the three, so they become classes and look-arounds.  Named groups,
+    look-behind, properties, inline flags and possessive quantifiers are not translated."""
+    word, space, out, i, inside, quantified = "A-Za-z0-9_", r" \t-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff", [], 0, False, False
+    while i < len(pattern):
+        ch, rest = pattern[i], pattern[i + 1 : i + 5]
+        was, quantified = quantified, False
+        if ch == "\\":
+            e, i = rest[:1], i + 2
+            if e in ("d", "w", "s"):
+                of = {"d": "0-9", "w": word, "s": space}[e]
+                out.append(of if inside else f"[{of}]")
+            elif e in ("D", "W", "S") and not inside:
+                out.append("[^" + {"D": "0-9", "W": word, "S": space}[e] + "]")
+            elif e == "b" and not inside:
+                out.append(f"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))")
+            elif e in ("n", "r", "t", "f") or (e.isdigit() and e != "0" and not inside):
+                out.append("\\" + e)
+            elif e == "v":
+                out.append(r"\u000b")
+            elif (e == "u" and re.fullmatch("[0-9A-Fa-f]{4}", pattern[i : i + 4])) or (e == "x" and re.fullmatch("[0-9A-Fa-f]{2}", pattern[i : i + 2])):
+                n = 4 if e == "u" else 2
+                out.append("\\" + e + pattern[i : i + n])
+                i += n
+            elif e and e.isascii() and not e.isalnum():
+                out.append("\\" + e)
+            else:
+                return None
+            continue
+        if inside:
+            inside = ch != "]"
+            out.append("\\" + ch if ch in "[&~|" else ch)
+        elif ch == "[":
+            inside = True
+            if rest[:1] == "]" or rest[:2] == "^]":
+                return None
+            out.append("[^" if rest[:1] == "^" else "[")
+            i += rest[:1] == "^"
+        elif ch == "(":
+            if rest[:1] == "?" and rest[1:2] not in (":", "=", "!"):
+                return None
+            out.append(ch)
+        elif ch == ".":
+            out.append(r"[^\n\r\u2028\u2029]")
+        elif ch == "$":
+            out.append(r"(?![\s\S])")
+        elif ch == "{" and (m := re.match(r"\{\d+(,\d*)?\}", pattern[i:])):
+            out.append(m[0])
+            i += len(m[0]) - 1
+            quantified = True
+        elif ch in "{}]":
+            out.append("\\" + ch)
+        elif ch in "*+?":
+            if ch == "+" and was:
+                return None
+            out.append(ch)
+            quantified = not (ch == "?" and was)
+        else:
+            out.append(ch)
+        i += 1
+    text = "".join(out)
+    try:
+        re.compile(text)
+    except (re.error, OverflowError):
+        return None
+    return None if inside else text
+
+
+def replacement(to: str, groups: int) -> list[str | int]:
+    """What a replacement of the web platform is made of: texts, and numbers of groups (0: the match)."""
+    out: list[str | int] = []
+    for m in re.finditer(r"\$(?:\$|&|[1-9])|[^$]+|\$", to):
+        x = m[0]
+        out.append("$" if x == "$$" else 0 if x == "$&" else int(x[1]) if re.fullmatch(r"\$[1-9]", x) and int(x[1]) <= groups else x)
+    return out
+
+
 def regex_replace(c: Column, pattern: str, to: str, first: bool = False) -> Column:
-    """##pattern##replacement of a rule: every match, or the first one; $1 names a group."""
+    """##pattern##replacement of a rule: every match, or the first one; $1 names a group, $& the match.
+
+    A pattern that web_regex() does not translate is left to Java as it is."""
+    p = web_regex(pattern) or pattern
+    n = re.compile(p).groups
+    shift = 2 if first else 0  # behind two groups of our own
+    after = "".join(f"${x + shift}" if isinstance(x, int) else re.sub(r"[\\$]", r"\\\g<0>", x) for x in replacement(to, n))
     if not first:
-        return sub(c, pattern, to)
-    n = re.compile(pattern).groups
-    after = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 2}" if m[1] != "0" else "$2", to)  # behind two groups of our own
-    return sub(c, rf"(?s)\A(.*?)({pattern})(.*)\z", "$1" + after + f"${n + 3}")
+        return sub(c, p, after)
+    return sub(c, rf"(?s)\A(.*?)({p})(.*)\z", "$1" + after + f"${n + 3}")
 
 
 def regex_extract(c: Column, patterns: tuple[str, ...], group: int = 0) -> Column:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import lru_cache
 from typing import Any
 from urllib.parse import urljoin
 
+import regex
+
+from siftlode.functions.text import replacement, web_regex
 from siftlode.rules.dom import Node, parse
 from siftlode.rules.select import BadRule, css, css_is, jsonpath, xpath
 
@@ -117,12 +121,27 @@ def read_rule(rule: str) -> tuple[Group, ...]:
     return tuple(out)
 
 
+def number_text(x: int | float) -> str:
+    """A number as the web platform writes it; whole numbers of up to 38 digits keep them all."""
+    if isinstance(x, int) and abs(x) < 10**38:
+        return str(x)
+    x = float(x)
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(Decimal(repr(x))))
+    if 1e-6 <= abs(x) < 1e21:
+        return format(Decimal(repr(x)), "f")
+    mantissa, _, power = repr(x).partition("e")
+    return f"{mantissa.removesuffix('.0')}e{power[0]}{power[1:].lstrip('0')}"
+
+
 def text_of(x: Any) -> str:
     if isinstance(x, Node):
         return x.text().strip()
     if isinstance(x, str):
         return x
-    return json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list)) else "" if x is None else str(x).lower() if isinstance(x, bool) else str(x)
+    if isinstance(x, (dict, list)):
+        return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    return "" if x is None else str(x).lower() if isinstance(x, bool) else number_text(x)
 
 
 def kind_of(x: Any) -> str:
@@ -141,15 +160,45 @@ def _get(x: Any, name: str) -> str | None:
     return text_of(x)
 
 
+#: Seconds that one pattern of a rule may take on one text; beyond them the text stays as it is.
+PATTERN_S = 1.0
+
+
+@lru_cache(4096)
+def _pattern(pattern: str, to: str) -> tuple[Any, list] | None:
+    try:
+        p = regex.compile(web_regex(pattern) or pattern)
+    except regex.error:
+        return None
+    return p, replacement(to, p.groups)
+
+
 def replace(text: str, subs: tuple[tuple[str, str, bool], ...]) -> str:
     for pattern, to, first in subs:
-        try:
-            text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), text, count=1 if first else 0)
-        except re.error:
-            pass
+        if found := _pattern(pattern, to):
+            p, parts = found
+            try:
+                text = p.sub(lambda m, parts=parts: "".join(x if isinstance(x, str) else m[x] or "" for x in parts), text, count=1 if first else 0, timeout=PATTERN_S)
+            except TimeoutError:
+                pass
     return text
 
 
+def _once(pairs: list[tuple[str, Any]]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key stands twice in an object")
+    return out
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+#: Stands for the data of a body that is not JSON.
+UNREAD = object()
+
+
 class Document:
     """A body that is parsed at most once each way."""
 
@@ -166,9 +215,9 @@ class Document:
     def data(self) -> Any:
         if self._data is ...:
             try:
-                self._data = json.loads(self.body)
-            except ValueError:
-                self._data = None
+                self._data = json.loads(self.body, object_pairs_hook=_once, parse_constant=_no_number)
+            except (ValueError, RecursionError):
+                self._data = UNREAD
         return self._data
 
 
@@ -184,7 +233,8 @@ def _run(steps: tuple[Step, ...], start: list, doc: Document, known: dict[str, s
         elif s.kind == "xpath":
             at = [y for x in at for y in xpath(x if isinstance(x, Node) else doc.root(), s.value)]
         elif s.kind == "json":
-            at = [y for x in at for y in jsonpath(doc.data() if isinstance(x, (Node, Document)) else x, s.value)]
+            pool = [doc.data() if isinstance(x, (Node, Document)) else x for x in at]
+            at = [y for x in pool if x is not UNREAD for y in jsonpath(x, s.value)]
         elif s.kind == "index":
             i = int(s.value)
             at = [at[i]] if -len(at) <= i < len(at) else []

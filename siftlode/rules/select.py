@@ -230,8 +230,10 @@ def _passes(x: Any, test: str) -> bool:
         return False
 
 
-def jsonpath(data: Any, path: str) -> list:
-    at, end = [data], 1
+@lru_cache(4096)
+def json_steps(path: str) -> tuple[tuple[str, Any], ...]:
+    """(kind, value) of the steps of a path: name, index, slice (from, to), all, test; deep for ..name, deepall for ..*"""
+    out, end = [], 1
     if not path.startswith("$"):
         raise BadRule(f"jsonpath: {path}")
     for m in _TOKEN.finditer(path, 1):
@@ -239,21 +241,36 @@ def jsonpath(data: Any, path: str) -> list:
             break
         end = m.end()
         if m["deep"]:
-            pool = [v for x in at for v in _deep(x)]
-            at = [y for x in pool for y in _values(x)] if m["deep"] == "*" else [x[m["deep"]] for x in pool if isinstance(x, dict) and m["deep"] in x]
+            out.append(("deepall", None) if m["deep"] == "*" else ("deep", m["deep"]))
         elif m["all"] or m["name"] == "*":
-            at = [y for x in at for y in _values(x)]
+            out.append(("all", None))
         elif m["name"] or m["q"]:
-            key = m["name"] or m["key"]
-            at = [x[key] for x in at if isinstance(x, dict) and key in x]
+            out.append(("name", m["name"] or m["key"]))
         elif m["slice"]:
-            lo, hi = (int(s) if s else None for s in m["slice"].split(":"))
-            at = [y for x in at if isinstance(x, list) for y in x[lo:hi]]
+            out.append(("slice", tuple(int(s) if s else None for s in m["slice"].split(":"))))
         elif m["i"]:
-            i = int(m["i"])
-            at = [x[i] for x in at if isinstance(x, list) and -len(x) <= i < len(x)]
+            out.append(("index", int(m["i"])))
         else:
-            at = [y for x in at for y in _values(x) if _passes(y, m["test"])]
+            out.append(("test", m["test"]))
     if end != len(path):
         raise BadRule(f"jsonpath: {path}")
+    return tuple(out)
+
+
+def jsonpath(data: Any, path: str) -> list:
+    at = [data]
+    for kind, x in json_steps(path):
+        if kind in ("deep", "deepall"):
+            pool = [v for y in at for v in _deep(y)]
+            at = [z for y in pool for z in _values(y)] if kind == "deepall" else [y[x] for y in pool if isinstance(y, dict) and x in y]
+        elif kind == "all":
+            at = [z for y in at for z in _values(y)]
+        elif kind == "name":
+            at = [y[x] for y in at if isinstance(y, dict) and x in y]
+        elif kind == "slice":
+            at = [z for y in at if isinstance(y, list) for z in y[x[0] : x[1]]]
+        elif kind == "index":
+            at = [y[x] for y in at if isinstance(y, list) and -len(y) <= x < len(y)]
+        else:
+            at = [z for y in at for z in _values(y) if _passes(z, x)]
     return at
