@@ -297,7 +297,7 @@ def json_props_path(spark, sf_dir):
 _lines = "with o as (select l_orderkey as order_id, list(l_partkey order by l_linenumber, l_partkey) as p, list(l_linenumber order by l_linenumber, l_partkey) as n from lineitem group by l_orderkey), "
 
 
-@query(f"{_lines} e as (select order_id, p, n, unnest(range(len(p))) as i from o), x as (select order_id, i as ord, 'number' as kind, p[i + 1] as v from e union all select order_id, len(p), 'number', n[-1] from o where len(n) > 0 union all select order_id, len(p) + 1 + i, 'number', n[i + 1] from e where i >= 1 and i < 3) select order_id, cast(ord as int) as ord, kind, cast(v as varchar) as text from x")
+@query(f"{_lines} e as (select order_id, p, n, unnest(range(len(p))) as i from o), x as (select order_id, i as ord, 'number' as kind, p[i + 1] as v from e union all select order_id, len(p), 'number', n[-1] from o where len(n) > 0 union all select order_id, len(p) + i, 'number', n[i + 1] from e where i >= 1 and i < 3) select order_id, cast(ord as int) as ord, kind, cast(v as varchar) as text from x")
 def json_order_lines(spark, sf_dir):
     """A rule of three groups (wildcard, index from the end, slice) over orders as JSON; an order has few lines."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"))
