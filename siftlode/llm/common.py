@@ -11,17 +11,21 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows a table may have for broadcast() to be put on it.
 BROADCAST_ROWS = 50_000
 
 _own_dir: str | None = None
-_made: list[str] = []
+#: Tables that stand, with the session that wrote them; what is left goes when the driver exits.
+_made: dict[str, SparkSession] = {}
+#: The list of the innermost swept() of this thread.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,50 +47,81 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+#: Makes Spark remove the shuffle files of a query at its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _own_shuffles(spark: SparkSession):
+    """What is written meanwhile leaves no shuffle files behind: nothing reads them again once the table stands."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def cut(df: DataFrame, files: int | None = None, codec: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation.  The table is removed by drop() or when the driver exits.
 
     files: at most so many files, by joining partitions of the last stage; give it where that stage
-    follows a shuffle, so that many small partitions do not become as many small files."""
+    follows a shuffle, so that many small partitions do not become as many small files.  codec: of the
+    files, where Spark's default is too large."""
     spark = df.sparkSession
     if files:
         df = df.coalesce(files)
     path = f"{scratch_dir(spark)}/siftlode/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _own_shuffles(spark):
+        df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftlode_path = path
-    _made.append(path)
+    if not _made:
+        atexit.register(_at_exit)
+    _made[path] = spark
+    if (mine := _owner.get()) is not None:
+        mine.append(path)
+    return out
+
 
-    def at_exit():
+def _at_exit() -> None:
+    for path, spark in list(_made.items()):
         try:
             _delete(spark, path)
         except Exception:  # the session is gone; so is whatever it could delete with
             pass
 
-    atexit.register(at_exit)
-    return out
-
 
 def drop(*tables: DataFrame | None) -> None:
     """Remove tables written by cut() which no plan needs any more."""
     for t in tables:
         path = getattr(t, "_siftlode_path", None)
-        if path:
+        if path and _made.pop(path, None):
             _delete(t.sparkSession, path)
-            if path in _made:
-                _made.remove(path)
 
 
 @contextmanager
 def swept(spark: SparkSession):
-    """Removes, at its end, the tables that were made meanwhile, but for those given to what it yields: for a
-    caller that has written its result, so that nothing lies about until the driver ends."""
-    before, kept = set(_made), []
-    yield kept.append
-    for path in set(_made) - before - {t._siftlode_path for t in kept}:
-        _delete(spark, path)
-        _made.remove(path)
+    """Removes, at its end, the tables that this thread made meanwhile, but for those given to what it yields: for a
+    caller that has written its result, so that nothing lies about until the driver ends.  It does so after an
+    error too; what other threads make is theirs, and what is kept belongs to the swept() around it, if any."""
+    mine: list[str] = []
+    kept: list[DataFrame] = []
+    token = _owner.set(mine)
+    try:
+        yield kept.append
+    finally:
+        _owner.reset(token)
+        stay = {t._siftlode_path for t in kept}
+        for path in mine:
+            if path not in stay and _made.pop(path, None):
+                _delete(spark, path)
+        if (outer := _owner.get()) is not None:
+            outer += stay
 
 
 def wave(spark: SparkSession) -> int:
@@ -124,15 +159,15 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(rows: DataFrame, bucket: str, id_: str, block: int, files: int) -> DataFrame:
+def in_blocks(rows: DataFrame, bucket: str, id_: str, block: int, files: int, weight: Column | None = None) -> DataFrame:
     """rows -> + block int, part int, two boolean, with rows of heavy buckets repeated: each pair of rows of a
     bucket is in some part of it, and no part has more than about two blocks.  two: the part is for pairs
     of rows of different blocks; those of one block have a part of their own.
 
-    A bucket of more than `block` rows is cut into blocks by a hash of id_, and every pair of blocks is
-    a part."""
-    sizes = rows.groupBy(F.col(bucket).alias("hb")).count().where(F.col("count") > block)
-    heavy = cut(sizes.select("hb", F.ceil(F.col("count") / block).cast("int").alias("blocks")), files)
+    A bucket of more than `block` rows (or of more than `block` of their weight) is cut into blocks by a hash
+    of id_, and every pair of blocks is a part."""
+    sizes = rows.groupBy(F.col(bucket).alias("hb")).agg(F.sum(F.lit(1.0) if weight is None else weight).alias("size")).where(F.col("size") > block)
+    heavy = cut(sizes.select("hb", F.ceil(F.col("size") / block).cast("int").alias("blocks")), files)
     n = heavy.count()
     if not n:
         drop(heavy)

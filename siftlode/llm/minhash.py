@@ -24,12 +24,14 @@ BANDS, ROWS = 32, 6
 CHUNK = 512
 #: Texts of a bucket that one task compares; more are dealt out by pairs of blocks.
 BLOCK = 2048
+#: Shingles of a block on average, so that a part of two blocks is bounded in bytes too: long texts count as several.
+BLOCK_SHINGLES = 1 << 20
 #: Shingles counted at once for all texts of a part.
 COLUMNS = 4096
 
 _rng = np.random.default_rng(11)
-_ODD = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
-_MASK = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+_ODD = _rng.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) << np.uint32(1) | np.uint32(1)
+_MASK = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _ROW = _rng.integers(0, 1 << 63, (1, ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,12 +52,15 @@ def bands(text: str | None) -> tuple[int, np.ndarray]:
     h = shingles(text)
     if not len(h):
         return 0, np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    # 32 bits are enough to order a text's shingles by chance; bands only make candidates
+    low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(h), CHUNK):
-        x = (h[at : at + CHUNK] ^ _MASK) * _ODD
-        x ^= x >> np.uint64(32)
+        x = (low[at : at + CHUNK] ^ _MASK) * _ODD
+        x ^= x >> np.uint32(15)
         x *= _ODD
         np.minimum(least, x.min(axis=1), out=least)
+    least = least.astype(np.uint64)
     return len(h), _mix((_mix(least).reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
@@ -187,13 +192,14 @@ def joined(texts: DataFrame, docs: DataFrame, links: DataFrame, block: int = BLO
     pairs = cut(pairs.select(F.col("th").alias("a"), F.col("m.th").alias("b"), F.col("fp").alias("fa"), F.col("m.fp").alias("fb")).distinct(), most)
     found = verified(pairs, sets)
     comp = cut(components(links.select("a", "b").unionByName(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")))), most)
-    now = cut(met.join(comp, F.col("fp") == F.col("id"), "left").select("bucket", "th", F.coalesce("component", "fp").alias("c")), most)
+    now = cut(met.join(comp, F.col("fp") == F.col("id"), "left").select("bucket", "th", "n", F.coalesce("component", "fp").alias("c")), most)
     drop(met, pairs, found)
     # two texts of a bucket have been compared; of more, only the centre has been with each
     open_ = now.groupBy(F.col("bucket").alias("ob")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("ob")
-    rest = cut(now.join(open_, F.col("bucket") == F.col("ob")).select("bucket", "th", "c"), most)
+    rest = cut(now.join(open_, F.col("bucket") == F.col("ob")).select("bucket", "th", "n", "c"), most)
     drop(now)
-    rest_in = in_blocks(rest, "bucket", "th", block, most).join(sets, F.col("th") == F.col("sh")).select("bucket", "part", "c", "shingles")
+    size = F.greatest(F.lit(1.0), F.col("n") * (block / BLOCK_SHINGLES))
+    rest_in = in_blocks(rest, "bucket", "th", block, most, size).join(sets, F.col("th") == F.col("sh")).select("bucket", "part", "c", "shingles")
     more = cut(rest_in.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_compare, "a long, b long").distinct(), most)
     drop(rest, sets)
     last = components(more).select(F.col("id").alias("was"), F.col("component").alias("to"))

@@ -87,3 +87,59 @@ def test_blocks_bring_each_pair_of_a_bucket_together(spark):
             for j in range(i):
                 assert any(k == b and {i, j} <= v for (k, _), v in got.items())
     assert len([k for k in got if k[0] == 1]) == 10
+
+
+def test_swept_takes_only_what_its_own_thread_made(spark):
+    import threading
+
+    from siftlode.llm.common import cut, swept
+
+    made, open_, done = [], threading.Event(), threading.Event()
+
+    def other():
+        open_.wait(20)
+        made.append(cut(spark.range(7)))
+        done.set()
+
+    t = threading.Thread(target=other)
+    t.start()
+    with swept(spark) as outer_keep:
+        with swept(spark) as keep:
+            inner, kept = cut(spark.range(3)), cut(spark.range(5))
+            keep(kept)
+            open_.set()
+            done.wait(20)
+        assert kept.count() == 5 and made[0].count() == 7
+        with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
+            inner.count()
+        last = cut(spark.range(2))
+        outer_keep(last)
+    t.join()
+    assert made[0].count() == 7 and last.count() == 2
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
+        kept.count()
+
+
+def test_swept_cleans_up_after_an_error(spark):
+    from siftlode.llm.common import cut, swept
+
+    held = []
+    with pytest.raises(RuntimeError):
+        with swept(spark):
+            held.append(cut(spark.range(3)))
+            raise RuntimeError
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
+        held[0].count()
+
+
+def test_blocks_follow_weights(spark):
+    from siftlode.llm.common import in_blocks
+
+    rows = spark.createDataFrame([(1, i, 100) for i in range(40)] + [(2, 100 + i, 1) for i in range(40)], "b long, i long, n long")
+    got = in_blocks(rows, "b", "i", 500, 4, F.col("n")).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault((r.b, r.part), set()).add(r.i)
+    heavy = [x for (b, _), x in parts.items() if b == 1]
+    assert len(parts) > 9 and {p for b, p in parts if b == 2} == {0} and max(map(len, heavy)) < 30
+    assert {(i, j) for x in heavy for i in x for j in x} == {(i, j) for i in range(40) for j in range(40)}

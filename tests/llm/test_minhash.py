@@ -95,3 +95,20 @@ def test_stage_against_brute_force(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = P.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(comp))
+
+
+def test_long_texts_of_one_bucket_are_compared_in_parts_bounded_by_bytes(spark, monkeypatch):
+    """Texts alike in pairs: all links are found, whatever the size of a part."""
+    import random
+
+    rng = random.Random(4)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(600)) for _ in range(12)]
+    rows = []
+    for k, text in enumerate(base):
+        words = text.split(" ")
+        words[300:303] = ["x", "y", "z"]
+        rows += [(2 * k, text), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    assert {r.doc_id for r in minhash.keep_first(docs).collect()} == set(range(0, 24, 2))
