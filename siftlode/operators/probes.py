@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import urljoin, urlsplit
+from contextlib import contextmanager, nullcontext
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftlode.functions import vocab
 from siftlode.functions.text import ascii_bounded, blank, filled, matches
-from siftlode.operators import urls
+from siftlode.operators import hosts, urls
 
 STAGES = ("search", "bookInfo", "toc", "content")
 
@@ -120,10 +122,7 @@ HOPS, BODY = 5, 262_144
 
 def refused(url: str, resolve: Callable[[str], list[str]] | None = None) -> bool:
     """private_url() in a task, before each hop; resolve(host) -> addresses adds what names stand for."""
-    try:
-        host = (urlsplit(url).hostname or "").rstrip(".").lower()
-    except ValueError:
-        return True
+    host = hosts.host_text(url)
     if not host or host == "localhost" or host.endswith((".local", ".localhost")):
         return True
     for text in [host, *(resolve(host) if resolve else ())]:
@@ -131,13 +130,23 @@ def refused(url: str, resolve: Callable[[str], list[str]] | None = None) -> bool
             ip = ipaddress.ip_address(text)
         except ValueError:
             continue
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        if ip.is_loopback or ip.is_link_local or ip.is_unspecified or any(ip in net for net in _PRIVATE if net.version == ip.version):
+        inner = ip if ip.version == 4 else ipaddress.ip_address(int(ip) % 2**32) if int(ip) >> 32 in (0, 0xFFFF) else None
+        if any(ip in net for net in _PRIVATE6) if inner is None else any(int(inner) >> 32 - bits == base >> 32 - bits for base, bits in hosts.NETS4):
             return True
     return False
 
 
-_PRIVATE = [ipaddress.ip_network(x) for x in ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")]
+_PRIVATE6 = [ipaddress.ip_network(x) for x in ("fc00::/7", "fe80::/10")]
+
+
+def refused_url(url: Column) -> Column:
+    """urls.private_url(), with the few hosts that are no plain names looked at in Python: for plans that ask at
+    several places, where the whole expression would be planned each time."""
+    spot = F.lower(F.regexp_extract(url, hosts.SPOT, 1))
+    plain = spot.rlike(hosts.PLAIN) & ~spot.rlike(hosts.NUMERIC)
+    name = F.regexp_replace(spot, r"\.\z", "")
+    odd = F.pandas_udf(lambda s: s.map(lambda u: u is not None and refused(u)).astype(bool), "boolean")
+    return F.when(plain, (name == "localhost") | name.endswith(".localhost") | name.endswith(".local")).otherwise(odd(F.when(~F.coalesce(plain, F.lit(False)), F.coalesce(url, F.lit("")))))
 
 
 def error_name(text: str) -> tuple[str, bool]:
@@ -152,27 +161,74 @@ def error_name(text: str) -> tuple[str, bool]:
     return "network_error", True
 
 
-def fetch_with(requests: DataFrame, fetch: Callable[[str, str, str | None, dict], tuple[int, str | None, str | None, str | None]], workers: int = 16, retry: int = 1, resolve: Callable[[str], list[str]] | None = None) -> DataFrame:
+class HostPace:
+    """At most `most` requests of a host at once, and `gap` seconds between the beginnings of two of them."""
+
+    def __init__(self, most: int, gap: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.most, self.gap, self.clock, self.sleep = most, gap, clock, sleep
+        self.lock, self.open, self.next = threading.Lock(), {}, {}
+
+    @contextmanager
+    def turn(self, host: str | None):
+        with self.lock:
+            seats = self.open.setdefault(host, threading.Semaphore(self.most))
+        with seats:
+            with self.lock:
+                at = max(self.clock(), self.next.get(host, 0.0))
+                self.next[host] = at + self.gap
+            if (wait := at - self.clock()) > 0:
+                self.sleep(wait)
+            yield
+
+
+def cut_bytes(text: str | None, most: int) -> str | None:
+    """The characters of a text that fit whole into so many bytes of UTF-8."""
+    raw = text.encode("utf-8", "surrogatepass") if text and len(text) * 4 > most else b""
+    return raw[:most].decode("utf-8", "ignore") if len(raw) > most else text
+
+
+def by_host(requests: DataFrame, tasks: int | None = None) -> DataFrame:
+    """requests (idx, url, ...), dealt so that all of a host are in one task: a bound that a task keeps is then kept
+    over all tasks.  A host with very many requests makes its task long; its own pace is what limits it anyway."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", hosts.SPOT, 1)), F.lit(""))
+    n = tasks or 4 * requests.sparkSession.sparkContext.defaultParallelism
+    return requests.withColumn("__host", host).repartition(n, "__host").drop("__host")
+
+
+def fetch_with(requests: DataFrame, fetch: Callable[[str, str, str | None, dict], tuple[int, str | None, str | None, str | None]], workers: int = 16, retry: int = 1, resolve: Callable[[str], list[str]] | None = None,
+               per_host: int | None = None, gap: float = 0.0, deadline: float | None = None, tasks: int | None = None) -> DataFrame:
     """(idx, url, method, body[, headers]) -> idx, url, status, content_type, page, error, hops, attempts, ms.
 
     fetch(url, method, body, headers) -> status, content type, body, location of a redirect; it raises
     where there is no answer.  Nothing in the library calls this without being handed `fetch`.  Private
-    hosts are refused before each request, redirects (five at most, as GET) among them; what may pass
-    by itself is tried again.  Requests of a partition run `workers` at a time.
+    hosts are refused before each request, redirects (five at most) among them: after 301 and 302 as GET,
+    after 307 and 308 with their method and body.  What may pass by itself is tried again, as long as
+    `deadline` seconds have not gone by since the first attempt; then the error is `timeout`.  Requests of
+    a task run `workers` at a time.
+
+    per_host: most requests of one host at once, over all tasks: rows are dealt by host first, and each hop of a
+    redirect waits for its turn at its own host within its task.  gap: seconds between two of a host.
     """
     has_headers = "headers" in requests.columns
 
-    def attempt(url: str, method: str, body: str | None, headers: dict) -> tuple:
-        for hops in range(HOPS + 1):
-            if refused(url, resolve):
-                return (None, None, None, "ssrf_blocked", hops)
-            status, kind, page, location = fetch(url, method, body, headers)
-            if status not in (301, 302, 307, 308) or not location or hops == HOPS:
-                return (status, kind, page[:BODY] if page else page, None, hops)
-            url, method, body = urljoin(url, location), "GET", None
-
-    def one(row) -> tuple:
+    def one(row, pace: HostPace | None) -> tuple:
         began = time.monotonic()
+        late = lambda: deadline is not None and time.monotonic() - began > deadline
+
+        def attempt(url: str, method: str, body: str | None, headers: dict) -> tuple:
+            for hops in range(HOPS + 1):
+                if refused(url, resolve):
+                    return (None, None, None, "ssrf_blocked", hops)
+                if late():
+                    return (None, None, None, "timeout", hops)
+                with pace.turn(hosts.host_text(url)) if pace else nullcontext():
+                    status, kind, page, location = fetch(url, method, body, headers)
+                if status not in (301, 302, 307, 308) or not location or hops == HOPS:
+                    return (status, kind, cut_bytes(page, BODY), None, hops)
+                url = urljoin(url, location)
+                if status in (301, 302):
+                    method, body = "GET", None
+
         for tries in range(1, retry + 2):
             try:
                 out = attempt(row["url"], row["method"], row["body"], dict(row["headers"] or ()) if has_headers else {})
@@ -180,16 +236,18 @@ def fetch_with(requests: DataFrame, fetch: Callable[[str, str, str | None, dict]
             except Exception as bad:  # whatever a fetcher raises is that request's error
                 name, again = error_name(f"{type(bad).__name__} {bad}")
                 out = (None, None, None, name, 0)
-                if not again:
+                if not again or late():
                     break
         return (row["idx"], row["url"], *out, tries, int((time.monotonic() - began) * 1000))
 
     def go(batches):
+        pace = HostPace(per_host, gap) if per_host else None
         with ThreadPoolExecutor(workers) as pool:
             for b in batches:
-                yield pd.DataFrame(list(pool.map(one, b.to_dict("records"))), columns=["idx", "url", "status", "content_type", "page", "error", "hops", "attempts", "ms"]).astype({"status": "Int32"})
+                yield pd.DataFrame(list(pool.map(lambda r: one(r, pace), b.to_dict("records"))), columns=["idx", "url", "status", "content_type", "page", "error", "hops", "attempts", "ms"]).astype({"status": "Int32"})
 
-    return requests.mapInPandas(go, "idx long, url string, status int, content_type string, page string, error string, hops int, attempts int, ms long")
+    rows = by_host(requests, tasks) if per_host else requests
+    return rows.mapInPandas(go, "idx long, url string, status int, content_type string, page string, error string, hops int, attempts int, ms long")
 
 
 def connectivity(responses: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from siftlode.functions import vocab
 from siftlode.functions.plan import barrier
 from siftlode.functions.text import CJK, NOT_S, S, encode_component, matches, sub, trim
+from siftlode.operators import hosts
 
 HTTP = r"(?i)^https?://.+"
 DOMAIN = r"^[a-zA-Z0-9][-a-zA-Z0-9.]*\.[a-zA-Z]{2,}(:[0-9]+)?(/.*)?\z"
 AUTHORITY = r"(?i)^https?://(?:[^/?#@]*@)?([^/:?#\\]+)"
-#: Host of a url that is about to be fetched, with the brackets of an IPv6 address.
-TARGET = r"(?i)^https?://(?:[^/?#\\]*@)?(\[[^\]/?#]*\]|[^/:?#\\]+)"
 #: Codes in {{...}} that are worked out: (page - 1) * 20 + 1, page * 20 + 1, 20 * (page - 1).
 PAGE_SHIFTED = r"^\(\s*page\s*([+-])\s*([0-9]{1,9})\s*\)\s*(?:\*\s*([0-9]{1,9}))?\s*(?:([+-])\s*([0-9]{1,9}))?\z"
 PAGE_TIMES = r"^page\s*(?:\*\s*([0-9]{1,9}))?\s*(?:([+-])\s*([0-9]{1,9}))?\z"
@@ -88,31 +87,21 @@ def url_key(raw: Column, candidate: Column | None = None) -> Column:
     return F.when(http, no_slash(c)).when(looks_like_domain(c), no_slash(F.concat(F.lit("https://"), c))).otherwise(trim(F.lower(c)))
 
 
-def host_of(url: Column) -> Column:
-    """Host that an http url is fetched from, in lower case, without user, port, brackets and final dots; null if none."""
-    return F.nullif(sub(F.lower(F.regexp_extract(url, TARGET, 1)), r"^\[|\]\z|\.+\z"), F.lit(""))
-
-
 def private_ip(ip: Column) -> Column:
-    """Literal unspecified, loopback, private, link-local and unique-local addresses; other text is none."""
+    """Literal unspecified, loopback, private, link-local and unique-local addresses, in any form that a browser
+    reads as one; other text is none."""
     low = F.lower(ip)
-    v4 = F.regexp_extract(low, r"^(?:::ffff:)?([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
-    part = F.transform(F.split(v4, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
-    a, b = F.get(part, F.lit(0)), F.get(part, F.lit(1))
-    in4 = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-    in6 = F.contains(low, F.lit(":")) & low.rlike(r"^(::1?|0:0:0:0:0:0:0:[01]|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]:.*)\z")
-    return F.when(v4 != "", in4).otherwise(in6)
+    return hosts.private_address(hosts.of_spot(F.when(low.contains(":") & ~low.startswith("["), F.concat(F.lit("["), low, F.lit("]"))).otherwise(low)))
 
 
 def private_host(host: Column) -> Column:
-    """Names and addresses of this machine or its network; names are not looked up."""
-    return F.coalesce((host == "localhost") | host.endswith(".localhost") | host.endswith(".local") | private_ip(host), F.lit(False))
+    """Of a hosts.web_host(): names and addresses of this machine or its network; names are not looked up."""
+    return F.coalesce((host == "localhost") | host.endswith(".localhost") | host.endswith(".local"), F.lit(False)) | hosts.private_address(host)
 
 
 def private_url(url: Column) -> Column:
-    """A url that must not be fetched: it has no host, or a private one."""
-    host = host_of(url)
-    return host.isNull() | private_host(host)
+    """A url that must not be fetched: it has no host that a browser would go to, or a private one."""
+    return hosts.let(hosts.web_host(url), lambda host: host.isNull() | private_host(host))
 
 
 def has_template_js(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlode.functions import times
 from siftlode.functions.text import mask_secret, regex_extract, regex_replace
-from siftlode.operators import audit, dedupe, judge, names, probes, urls
+from siftlode.operators import audit, dedupe, hosts, judge, names, probes, urls
 from siftlode.plans import oracles as O
 from siftlode.plans.process import Options, not_disabled, only_enabled, process
 from siftlode.plans.testdata import AS_OF, catalog, judged, table
@@ -172,17 +172,24 @@ def private_ip(spark, sf_dir):
     return spark.sql(f"select * from values {_ips} as t(ip)").select("ip", urls.private_ip(F.col("ip")).alias("private"))
 
 
-_hosts = """select page_id, case page_id % 15 when 0 then 'http://[::1]:8080/x' when 1 then 'http://localhost' when 2 then 'https://user@printer.local/a' when 3 then 'http://fcbooks.com/' when 4 then 'http://fdnovel.net:80/b' when 5 then 'http://0.0.0.0/'
-when 6 then 'https://[FC00::' || page_id || ']/' when 7 then 'http://192.168.1.' || (page_id % 256) || '/' when 8 then 'http://172.' || (10 + page_id % 30) || '.1.1?q' when 9 then 'ftp://10.0.0.1/' when 10 then 'http://[2001:db8::' || page_id || ']' when 11 then 'http://a@127.0.0.1#x'
-when 12 then 'http://local.example.org/' when 13 then 'http://[::ffff:10.1.1.1]/' else url end as url from pages"""
+_addr = """select page_id, cast(case page_id % 7 when 0 then 2130706432 + page_id % 65536 when 1 then 167772160 + page_id * 977 % 16777216 when 2 then 3232235520 + page_id % 65536 when 3 then 2886729728 + page_id * 4099 % 1048576
+when 4 then 2851995648 + page_id % 65536 when 5 then page_id % 256 else page_id * 2654435761 % 4294967296 end as bigint) as n from pages"""
+_quads = f"select page_id, n, cast(floor(n / 16777216) as bigint) as a, cast(floor(n / 65536) as bigint) % 256 as b, cast(floor(n / 256) as bigint) % 256 as c, n % 256 as d from ({_addr}) t"
+_octal = " || ".join(f"cast(cast(floor(n / {8**k}) as bigint) % 8 as string)" for k in range(10, -1, -1))
+_hosts = f"""select *, case page_id % 16 when 0 then 'http://' || n || '/x' when 1 then 'https://0x' || hex(n) when 2 then 'http://u@0' || {_octal} || ':80' when 3 then 'http://' || a || '.' || (n % 16777216) || '?q' when 4 then 'HTTP://' || a || '.' || b || '.' || (n % 65536) || '.'
+when 5 then 'http://0X' || hex(a) || '.' || b || '.0x' || hex(c) || '.' || d when 6 then 'http://[::FFFF:' || hex(a * 256 + b) || ':' || hex(c * 256 + d) || ']:8080/' when 7 then 'http://[::ffff:' || a || '.' || b || '.' || c || '.' || d || ']' when 8 then 'http://' || translate(a || '.' || b || '.' || c || '.' || d, '0123456789.', '０１２３４５６７８９。')
+when 9 then 'https://[2001:DB8:0:0:' || hex(page_id % 65535 + 1) || '::1]/' when 10 then ' HTTPS://User:p%40w@Ex' || page_id || '.Example.COM.:443#x' when 11 then 'http://bücher.' || page_id || '.例え.example/' when 12 then 'http://' || (a + 256) || '.' || b || '.' || c || '.' || d when 13 then 'http://[fd' || lower(hex(16 + page_id % 240)) || '::' || hex(page_id % 65535 + 1) || ']'
+when 14 then 'http:' || case page_id % 3 when 0 then '//printer.LOCAL/a' when 1 then '\\\\127.1' else '//a b/' end else 'http://%31%32%37.' || (page_id % 256) end as url from ({_quads}) t"""
 
 
-@query(rf"""with h as ({_hosts}), t as (select *, lower(regexp_extract(url, '^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]+)', 1, 'i')) as raw from h), n as (select *, case when raw = '' then null else trim(raw, '[]') end as host from t)
-select page_id, host, case when host is null then true when contains(host, ':') then host = '::1' or regexp_matches(host, '^f[cd]') or regexp_matches(host, '^::ffff:10\.')
-  when regexp_matches(host, '^[0-9.]+$') then regexp_matches(host, '^(0|10|127)\.') or regexp_matches(host, '^192\.168\.') or regexp_matches(host, '^172\.(1[6-9]|2[0-9]|3[01])\.') else host = 'localhost' or host like '%.local' end as private from n""")
+@query(f"""with h as ({_hosts.replace("'\\\\127.1'", "'\\127.1'").replace('string)', 'varchar)')}), p as (select *, a || '.' || b || '.' || c || '.' || d as dotted, page_id % 16 as k, a in (0, 10, 127) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) as near from h)
+select page_id, case when k in (0, 1, 2, 3, 4, 5, 8) then dotted when k in (6, 7) then '::ffff:' || lower(to_hex(a * 256 + b)) || ':' || lower(to_hex(c * 256 + d)) when k = 9 then '2001:db8::' || lower(to_hex(page_id % 65535 + 1)) || ':0:0:1' when k = 10 then 'ex' || page_id || '.example.com'
+  when k = 11 then 'xn--bcher-kva.' || page_id || '.xn--r8jz45g.example' when k = 12 then null when k = 13 then 'fd' || lower(to_hex(16 + page_id % 240)) || '::' || lower(to_hex(page_id % 65535 + 1)) when k = 14 then case page_id % 3 when 0 then 'printer.local' when 1 then '127.0.0.1' end else '127.0.0.' || (page_id % 256) end as host,
+  k in (12, 13, 14, 15) or (k < 9 and near) as private from p""")
 def private_hosts(spark, sf_dir):
+    """Addresses in every form that a browser reads, names in mixed scripts, and what is no host."""
     d = spark.sql(_hosts.replace("from pages", "from {pages}"), pages=table(spark, sf_dir, "pages"))
-    return d.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.private_url(F.col("url")).alias("private"))
+    return d.select("page_id", hosts.web_host(F.col("url")).alias("host"), urls.private_url(F.col("url")).alias("private"))
 
 
 _header = """select event_id, case event_id % 6 when 0 then null when 1 then 'not json' when 2 then '{"Cookie": "x", "Accept": "a/b"}' when 3 then '{"HOST": "h", "x-api-key": "k"}' when 4 then '{"Referer": "https://e.com/' || event_id || '"}' else props end as header from events"""

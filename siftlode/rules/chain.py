@@ -15,10 +15,11 @@ from siftlode.rules.frames import extract_one
 def _fetch(asked: DataFrame, pages: DataFrame) -> DataFrame:
     """asked + page, the body at its url where the fetch goes well, and failure, what goes wrong where it is live."""
     store = pages.select(F.col("url").alias("purl"), F.col("status").alias("http"), F.col("body").alias("page"))
+    asked = asked.withColumn("refused", F.col("live") & probes.refused_url(F.when(F.col("live"), F.col("url"))))
     got = asked.join(store, F.when(F.col("live"), F.col("url")) == F.col("purl"), "left")
-    error = F.when(urls.private_url(F.col("url")), "ssrf_blocked").when(F.col("purl").isNull(), "network_error")
+    error = F.when(F.col("refused"), "ssrf_blocked").when(F.col("purl").isNull(), "network_error")
     got = got.withColumn("failure", F.when(F.col("live"), probes.fetch_failure(F.col("http"), F.col("page"), error)))
-    return got.withColumn("page", F.when(F.col("live") & F.col("failure").isNull(), F.col("page"))).drop("purl", "http")
+    return got.withColumn("page", F.when(F.col("live") & F.col("failure").isNull(), F.col("page"))).drop("purl", "http", "refused")
 
 
 def _advise(stage: str, reason: Column, also: Column | None = None) -> Column:

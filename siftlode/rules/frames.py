@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,12 +102,30 @@ def extract_items(df: DataFrame, list_rule: Column, fields: dict[str, Column], c
     return kept.mapInArrow(go, schema)
 
 
+class Remembered:
+    """A function of (body, list rule, url, rules) that is worked out once for rows which ask the same of the same page
+    one after the other: a join by url leaves them side by side."""
+
+    def __init__(self, work: Callable):
+        self.work, self.at, self.known = work, (None, None), {}
+
+    def __call__(self, body: str | None, list_rule: str | None, base: str | None, *rules: str | None):
+        if body is None:
+            return None
+        if self.at != (base, body):
+            self.at, self.known = (base, body), {}
+        asked = (list_rule, *rules)
+        if asked not in self.known:
+            self.known[asked] = self.work(body, list_rule, base, *rules)
+        return self.known[asked]
+
+
 def extract_one(df: DataFrame, list_rule: Column, fields: dict[str, Column], content: str, base: Column, urls: tuple[str, ...] = ()) -> DataFrame:
     """df without content + got: n (items), error, first (fields of the first item), some (the first value of
     each field in any item), one row for each row; n is null where content is.
 
     What a record's next request needs of a page is settled in the task that parses it, so the items
-    of a page are never rows."""
+    of a page are never rows; rows that ask the same of one page side by side share its parse."""
     names = list(fields)
     keys = [c for c in df.columns if c != content]
     extra = [F.col(content).alias("__content"), list_rule.alias("__list"), base.alias("__base"), *[c.alias(f"__f_{n}") for n, c in fields.items()]]
@@ -118,18 +136,16 @@ def extract_one(df: DataFrame, list_rule: Column, fields: dict[str, Column], con
     kind = pa.struct([("n", pa.int32()), ("error", pa.string()), ("first", of), ("some", of)])
 
     def one(body, list_rule_, base_, *rules):
-        if body is None:
-            return None
         found, unread = items_of(body, list_rule_, base_, list(rules), names, urls)
         some = {n: next((v[i] for v, _, _ in found if v[i] is not None), None) for i, n in enumerate(names)}
         return {"n": len(found), "error": unread or next((e for _, _, e in found if e), None), "first": dict(zip(names, found[0][0], strict=True)) if found else dict.fromkeys(names), "some": some}
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(keys)
+        k, told = len(keys), Remembered(one)
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS):
                 b = whole.slice(lo, ROWS)
-                got = [one(*x) for x in zip(*(b[j].to_pylist() for j in range(k, b.num_columns)), strict=True)]
+                got = [told(*x) for x in zip(*(b[j].to_pylist() for j in range(k, b.num_columns)), strict=True)]
                 none = {"n": None, "error": None, "first": None, "some": None}
                 yield pa.RecordBatch.from_arrays([*(b[j] for j in range(k)), pa.array([x or none for x in got], kind)], [*keys, "got"])
 

@@ -50,6 +50,9 @@ def write_array(df: DataFrame, path: str) -> None:
     """(idx, json) as the parts of one JSON array, in the order of idx: put together, they are a file that
     can be imported.  Every part but the last ends in a comma, so no rows pass through the driver."""
     ends = df.agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()  # two numbers
+    if ends.lo is None:
+        df.sparkSession.range(1).select(F.lit("[]").alias("line")).write.mode("overwrite").text(path)
+        return
     line = F.concat(F.when(F.col("idx") == F.lit(ends.lo), "[").otherwise(""), "json", F.when(F.col("idx") == F.lit(ends.hi), "]").otherwise(","))
     df.repartitionByRange("idx").sortWithinPartitions("idx").select(line.alias("line")).write.mode("overwrite").text(path)
 

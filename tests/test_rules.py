@@ -67,3 +67,12 @@ def test_any_rule_reads_or_is_refused(rule):
         run(rule, Document(HTML))
     except BadRule:
         pass
+
+
+def test_rows_that_ask_the_same_of_a_page_share_its_parse():
+    from siftlode.rules.frames import Remembered
+
+    calls = []
+    told = Remembered(lambda *x: calls.append(x) or len(calls))
+    rows = [("<p>x</p>", "p", "u", "text")] * 1000 + [("<p>x</p>", "p", "u", "href")] * 3 + [("<p>x</p>", "p", "v", "text")] * 2 + [("<p>y</p>", "p", "v", "text"), (None, "p", "v", "text")]
+    assert [told(*r) for r in rows] == [1] * 1000 + [2] * 3 + [3] * 2 + [4, None] and len(calls) == 4

@@ -125,21 +125,80 @@ def test_fetching_checks_each_hop_and_tries_again(spark):
             return 301, None, None, "http://127.0.0.1/secret"
         if url.endswith("/moved"):
             return 308, None, None, "//b.example.org/here"
+        if url.endswith("/found"):
+            return 302, None, None, "/ok"
         return (404 if url.endswith("/missing") else 200), "text/html", f"{method} {url} {body}", None
 
-    cases = ["/ok", "/once", "/slow", "/gone", "/loop", "/in", "/moved", "/missing"]
+    cases = ["/ok", "/once", "/slow", "/gone", "/loop", "/in", "/moved", "/missing", "/found"]
     asked = spark.createDataFrame([(i, f"https://a.example.org{p}", "POST", "q", {"run": str(AS_OF)}) for i, p in enumerate(cases)] + [(20, "http://[::1]/", "GET", None, {}), (21, "http://printer.local", "GET", None, {}), (22, "http://inner.example.org", "GET", None, {}), (23, "nonsense", "GET", None, {})], "idx long, url string, method string, body string, headers map<string,string>").coalesce(1)
     resolve = lambda host: ["10.0.0.7"] if host.startswith("inner") else ["93.184.216.34"]
     done = probes.fetch_with(asked, fetch, workers=1, resolve=resolve).persist()
     got = {r.idx: (r.status, r.error, r.hops, r.attempts) for r in done.collect()}
     assert [got[i] for i in range(8)] == [(200, None, 0, 1), (200, None, 0, 2), (None, "timeout", 0, 2), (None, "dns_failed", 0, 1), (302, None, 5, 1), (None, "ssrf_blocked", 1, 1), (200, None, 1, 1), (404, None, 0, 1)]
     assert {got[i][1] for i in (20, 21, 22, 23)} == {"ssrf_blocked"}
-    assert done.where("idx = 6").first().page == "GET https://b.example.org/here None"
+    assert done.where("idx = 6").first().page == "POST https://b.example.org/here q" and done.where("idx = 8").first().page == "GET https://a.example.org/ok None"
     said = {r.idx: r.connectivity for r in probes.connectivity(done).collect()}
     assert [said[i] for i in (0, 2, 3, 4, 5, 7)] == ["CONNECT_OK", "CONNECT_TIMEOUT", "CONNECT_ERROR", "CONNECT_OK", "CONNECT_ERROR", "CONNECT_DEAD"]
     done.unpersist()
 
 
+def test_a_host_never_has_more_requests_at_once_than_allowed(spark, tmp_path):
+    """A fetcher that notes when it began and ended, over all tasks."""
+    folder = str(tmp_path)
+
+    def fetch(url, method, body, headers):
+        import time
+        import uuid
+
+        began = time.time()
+        time.sleep(0.02)
+        host = url.split("/")[2]
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{host} {began} {time.time()}")
+        return (307, None, None, "http://hot.example.org/end") if url.endswith("/hop") else (200, None, "x" * 10, None)
+
+    rows = [(i, f"http://hot.example.org/{i}", "GET", None) for i in range(120)] + [(200 + i, f"http://h{i % 20}.example.org/{i}", "GET", None) for i in range(60)]
+    asked = spark.createDataFrame(rows, "idx long, url string, method string, body string").repartition(8)
+    got = probes.fetch_with(asked, fetch, per_host=3, tasks=8).collect()
+    assert len(got) == 180 and all(r.status == 200 for r in got)
+    spans = [x.read_text().split() for x in tmp_path.iterdir()]
+    for host in {s[0] for s in spans}:
+        marks = sorted([(float(a), 1) for h, a, _ in spans if h == host] + [(float(b), -1) for h, _, b in spans if h == host])
+        at = most = 0
+        for _, step in marks:
+            at += step
+            most = max(most, at)
+        assert most <= 3, host
+    one = spark.createDataFrame([(1, "http://a.example.org/hop", "PUT", "q")], asked.schema)
+    assert probes.fetch_with(one, fetch, per_host=1).first().hops == 1
+
+
+def test_pace_deadline_and_bytes(spark):
+    now, slept = [0.0], []
+    pace = probes.HostPace(2, 0.5, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(3):
+        with pace.turn("h"):
+            pass
+    with pace.turn("other"):
+        pass
+    assert slept == [0.5, 1.0]
+    assert probes.cut_bytes("é" * 10, 7) == "ééé" and probes.cut_bytes("abc", 7) == "abc" and probes.cut_bytes(None, 7) is None
+
+    def fetch(url, method, body, headers):
+        import time
+
+        time.sleep(0.15)
+        return 302, None, None, "/next"
+
+    late = spark.createDataFrame([(1, "http://a.example.org/", "GET", None)], "idx long, url string, method string, body string")
+    assert probes.fetch_with(late, fetch, deadline=0.2).first().error == "timeout"
+
+
+def test_an_array_without_rows_is_an_array(spark, tmp_path):
+    sinks.write_array(spark.createDataFrame([], "idx long, json string"), str(tmp_path / "none.json"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none.json").glob("part-*")))) == []
+
+
 def test_hosts_of_this_network():
     for url in ("http://localhost:8080", "https://x.local/", "http://0.0.0.0", "http://[fd00::1]/", "http://[::ffff:192.168.0.1]", "http://169.254.1.1", "x", "http://"):
         assert probes.refused(url), url
