@@ -51,32 +51,37 @@ def _delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Lets an aggregation of rows that are sorted by its keys run over them as they come, once, without a hash table.
+SORTED_SUMS = {"spark.sql.execution.replaceHashWithSortAgg": "true"}
+
+
 @contextmanager
-def _own_shuffles(spark: SparkSession):
-    """What is written meanwhile leaves no shuffle files behind: nothing reads them again once the table stands."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, settings: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, files: int | None = None, codec: str | None = None) -> DataFrame:
+def cut(df: DataFrame, files: int | None = None, codec: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation.  The table is removed by drop() or when the driver exits.
 
     files: at most so many files, by joining partitions of the last stage; give it where that stage
     follows a shuffle, so that many small partitions do not become as many small files.  codec: of the
-    files, where Spark's default is too large."""
+    files, where Spark's default is too large.  settings: of the session while df is planned and written."""
     spark = df.sparkSession
     if files:
         df = df.coalesce(files)
     path = f"{scratch_dir(spark)}/siftlode/{uuid.uuid4().hex}"
-    with _own_shuffles(spark):
+    with _set(spark, {_CLEANUP: "true", **(settings or {})}):
         df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftlode_path = path

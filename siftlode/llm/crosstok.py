@@ -19,21 +19,26 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import cut, drop, files_for, wave
+from siftlode.llm.common import SORTED_SUMS, cut, drop, files_for, wave
 
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text whose pieces share a dictionary; a longer text has one of its own.
-CHUNK = 16 << 20
+#: Bytes of text whose pieces share a dictionary; a longer text has one of its own.
+CHUNK = 32 << 20
 #: Pairs of documents counted at once in a task.
 HELD = 1 << 21
 #: A space after white space: there, a token may hold both.
 _JOINED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+#: The same for Arrow's expressions, with a space in front.
+_ODD = r"^ |[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: Pieces that are encoded as one text.
+TOGETHER = 1000
 
 
 def pieces_of(text: str | None) -> list[str]:
@@ -72,6 +77,7 @@ class Coders:
         if bad := next((n for n in names if re.search("[^▁]▁", n)), None):
             raise ValueError(f"pieces of this tokenizer reach over spaces: {bad}")
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.a_lens, self.b_lens = (np.array([len(t) for t in table], np.int32) for table in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -80,76 +86,121 @@ class Coders:
         b = self.b.encode(pieces, num_threads=1)
         return a, [ids if p else [self.space] for p, ids in zip(pieces, b, strict=True)]
 
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which pieces both sides give back byte for byte; and for each side the ids of those, and where each piece's begin.
+
+        Pieces are encoded many at once, as the text that they make up, and told apart by bytes.  Those that would
+        run together with their neighbours, and batches in which a side changes bytes, are encoded one by one."""
+        alone, found = [], []
+        for lo in range(0, len(pieces), TOGETHER):
+            at = [i for i in range(lo, min(lo + TOGETHER, len(pieces))) if (p := pieces[i]) and not p[0].isspace() and not p[-1].isspace()]
+            alone += sorted(set(range(lo, min(lo + TOGETHER, len(pieces)))).difference(at))
+            if at:
+                text = " ".join([pieces[i] for i in at])
+                raw = f" {text}".encode()
+                ids = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
+                if all(b"".join([table[t] for t in x]) == raw for x, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True)):
+                    ends = np.cumsum([len(pieces[i].encode()) + 1 for i in at])
+                    found.append((at, [self._told_apart(np.array(x, np.int32), lengths, ends) for x, lengths in zip(ids, (self.a_lens, self.b_lens), strict=True)]))
+                else:
+                    alone += at
+        if alone:
+            a, b = self.encode([pieces[i] for i in alone])
+            same = lambda ids, table, p: b"".join([table[t] for t in ids]) == f" {p}".encode()
+            good = [k for k, i in enumerate(alone) if same(a[k], self.a_bytes, pieces[i]) and same(b[k], self.b_bytes, pieces[i])]
+            flat = lambda side: (np.fromiter(chain.from_iterable(side[k] for k in good), np.int32), np.array([len(side[k]) for k in good], np.int64))
+            found.append(([alone[k] for k in good], [flat(a), flat(b)]))
+        whole = np.array(list(chain.from_iterable(at for at, _ in found)), np.int64)
+        none = np.empty(0, np.int32)
+        sides = [(np.concatenate([none, *(x[k][0] for _, x in found)]), np.r_[0, np.cumsum(np.concatenate([none, *(x[k][1] for _, x in found)]))]) for k in (0, 1)]
+        return whole, sides
+
+    @staticmethod
+    def _told_apart(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with the number of them in each piece; no token crosses the end of a piece."""
+        last = np.searchsorted(np.cumsum(lengths[ids]), ends)
+        return ids, np.diff(np.r_[0, last + 1])
+
 
 @lru_cache(2)
 def coders(folder: str, a_file: str, b_file: str) -> Coders:
     return Coders(folder, a_file, b_file)
 
 
-def tokenized(pieces: DataFrame, folder: str = TOKENIZERS, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """piece string -> key long, piece, whole (both sides give the bytes of space + piece), a and b: arrays of (id, len in bytes).
+TOKENS = "array<struct<id: int, len: int>>"
+
 
-    key numbers the rows; it is the same only if the table is written before it is used twice."""
+def tokenized(spots: DataFrame, parts: int, folder: str = TOKENIZERS, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+    """chunk, n, piece -> key of the piece with either chunk and n (a row for each row), or a and b: arrays of (id, length in bytes)
+    (a row for each distinct piece that both sides give back byte for byte).
+
+    Rows are dealt and sorted by piece, so that equal ones follow each other: one shuffle both finds the distinct
+    pieces and names their places.  key numbers the pieces; it stands only once the table is written."""
     kind = pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32())]))
 
-    def tokens(ids: list[list[int]], table: list[bytes]) -> pa.Array:
-        flat = np.fromiter(chain.from_iterable(ids), np.int32)
-        lengths = np.array([len(t) for t in table], np.int32)[flat]
-        cells = pa.StructArray.from_arrays([pa.array(flat), pa.array(lengths)], ["id", "len"])
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)), cells).cast(kind)
+    def cells(ids: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids), pa.array(lengths[ids])], ["id", "len"])).cast(kind)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, key = coders(folder, a_file, b_file), TaskContext.get().partitionId() << 40
+        both, key, last = coders(folder, a_file, b_file), (TaskContext.get().partitionId() << 40) - 1, None
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            a, b = both.encode(texts)
-            raw = [f" {p}".encode() for p in texts]
-            whole = [b"".join([both.a_bytes[i] for i in x]) == r and b"".join([both.b_bytes[i] for i in y]) == r for x, y, r in zip(a, b, raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(texts))), batch.column(0), pa.array(whole), tokens(a, both.a_bytes), tokens(b, both.b_bytes)], ["key", "piece", "whole", "a", "b"])
-            key += len(texts)
+            texts = batch.column(2).to_pylist()
+            new = np.fromiter((x != y for x, y in zip(texts, chain([last], texts))), bool, len(texts))  # noqa: B905
+            keys = key + np.cumsum(new)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(1), pa.nulls(len(texts), kind), pa.nulls(len(texts), kind)], ["key", "chunk", "n", "a", "b"])
+            pieces = [texts[i] for i in np.flatnonzero(new)]
+            if pieces:
+                whole, (a, b) = both.tokens(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new][whole]), pa.nulls(len(whole), pa.int64()), pa.nulls(len(whole), pa.int32()), cells(*a, both.a_lens), cells(*b, both.b_lens)], ["key", "chunk", "n", "a", "b"])
+            key, last = int(keys[-1]) if len(keys) else key, texts[-1] if texts else last
 
-    token = "array<struct<id: int, len: int>>"
-    return pieces.select("piece").mapInArrow(go, f"key long, piece string, whole boolean, a {token}, b {token}")
+    return spots.select("chunk", "n", "piece").repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(go, f"key long, chunk long, n int, a {TOKENS}, b {TOKENS}")
 
 
 def align(encoded: DataFrame, key: str = "key", parts: int | None = None) -> DataFrame:
-    """key, a, b (arrays of (id, len), of equal total length) -> key, gid long, a_ids, b_ids: the tokens of both sides between
-    two neighbouring byte ends that both have, in order.
-
-    Rows are dealt by key (over `parts`, if given) before they are exploded, so the windows of a side need no
-    shuffle of tokens.  Lengths are positive.  A row without tokens has no groups; null keys are one key and must not repeat."""
+    """key, a, b (arrays of (id, len), of equal total length) -> key, groups: array of (a, b), the ids of both sides between two
+    neighbouring byte ends that both have, in order.
+
+    Tokens are exploded with their places; a window sums the lengths of a side to ends; a full equi-join of the
+    sides on key and end pairs the ends that both have; a running count of those numbers the groups, and the rows of a number are a group.  The join is
+    written as an aggregation of both sides by key and end (an end stands once on a side), because the rows, dealt
+    by key before they are exploded (over `parts`, if given), then stay where they are: no token is shuffled.
+    Lengths are positive.  A row without tokens gives none; null keys are one key and must not repeat."""
     dealt = encoded.select(key, "a", "b").repartition(*([parts] if parts else []), key)
-
-    def side(c: str) -> DataFrame:
-        rows = dealt.select(key, F.posexplode(c).alias("pos", "t")).select(key, "pos", F.col("t.id").alias(c), F.col("t.len").alias("len"))
-        return rows.select(key, c, F.sum("len").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-
-    a, b = side("a"), side("b").withColumnsRenamed({key: "bk", "end": "be"})
-    both = a.join(b, a[key].eqNullSafe(b.bk) & (a["end"] == b.be), "full")
-    both = both.select(F.coalesce(key, "bk").alias(key), F.coalesce("end", "be").alias("end"), "a", "b")
+    placed = lambda c, side: F.transform(c, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x["id"].alias("id"), x["len"].alias("len")))
+    rows = dealt.select(key, F.inline(F.concat(placed("a", 0), placed("b", 1))))
+    ends = rows.select(key, "side", "id", F.sum("len").over(Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    both = ends.groupBy(key, "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("b"))
     earlier = Window.partitionBy(key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     shared = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     tokens = both.withColumn("gid", F.coalesce(F.sum(shared).over(earlier), F.lit(0)))
-    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"])
-    return tokens.groupBy(key, "gid").agg(ids("a").alias("a_ids"), ids("b").alias("b_ids"))
-
-
-def links(groups: DataFrame, key: str = "key") -> DataFrame:
-    """groups of align() -> key, pair (A id * 2^32 + B id), times: linked occurrences, by distinct ids of a group."""
-    times = lambda ids, one: F.size(F.filter(ids, lambda x: x == F.col(one)))
-    left = groups.select(key, "a_ids", "b_ids", F.explode(F.array_distinct("a_ids")).alias("x"))
-    pairs = left.select(key, "a_ids", "b_ids", "x", F.explode(F.array_distinct("b_ids")).alias("y"))
-    one = pairs.select(key, (F.shiftleft(F.col("x").cast("long"), 32) + F.col("y")).alias("pair"), (times("a_ids", "x") * times("b_ids", "y")).cast("long").alias("times"))
-    return one.groupBy(key, "pair").agg(F.sum("times").alias("times"))
-
-
-def summaries(groups: DataFrame, key: str = "key") -> DataFrame:
-    """groups -> key, n_a, n_b, n_groups, n_links, told (`a1,a2|b1;a3|b2,b3`)."""
-    told = F.concat_ws("|", F.array_join("a_ids", ","), F.array_join("b_ids", ","))
-    n = lambda c: F.sum(c.cast("long"))
-    a, b = F.size("a_ids"), F.size("b_ids")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("gid", told.alias("told")))), lambda x: x["told"])
-    return groups.groupBy(key).agg(n(a).alias("n_a"), n(b).alias("n_b"), F.count(F.lit(1)).alias("n_groups"), n(a * b).alias("n_links"), F.array_join(parts, ";").alias("told"))
+    gathered = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("end", "gid", "a", "b"))).alias("t"))
+    t = F.col("t")
+    gid = lambda i: F.get(t, i)["gid"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (gid(i) != gid(i - 1)))
+    gathered = gathered.select(key, "t", starts.alias("s"))
+    s = F.col("s")
+    ids = lambda part, c: F.transform(F.filter(part, lambda x: x[c].isNotNull()), lambda x: x[c])
+    parts_ = F.transform(s, lambda at, i: F.slice(t, at + 1, F.coalesce(F.get(s, i + 1), F.size(t)) - at))
+    return gathered.select(key, F.transform(parts_, lambda part: F.struct(ids(part, "a").alias("a"), ids(part, "b").alias("b"))).alias("groups"))
+
+
+def linked(aligned: DataFrame, key: str = "key") -> DataFrame:
+    """align() -> key, n_a, n_b, n_groups, n_links, told (`a1,a2|b1;a3|b2,b3`), links: array of (pair, times).
+
+    pair is A id * 2^32 + B id, times its linked occurrences in one group; a pair that several groups of a key
+    link stands once for each.  The sides of a group are joined by their distinct ids inside the row that has both."""
+    times = lambda ids, x: F.size(F.filter(ids, lambda y: y == x))
+    pair = lambda g, x, y: F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), (times(g["a"], x) * times(g["b"], y)).alias("times"))
+    many = lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: pair(g, x, y))))
+    one = lambda g: F.array(F.struct((F.shiftleft(F.get(g["a"], F.lit(0)).cast("long"), 32) + F.get(g["b"], F.lit(0))).alias("pair"), F.lit(1).alias("times")))
+    links = F.flatten(F.transform("groups", lambda g: F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), one(g)).otherwise(many(g))))
+    total = lambda f: F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + f(g))
+    told = F.array_join(F.transform("groups", lambda g: F.concat_ws("|", F.array_join(g["a"], ","), F.array_join(g["b"], ","))), ";")
+    return aligned.select(
+        key, total(lambda g: F.size(g["a"])).alias("n_a"), total(lambda g: F.size(g["b"])).alias("n_b"), F.size("groups").cast("long").alias("n_groups"),
+        total(lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links"), told.alias("told"), links.alias("links"),
+    )
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -157,35 +208,43 @@ def _chunks(docs: DataFrame) -> DataFrame:
     schema = "chunk long, doc_id long, at array<int>, n int, piece string"
     types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string()]
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, seen, size = TaskContext.get().partitionId() << 32, {}, 0
-
+    def told(chunk: int, ids: list[pa.Array], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         def batch(rows, **cols):
             return pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk)), *(cols[c] if c in cols else pa.nulls(rows, t) for c, t in zip(("doc_id", "at", "n", "piece"), types[1:], strict=True))], ["chunk", "doc_id", "at", "n", "piece"])
 
-        def dictionary():
-            words = list(seen)
-            for lo in range(0, len(words), 50_000):
-                part = words[lo : lo + 50_000]
-                yield batch(len(part), n=pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), piece=pa.array(part, pa.string()))
+        ids, texts = pa.concat_arrays(ids), pa.concat_arrays(texts)
+        plain = pc.fill_null(pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring_regex(texts, _ODD))), False)
+        odd = pc.invert(plain)
+        lists = [pc.split_pattern(texts.filter(plain), " ").cast(pa.list_(pa.string())), pa.array([pieces_of(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string()))]
+        lists, ids = pa.concat_arrays(lists), pa.concat_arrays([ids.filter(plain), ids.filter(odd)])
+        coded = lists.flatten().dictionary_encode()
+        at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)), coded.indices).cast(types[2])
+        for lo in range(0, len(ids), 1000):
+            yield batch(len(part := ids.slice(lo, 1000)), doc_id=part, at=at.slice(lo, 1000))
+        for lo in range(0, len(coded.dictionary), 50_000):
+            part = coded.dictionary.slice(lo, 50_000)
+            yield batch(len(part), n=pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), piece=part)
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
-            ids, at = [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
-                if size and size + len(text or "") > CHUNK:
-                    if ids:
-                        yield batch(len(ids), doc_id=pa.array(ids, pa.int64()), at=pa.array(at, types[2]))
-                        ids, at = [], []
-                    yield from dictionary()
-                    chunk, seen, size = chunk + 1, {}, 0
-                places = np.fromiter((seen.setdefault(p, len(seen)) for p in pieces_of(text)), np.int32)
-                ids.append(doc_id)
-                at.append(places)
-                size += len(text or "")
-            if ids:
-                yield batch(len(ids), doc_id=pa.array(ids, pa.int64()), at=pa.array(at, types[2]))
-        yield from dictionary()
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
+            lo = 0
+            while lo < b.num_rows:
+                # as many rows as still fit; a row that fits nowhere is a chunk of its own
+                before = int(lengths[lo - 1]) if lo else 0
+                hi = int(np.searchsorted(lengths, before + CHUNK - size, "right"))
+                hi = max(hi, lo + (not size))
+                if hi > lo:
+                    ids.append(b.column(0).slice(lo, hi - lo))
+                    texts.append(b.column(1).slice(lo, hi - lo))
+                    size += int(lengths[hi - 1]) - before
+                    lo = hi
+                if lo < b.num_rows:
+                    yield from told(chunk, ids, texts)
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
+        if ids:
+            yield from told(chunk, ids, texts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, schema)
 
@@ -201,10 +260,10 @@ def _documents(left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Documents of a chunk with its dictionary's links -> pair, docs: in how many of them it is linked."""
+    """Documents of a chunk, with each piece once, and its dictionary's links -> pair, docs: in how many of them it is linked."""
     right = right.sort_by("n")
     flat, begin = _documents(left)
-    whole, pairs = _placed(right, "whole").to_numpy(zero_copy_only=False), _placed(right, "pairs")
+    whole, pairs = _placed(right, "whole").fill_null(False).to_numpy(zero_copy_only=False), _placed(right, "pairs")
     lengths = pairs.value_lengths().fill_null(0).to_numpy().astype(np.int64)
     first, links_ = np.r_[0, np.cumsum(lengths)], pairs.flatten().to_numpy()
     found, held, out = [], 0, []
@@ -214,7 +273,7 @@ def _pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
         found.clear()
 
     for lo, hi in zip(begin, begin[1:], strict=False):
-        mine = np.unique(flat[lo:hi])
+        mine = flat[lo:hi]
         if not len(mine) or not whole[mine].all():
             continue
         n = lengths[mine]
@@ -237,8 +296,9 @@ def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a chunk with its dictionary's numbers -> the rows of the result."""
     right = right.sort_by("n")
     flat, begin = _documents(left)
-    whole, told = _placed(right, "whole").to_numpy(zero_copy_only=False), _placed(right, "told").to_pylist()
+    whole, told = _placed(right, "whole").fill_null(False).to_numpy(zero_copy_only=False), _placed(right, "told").to_pylist()
     values = np.stack([_placed(right, c).fill_null(0).to_numpy() for c in NUMBERS], axis=1) if right.num_rows else np.zeros((0, len(NUMBERS)), np.int64)
+    values[:, 1:4] += values[:, :1]
     sums, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
     for i, (lo, hi) in enumerate(zip(begin, begin[1:], strict=False)):
         mine = flat[lo:hi]
@@ -256,26 +316,27 @@ def aligned_documents(docs: DataFrame, folder: str = TOKENIZERS, a_file: str = A
     Null and empty texts, and texts that a side does not give back byte for byte, have zeros and an empty
     groups_sha256.  Rows with null or repeated ids count as documents of their own; other columns are ignored;
     an empty table gives no rows.  A text of any length is one row of a chunk; what a task holds is a chunk of
-    CHUNK characters or one longer text, with its distinct pieces."""
-    chunks = cut(_chunks(docs))
+    CHUNK bytes or one longer text, with its distinct pieces."""
+    chunks = cut(_chunks(docs), codec="zstd")
     of_docs = chunks.where("piece is null").select("chunk", "doc_id", "at")
-    spots = chunks.where("piece is not null").select("chunk", "n", "piece")
-    files = files_for(chunks)
-    words = cut(tokenized(spots.select("piece").repartition(files, "piece").distinct(), folder, a_file, b_file))
-    groups = align(words.where("whole"), parts=files_for(words, 2))
-    linked = links(groups).groupBy("key").agg(F.collect_list("pair").alias("pairs"), F.collect_list("times").alias("times"))
-    facts = summaries(groups).withColumnRenamed("key", "k").join(linked.withColumnRenamed("key", "l"), F.col("k") == F.col("l")).drop("l")
-    facts = cut(words.select("key", "piece", "whole").join(facts, F.col("key") == F.col("k"), "left").drop("k"))
-    placed = cut(spots.join(facts.select(F.col("piece").alias("p"), "key"), F.col("piece") == F.col("p")).select("chunk", "n", "key"))
-    with_ = lambda right: placed.join(right.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("key", "k").groupBy("chunk")
-    seen = of_docs.groupBy("chunk").cogroup(with_(facts.select("key", "whole", "pairs"))).applyInArrow(_pair_counts, "pair long, docs long")
+    words = cut(tokenized(chunks.where("piece is not null"), files_for(chunks), folder, a_file, b_file), codec="zstd")
+    facts = cut(linked(align(words.where("a is not null"), parts=files_for(words, 2))), codec="zstd", settings=SORTED_SUMS)
+    spots = cut(words.where("a is null").select("chunk", "n", F.col("key").alias("k")), codec="zstd")
+    drop(words)
+    pairs = spots.join(facts.select("key", F.lit(True).alias("whole"), F.col("links.pair").alias("pairs")), F.col("k") == F.col("key"), "left").drop("k", "key")
+    held = of_docs.select("chunk", F.array_distinct("at").alias("at"))
+    seen = held.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_pair_counts, "pair long, docs long")
     counts = cut(seen.groupBy("pair").agg(F.sum("docs").alias("docs")), wave(docs.sparkSession))
     top = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("top"))
     ranked = counts.select("pair", "docs", F.shiftright("pair", 32).alias("x")).join(top, F.col("x") == F.col("a")).select(F.col("pair").alias("of"), "docs", (F.col("docs") == F.col("top")).alias("best"))
-    each = facts.select("key", F.explode(F.arrays_zip("pairs", "times")).alias("l")).select("key", F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
     # a pair that only documents without tokens hold is in no count; none of its pieces is ever added up
-    sums = each.join(ranked, F.col("pair") == F.col("of")).groupBy(F.col("key").alias("s")).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    told = cut(facts.drop("piece", "pairs", "times").join(sums, F.col("key") == F.col("s"), "left").drop("s"))
-    drop(words, facts, counts)
+    each = facts.select("key", F.inline("links")).join(ranked, F.col("pair") == F.col("of"))
+    sums = each.groupBy(F.col("key").alias("s")).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
+    told = cut(facts.drop("links").withColumn("whole", F.lit(True)).join(sums, F.col("key") == F.col("s"), "left").drop("s"), codec="zstd")
+    drop(facts, counts)
     numbers = ", ".join(f"{c} long" for c in NUMBERS)
-    return of_docs.groupBy("chunk").cogroup(with_(told)).applyInArrow(_assembled, f"doc_id long, {numbers}, groups_sha256 string")
+    # most pieces have groups of one token on either side: what differs from that is stored, and is mostly nothing
+    less = [(F.col(c) - F.col("n_a")).alias(c) for c in NUMBERS[1:4]]
+    entries = cut(spots.join(told.select("key", "whole", "told", "n_a", *less, "n_best", "count_sum"), F.col("k") == F.col("key"), "left").drop("k", "key"), codec="zstd")
+    drop(spots, told)
+    return of_docs.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(_assembled, f"doc_id long, {numbers}, groups_sha256 string")

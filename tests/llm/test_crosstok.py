@@ -72,6 +72,10 @@ def test_pieces_encode_as_the_whole_text_does(text):
     assert [x for ids in a for x in ids] == (BOTH.a.encode(f" {text}", add_special_tokens=False).ids if text else [])
     if "▁" not in text:  # taken for a space, so its text has no tokens, and neither has its piece
         assert [x for ids in b for x in ids] == BOTH.b.encode(text)
+    kept, sides = BOTH.tokens(pieces)
+    for (ids, begin), one in zip(sides, (a, b), strict=True):
+        assert {k: ids[lo:hi].tolist() for k, lo, hi in zip(kept.tolist(), begin, begin[1:], strict=False)} == {k: one[k] for k in kept.tolist()}
+    assert sorted(kept.tolist()) == [k for k, (p, x) in enumerate(zip(pieces, b, strict=True)) if b"".join(BOTH.b_bytes[i] for i in x) == f" {p}".encode()]
     whole = all(b"".join(BOTH.b_bytes[i] for i in ids) == f" {p}".encode() for p, ids in zip(pieces, b, strict=True))
     assert (whole and bool(pieces)) == bool(whole_text(text)[0])
 
@@ -102,9 +106,14 @@ def test_alignment_by_document_gives_the_groups_of_its_pieces(spark):
         a, b = whole_text(t)
         made.append((f"d{i}", [(x, len(BOTH.a_bytes[x])) for x in a], [(x, len(BOTH.b_bytes[x])) for x in b]))
     encoded = spark.createDataFrame([*made, ("none", [], [])], kind)
-    got = {(r.key, r.gid): (r.a_ids, r.b_ids) for r in crosstok.align(encoded).collect()}
-    assert got == {(f"d{i}", n): g for i, t in rows for n, g in enumerate(grouped(*whole_text(t)))}
-    pairs = {(r.key, r.pair >> 32, r.pair & 0xFFFFFFFF): r.times for r in crosstok.links(crosstok.align(encoded)).collect()}
+    got = {r.key: [(g.a, g.b) for g in r.groups] for r in crosstok.align(encoded).collect()}
+    assert got == {f"d{i}": grouped(*whole_text(t)) for i, t in rows}
+    pairs, told = Counter(), {}
+    for r in crosstok.linked(crosstok.align(encoded)).collect():
+        told[r.key] = (r.n_a, r.n_b, r.n_groups, r.n_links)
+        for x in r.links:
+            pairs[r.key, x.pair >> 32, x.pair & 0xFFFFFFFF] += x.times
+    assert told == {f"d{i}": r[1:5] for i, r in enumerate(brute(rows))}
     assert pairs == Counter((f"d{i}", a, b) for i, t in rows for left, right in grouped(*whole_text(t)) for a in left for b in right)
 
 
