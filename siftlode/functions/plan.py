@@ -35,10 +35,22 @@ def numbered(df: DataFrame, *by: str | Column, into: str = "n") -> DataFrame:
     """df + its place, from 0, in the order of `by`, which must be total.
 
     Rows are dealt out by ranges and sorted there; only one count for each partition is added up over
-    all of them.  The dealt rows are persisted, so that both uses see the same ranges."""
+    all of them.  The dealt rows are persisted, so that both uses see the same ranges, until release()."""
     at, mask = F.col("__at"), F.lit((1 << 33) - 1)
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     counts = dealt.groupBy(F.shiftright(at, 33).alias("__p")).agg(F.count("*").alias("__rows"))
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__p", before.alias("__before"))  # a row for each partition
-    return dealt.join(F.broadcast(starts), F.shiftright(at, 33) == F.col("__p")).withColumn(into, F.col("__before") + at.bitwiseAND(mask)).drop("__at", "__p", "__before")
+    out = dealt.join(F.broadcast(starts), F.shiftright(at, 33) == F.col("__p")).withColumn(into, F.col("__before") + at.bitwiseAND(mask)).drop("__at", "__p", "__before")
+    return holding(out, dealt)
+
+
+def holding(df: DataFrame, *of: DataFrame) -> DataFrame:
+    """df, which keeps what `of` are, or hold, persisted: release(df) lets it go."""
+    df._held = [x for o in of for x in getattr(o, "_held", [o])]
+    return df
+
+
+def release(df: DataFrame) -> None:
+    for x in getattr(df, "_held", []):
+        x.unpersist()

@@ -84,6 +84,16 @@ def mask_secret(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 6), F.lit("***[REDACTED]"))
 
 
+def natural_key(c: Column) -> Column:
+    """A key that sorts a text as people do: case aside, with its numbers by their values.
+
+    Each run of digits has its length, without leading zeros, in front; so plain comparison orders numbers of
+    any length, and the key serves range partitions as well as sorts."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(x)).cast("string"), 5, "0"), number(x))).otherwise(x)), "")
+
+
 def web_regex(pattern: str) -> str | None:
     """A pattern of the web platform in the words that Java's and Python's engines read alike; None if there are none.
 

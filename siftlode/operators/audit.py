@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.functions.text import ascii_bounded, matches
+from siftlode.functions.text import ascii_bounded, matches, natural_key
 from siftlode.functions import vocab
 from siftlode.operators.judge import file_key
 from siftlode.operators.names import dirty_issues
@@ -96,9 +96,11 @@ def matching(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.where(reduce(or_, hits)) if hits else df
 
 
-def page(df: DataFrame, by: str, ties: tuple[str, ...], start: int, size: int, descending: bool = False) -> DataFrame:
-    """size rows from start on, in the order of a column with nulls last, then of ties."""
-    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+def page(df: DataFrame, by: str, ties: tuple[str, ...], start: int, size: int, descending: bool = False, natural: bool = False) -> DataFrame:
+    """size rows from start on, in the order of a column with nulls last, then of ties.  natural: numbers inside
+    texts by their values."""
+    key = natural_key(F.col(by).cast("string")) if natural else F.col(by)
+    first = key.desc_nulls_last() if descending else key.asc_nulls_last()
     return df.orderBy(first, *[F.col(c).asc_nulls_last() for c in ties]).offset(start).limit(size)
 
 

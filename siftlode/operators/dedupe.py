@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions import vocab
-from siftlode.functions.plan import barrier, numbered, opaque
+from siftlode.functions.plan import barrier, holding, numbered, opaque
 from siftlode.functions.text import matches, trim
 from siftlode.operators import urls
 from siftlode.operators.judge import rule_fields
@@ -127,7 +127,8 @@ def groups(marked: DataFrame, level: str) -> DataFrame:
     note = F.concat(F.col("dedupe_key"), F.when(F.col("dup_risk"), F.lit(" (RISK: type/category conflict — NOT auto-removed)")).otherwise(F.lit("")))
     reason = F.when(F.col("dup_risk"), F.lit("dedupe-risk: host matched but type/category differs — kept all")).otherwise(F.lit(vocab.DEDUPE_REASON.get(level, "unknown")))
     g = marked.where("dup_size > 1 and idx = k.idx").select("dedupe_key", "dup_first_idx", note.alias("group_key"), F.col("idx").alias("kept_idx"), F.col("name").alias("kept_name"), F.col("dup_size").alias("size"), "dup_risk", reason.alias("reason"))
-    return numbered(g, "dup_first_idx", into="group_id").drop("dup_first_idx")
+    out = numbered(g, "dup_first_idx", into="group_id")
+    return holding(out.drop("dup_first_idx"), out)
 
 
 def listed(marked: DataFrame, found: DataFrame) -> DataFrame:

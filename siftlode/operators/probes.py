@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftlode.functions import vocab
 from siftlode.functions.text import ascii_bounded, blank, filled, matches
-from siftlode.operators import hosts, urls
+from siftlode.operators import hosts, judge, urls
 
 STAGES = ("search", "bookInfo", "toc", "content")
 
@@ -256,6 +256,42 @@ def connectivity(responses: DataFrame) -> DataFrame:
     return responses.select("idx", connectivity_status(F.col("status"), F.col("error")).alias("connectivity"), F.lit("NOT_CHECKED").alias("search_status"), F.when(F.col("error").isNull(), F.col("ms").cast("double")).alias("measured_respond_time"))
 
 
+def search_probe(catalog: DataFrame, respond: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """catalog (flat columns, category) -> idx, search_status, asked: the status of each record's search.
+
+    What the record itself settles never comes near a request; the others become rows (idx, url, method, body,
+    headers) for `respond`, fetch_with() or stored_responses(), which gives idx, status, page, error for each.
+    A record that respond() leaves out is unverified."""
+    have = lambda c: F.col(c) if c in catalog.columns else F.lit(None).cast("string")
+    rows = catalog.withColumns({c: have(c) for c in ("search_url", "explore_url", "login_url", "login_check_js", "js_lib", "header", "rs_list", "rs_check_key", "category")})
+    judged = rows.select("idx", "url", "search_url", "header", "rs_list", judge.search_word(F.col("rs_check_key"), F.col("category")).alias("word"), search_precheck(F.col("url")).alias("settled"))
+    settled = judged.where("settled is not null").select("idx", F.col("settled").alias("search_status"), F.lit(False).alias("asked"))
+    open_ = judged.where("settled is null")
+    r = urls.search_request(F.col("search_url"), F.col("url"), F.col("word"), F.lit(1))
+    requests = open_.select("idx", "header", r.alias("r")).select("idx", "r.url", "r.method", "r.body", F.map_concat(urls.header_field(F.col("header")), F.map_filter("r.headers", lambda k, _: ~F.map_contains_key(urls.header_field(F.col("header")), k))).alias("headers"))
+    said = respond(requests).select(F.col("idx").alias("of"), "status", "page", "error")
+    told = open_.join(said, F.col("idx") == F.col("of"), "left").select("idx", search_status(F.col("status"), F.col("page"), F.col("error"), F.col("rs_list")).alias("search_status"), F.lit(True).alias("asked"))
+    return settled.unionByName(told)
+
+
+def stored_responses(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A respond() that answers from a page store (url, status, body; one row a url), as far as a request would go out."""
+
+    def respond(requests: DataFrame) -> DataFrame:
+        store = pages.select(F.col("url").alias("purl"), "status", F.col("body").alias("page"))
+        got = requests.select("idx", "url", refused_url(F.col("url")).alias("bad")).join(store, F.when(~F.col("bad"), F.col("url")) == F.col("purl"), "left")
+        return got.select("idx", "status", "page", F.when(F.col("bad"), "ssrf_blocked").when(F.col("purl").isNull(), "network_error").alias("error"))
+
+    return respond
+
+
+def probed(sites: DataFrame, searches: DataFrame) -> DataFrame:
+    """connectivity() of the records' sites with search_probe() of their searches, as process() takes both."""
+    s = searches.select(F.col("idx").alias("of"), F.col("search_status").alias("searched"))
+    both = sites.join(s, F.col("idx") == F.col("of"), "full")
+    return both.select(F.coalesce("idx", "of").alias("idx"), F.coalesce("connectivity", F.lit("NOT_CHECKED")).alias("connectivity"), F.coalesce("searched", "search_status", F.lit("NOT_CHECKED")).alias("search_status"), "measured_respond_time")
+
+
 def validate_mode(mode: str | None) -> str | None:
     """A mode of validation, whatever its case and white space; None for anything else."""
     m = mode.strip().lower() if isinstance(mode, str) else ""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions import vocab
-from siftlode.functions.plan import barrier
+from siftlode.functions.plan import barrier, release
 from siftlode.operators import audit, dedupe, judge, names, probes, urls
 from siftlode.rules import chain
 from siftlode.sources import sinks
@@ -54,6 +54,8 @@ class Report:
     batch: DataFrame | None = None
 
     def release(self) -> None:
+        if "groups" in self.__dict__:
+            release(self.groups)
         self.reviewed.unpersist()
         self.scored.unpersist()
 

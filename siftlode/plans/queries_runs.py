@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlode.functions import times
-from siftlode.functions.text import mask_secret, regex_extract, regex_replace
+from siftlode.functions.plan import numbered
+from siftlode.functions.text import mask_secret, natural_key, regex_extract, regex_replace
 from siftlode.operators import audit, dedupe, hosts, judge, names, probes, urls
 from siftlode.plans import oracles as O
 from siftlode.plans.process import Options, not_disabled, only_enabled, process
@@ -221,6 +222,34 @@ def search_precheck_templates(spark, sf_dir):
     return d.select("page_id", probes.search_precheck(F.col("url")).alias("precheck"))
 
 
+_probe = "select page_id as idx, url, case page_id % 8 when 0 then '' when 1 then '@js:java.ajax(url)' when 2 then '/s?q={{key.length > 2 ? key : 1}}' when 4 then 'http://127.1/s?q={{key}}' when 5 then '/nowhere/' || page_id else url end as search_url, case page_id % 8 when 7 then 'eval(x)' end as explore_url, case when page_id % 4 = 2 then '.list' end as rs_list from pages"
+_probe_store = "select url, case when page_id % 5 = 0 then '{\"list\": \"' || repeat('x', 20 + cast(page_id % 300 as int)) || '\"}' else html end as html, page_id from pages"
+
+
+@query(f"""with c as ({_probe}), s as (select url, min_by(html, page_id) as body from ({_probe_store}) group by url), t as (select idx, idx % 8 as k, rs_list, body, lower(body) as low from c left join s using (url))
+select idx, k in (3, 4, 5, 6) as asked, case k when 0 then 'SEARCH_UNVERIFIED' when 1 then 'SEARCH_COMPLEX_JS_SKIPPED' when 2 then 'SEARCH_TEMPLATE_COMPLEX' when 7 then 'SEARCH_SKIPPED_JS' when 4 then 'SEARCH_FAILED' when 5 then 'SEARCH_FAILED' else
+  case when length(body) <= 50 then 'SEARCH_UNVERIFIED' when regexp_matches(low, 'cloudflare|captcha|403 forbidden|access denied|请登录|verification|blocked') or (contains(low, '登录') and contains(low, '密码')) then 'SEARCH_FAILED'
+    when rs_list is not null and length(body) > 200 then 'SEARCH_RULE_LIKELY_OK' when starts_with(body, '{{') then 'SEARCH_PARSE_OK' else 'SEARCH_HTTP_OK' end end as search_status from t""")
+def search_probe(spark, sf_dir):
+    """Prechecks, requests and answers in one plan; the pages are the store that answers."""
+    pages = table(spark, sf_dir, "pages")
+    cat = spark.sql(_probe.replace("{", "{{").replace("}", "}}").replace("from pages", "from {pages}"), pages=pages)
+    store = spark.sql(_probe_store.replace("{", "{{").replace("}", "}}").replace("from pages", "from {pages}"), pages=pages)
+    answers = probes.stored_responses(page_store(store.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))))
+    return probes.search_probe(cat, answers).select("idx", "asked", "search_status")
+
+
+_named = "select p_partkey, p_name || case p_partkey % 4 when 0 then ' ' || (p_partkey % 1200) when 1 then ' v' || (p_partkey % 90) || '.' || (p_partkey % 13) when 2 then ' 00' || (p_partkey % 50) else '' end as name from part"
+_bits = "regexp_extract_all(lower(name), '[0-9]+|[^0-9]+')"
+
+
+@query(f"select p_partkey, name, row_number() over (order by list_transform({_bits}, lambda x: case when regexp_matches(x, '^[0-9]') then lpad(ltrim(x, '0'), 20, '0') else x end), p_partkey) - 1 as place from ({_named})")
+def part_natural_order(spark, sf_dir):
+    """Places of names with numbers in them, over range partitions of a key."""
+    d = spark.sql(_named.replace("from part", "from {part}"), part=table(spark, sf_dir, "part")).withColumn("key", natural_key(F.col("name")))
+    return numbered(d, "key", "p_partkey", into="place").select("p_partkey", "name", "place")
+
+
 _resp = "select page_id, case page_id % 9 when 0 then 403 when 1 then 404 when 2 then 503 when 3 then 429 when 4 then 302 when 5 then null else 200 end as status, case page_id % 13 when 0 then 'timeout' when 1 then 'dns_failed' else null end as error, case page_id % 8 when 0 then 'Access denied by Cloudflare, please wait a little while and try it once again' when 1 then '请登录 输入密码' when 2 then '{\"data\": [1, 2, 3], \"pad\": \"xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx\"}' when 3 then 'short' else html end as body, case when page_id % 2 = 0 then '.list' end as rule from pages"
 
 

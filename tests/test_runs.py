@@ -216,6 +216,42 @@ def test_entry_points(spark, catalog, tmp_path):
     assert [r.stage for r in plan.debug(catalog, store, 0, keyword="k").collect()] == ["search"]
 
 
+def test_nothing_stays_persisted_after_a_run_is_released(spark, catalog, tmp_path):
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet().toArray())
+    before = held()
+    r = process(catalog, Options(as_of=AS_OF, dedupe_level="host", include_unknown=True))
+    r.write(f"file://{tmp_path}/o")
+    assert r.groups.count() == 1 and held() - before
+    r.release()
+    assert held() <= before
+
+
+def test_what_a_search_probe_finds_reaches_the_run(spark, catalog):
+    store = page_store(spark.createDataFrame([(f"https://www.site0.com/s?q={'%E6%96%97%E7%A0%B4%E8%8B%8D%E7%A9%B9'}", "<li>" + "x" * 300)], "url string, html string"))
+    asked = []
+
+    def respond(requests):
+        asked.extend(r.idx for r in requests.collect())
+        return probes.stored_responses(store)(requests)
+
+    found = {r.idx: r for r in probes.search_probe(catalog, respond).collect()}
+    assert found[6].search_status == "SEARCH_COMPLEX_JS_SKIPPED" and found[5].search_status == "SEARCH_SKIPPED_NON_HTTP" and sorted(set(asked)) == [0, 1, 2, 3, 4]
+    assert found[0].search_status == "SEARCH_RULE_LIKELY_OK" and found[1].search_status == "SEARCH_FAILED" and not found[6].asked
+    sites = spark.createDataFrame([(0, 200, None, 12), (1, 404, None, 30)], "idx long, status int, error string, ms long")
+    both = probes.probed(probes.connectivity(sites), probes.search_probe(catalog, probes.stored_responses(store)))
+    rows = {r.idx: r for r in process(catalog, Options(as_of=AS_OF), connectivity=both).reviewed.collect()}
+    assert rows[0].availability == "usable" and rows[1].availability == "dead" and rows[6].search_status == "SEARCH_COMPLEX_JS_SKIPPED"
+
+
+def test_numbers_inside_names_sort_by_value(spark):
+    from siftlode.functions.text import natural_key
+
+    names = [None, "", "a", "A1", "a2", "a02", "a10", "a10b", "a" + "9" * 40, "b", "2", "10", "第2章", "第10章"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r.n for r in df.where("n is not null").orderBy(natural_key(F.col("n")), "i").collect()]
+    assert got == ["", "2", "10", "a", "A1", "a2", "a02", "a10", "a10b", "a" + "9" * 40, "b", "第2章", "第10章"]
+
+
 def test_numbers_follow_the_order_over_partitions(spark):
     df = spark.range(0, 1000, 1, 9).select((F.col("id") * 7919 % 1000).alias("x"))
     got = {r.x: r.n for r in numbered(df, "x").collect()}
