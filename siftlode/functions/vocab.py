@@ -119,16 +119,16 @@ DEDUPE_REASON = {
     "aggressive": "aggressive: same host + name",
 }
 
-# What a record's owner is advised to look at, by stage of the chain and reason.
+# What a record's owner is advised to look at, by stage of the chain and reason.
 SUGGESTIONS = {
-    ("search", "list_empty"): "检查 bookList 规则是否正确匹配搜索结果列表",
-    ("search", "book_url_missing"): "检查 ruleSearch.bookUrl 是否需要在 bookList item 内执行；检查是否需要 @href",
-    ("bookInfo", "name_empty"): "检查 ruleBookInfo.name 是否正确匹配书名",
-    ("bookInfo", "no_toc_url"): "检查 ruleBookInfo.tocUrl 是否正确匹配目录页 URL",
-    ("toc", "list_empty"): "检查 ruleToc.chapterList 规则",
-    ("toc", "chapter_url_missing"): "检查 ruleToc.chapterUrl；如果章节链接由 JS 生成，可能需要 Browser Runner",
-    ("content", "content_too_short"): "检查 ruleContent.content；也可能是登录页、验证码页或付费章节",
-    ("content", "short"): "正文较短（20-100 字符），可能是轻小说或页面截断，建议人工复核",
+    ("search", "list_empty"): "The list rule selects nothing on the result page; compare it with the page's markup.",
+    ("search", "book_url_missing"): "No item gives a link; the link rule runs inside an item and may lack its @href.",
+    ("bookInfo", "name_empty"): "The title rule selects no text on the detail page.",
+    ("bookInfo", "no_toc_url"): "No link to the contents was found, so the detail page itself is taken for them.",
+    ("toc", "list_empty"): "The chapter list rule selects nothing on the contents page.",
+    ("toc", "chapter_url_missing"): "Chapters have no links; where a script makes them, only a browser sees them.",
+    ("content", "content_too_short"): "The text rule gives next to nothing; the page may ask for a login, a captcha or a payment.",
+    ("content", "short"): "The text has fewer than 100 characters; look whether the chapter is short or cut off.",
 }
 
 # Modes of validation.

@@ -15,8 +15,8 @@ def frame(spark, *rows):
 
 
 @pytest.mark.parametrize("name,mode,latin,want", [
-    ("🚖 米国度", "zh-only", False, "米国度"), ("❤️笔趣阁新站@遇知", "loose", False, "笔趣阁新站"), ("猫眼看书（优++）", "loose", False, "猫眼看书"), ("🎧 UAA有声", "zh-only", False, "有声"),
-    ("🎧 UAA有声", "loose", False, "UAA有声"), ("🎧 UAA有声", "zh-only", True, "UAA有声"), ("测试站点 失效", "loose", False, "测试站点 失效"), ("笔趣阁#21", "loose", False, "笔趣阁"), ("", "loose", False, ""), (None, "loose", False, ""), ("导入站", "loose", False, "入站"),
+    ("🚖 橘子湾", "zh-only", False, "橘子湾"), ("❤️青石书屋@阿远", "loose", False, "青石书屋"), ("竹影看书（优++）", "loose", False, "竹影看书"), ("🎧 KQ有声", "zh-only", False, "有声"),
+    ("🎧 KQ有声", "loose", False, "KQ有声"), ("🎧 KQ有声", "zh-only", True, "KQ有声"), ("测试站点 失效", "loose", False, "测试站点 失效"), ("青石#21", "loose", False, "青石"), ("", "loose", False, ""), (None, "loose", False, ""), ("导入站", "loose", False, "入站"),
 ])
 def test_names(spark, name, mode, latin, want):
     df = spark.createDataFrame([(1, name)], "idx long, name string")

@@ -28,8 +28,8 @@ def record(i, name, url, **more):
 @pytest.fixture(scope="module")
 def catalog(spark, tmp_path_factory):
     rows = [
-        record(0, "🚖 米国度", "https://www.site0.com"), record(1, "笔趣阁新站@遇知", "https://www.biqiku.com"), record(2, "笔趣阁新站", "https://m.biqiku.com", respondTime=200), record(3, "✨失效站✨", "https://dead.com", ruleBookInfo=None, ruleToc=None),
-        record(4, "EPUB下载站", "https://dl.com", bookSourceType=3, ruleSearch={}), record(5, "非HTTP", "custom-id", enabled=False), record(6, "复杂", "https://c.com", searchUrl="@js:java.ajax(1)", weight="heavy"),
+        record(0, "🚖 橘子湾", "https://www.site0.com"), record(1, "青石书屋@阿远", "https://www.qingshi-shuwu.com"), record(2, "青石书屋", "https://m.qingshi-shuwu.com", respondTime=200), record(3, "✨失效屋✨", "https://dead.com", ruleBookInfo=None, ruleToc=None),
+        record(4, "文集下载屋", "https://dl.com", bookSourceType=3, ruleSearch={}), record(5, "非HTTP", "custom-id", enabled=False), record(6, "复杂", "https://c.com", searchUrl="@js:java.ajax(1)", weight="heavy"),
     ]
     path = tmp_path_factory.mktemp("c") / "catalog.json"
     path.write_text(json.dumps(rows, ensure_ascii=False))
@@ -57,7 +57,7 @@ def test_what_lands_is_judged_before_it_is_read(spark, tmp_path):
 def test_process_writes_and_checks(catalog, tmp_path):
     r = process(catalog, Options(as_of=AS_OF, dedupe_level="host", include_unknown=True, write_meta=True, group_mode="overwrite"))
     rows = {x.idx: x for x in r.reviewed.collect()}
-    assert len(rows) == 7 and rows[5].removed_reason == "Filtered: disabled source excluded" and rows[1].removed_reason.startswith('Duplicate of "笔趣阁新站"') and rows[2].kept
+    assert len(rows) == 7 and rows[5].removed_reason == "Filtered: disabled source excluded" and rows[1].removed_reason.startswith('Duplicate of "青石书屋"') and rows[2].kept
     assert all(c["pass"] for c in r.checks().collect())
     r.write(f"file://{tmp_path}/out")
     kept = [json.loads(x) for p in (tmp_path / "out/cleaned-sources").glob("part-*") for x in p.read_text().splitlines()]
@@ -208,7 +208,7 @@ def test_hosts_of_this_network():
 
 def test_entry_points(spark, catalog, tmp_path):
     tables = plan.inspect(catalog)
-    assert tables["flags"].first().records == 7 and {r.host for r in tables["duplicate_hosts"].collect()} == {"biqiku.com"}
+    assert tables["flags"].first().records == 7 and {r.host for r in tables["duplicate_hosts"].collect()} == {"qingshi-shuwu.com"}
     plan.split(catalog, Options(as_of=AS_OF), f"file://{tmp_path}/s")
     assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "s/groups").glob("file_key=*/part-*.txt")) == 7
     store = page_store(spark.createDataFrame([("https://none.example.org", "x")], "url string, html string"))
@@ -286,8 +286,8 @@ def test_chain_follows_four_pages(spark, catalog):
     assert [got[0, s] for s in ("search", "bookInfo", "toc", "content")] == [("PASS", None)] * 4
     assert got[1, "search"] == ("FAIL", "network_error") and got[4, "search"] == ("SKIPPED", None) and (1, "toc") not in got
     rows = {r.stage: r for r in verify_chain(one.where("idx = 0"), store).collect()}
-    assert rows["search"].detail["book_url"] == "https://www.site0.com/b/1" and rows["bookInfo"].suggestion is None and rows["content"].suggestion.startswith("正文较短") and "content" not in rows["content"].detail
-    assert {r.idx: r.summary for r in final_result(verify_chain(one, store), one).collect()}[0] == "🚖 米国度: 4/4 stages passed"
+    assert rows["search"].detail["book_url"] == "https://www.site0.com/b/1" and rows["bookInfo"].suggestion is None and rows["content"].suggestion.startswith("The text has fewer") and "content" not in rows["content"].detail
+    assert {r.idx: r.summary for r in final_result(verify_chain(one, store), one).collect()}[0] == "🚖 橘子湾: 4/4 stages passed"
     p = process(catalog, Options(as_of=AS_OF, include_unknown=True, validate_mode="deep"), pages=store)
     wide = sinks.with_batch(p.reviewed, p.batch)
     assert wide.where("idx = 1").select("batch_mode", "batch_status").first() is not None and wide.where("idx = 2").first().first_failure_stage == "search" and p.top_reasons().first().reason == "network_error"
