@@ -53,7 +53,10 @@ def number_text(v: Column, kind: Column) -> Column:
 
 def _value(text: Column, v: Column, at: Column) -> Column:
     """struct(kind, text) of the value v of a JSON text, which stands at the concrete path `at`."""
-    kind = F.schema_of_variant(v)
+    return F.get(F.transform(F.array(F.schema_of_variant(v)), lambda kind: _named(text, v, at, kind)), F.lit(0))
+
+
+def _named(text: Column, v: Column, at: Column, kind: Column) -> Column:
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     number = ~nested & ~kind.isin("STRING", "BOOLEAN", "VOID")
     # a variant sorts the keys of its objects; the text itself has them as they were written
@@ -71,10 +74,11 @@ def _selected(text: Column, whole: Column, path: tuple) -> Column:
             break
     start = "$" + "".join(head)
     v = F.try_variant_get(whole, start, "variant")
+    found = F.filter(F.array(v), lambda x: x.isNotNull())  # parsed once; what follows names it
     if len(head) == len(path):
-        return F.when(v.isNotNull(), F.array(_value(text, v, F.lit(start)))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+        return F.transform(found, lambda x: _value(text, x, F.lit(start)))
     node = lambda v, at: F.struct(v.alias("v"), at.alias("at"))
-    state = F.when(v.isNotNull(), F.array(node(v, F.lit(start)))).otherwise(F.array().cast("array<struct<v:variant,at:string>>"))
+    state = F.transform(found, lambda x: node(x, F.lit(start)))
     for kind, x in path[len(head) :]:
         state = F.flatten(F.transform(state, _stepper(text, kind, x, node)))
     return F.transform(state, lambda n: _value(text, n["v"], n["at"]))
