@@ -203,10 +203,24 @@ def linked(aligned: DataFrame, key: str = "key") -> DataFrame:
     )
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Places as bytes: their number, then all first bytes, all second bytes and so on, compressed."""
+    planes = places.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(places).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(row: pa.BinaryScalar) -> np.ndarray:
+    """The places that packed() was given."""
+    raw = row.as_buffer()
+    n = int.from_bytes(raw.slice(0, 4).to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(raw.slice(4), decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """docs -> chunk, and either doc_id, at (places of its pieces in the chunk's dictionary) or piece and its place n."""
-    schema = "chunk long, doc_id long, at array<int>, n int, piece string"
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string()]
+    """docs -> chunk, and either doc_id, at (places of its pieces in the chunk's dictionary, packed) or piece and its place n."""
+    schema = "chunk long, doc_id long, at binary, n int, piece string"
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string()]
 
     def told(chunk: int, ids: list[pa.Array], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         def batch(rows, **cols):
@@ -218,9 +232,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
         lists = [pc.split_pattern(texts.filter(plain), " ").cast(pa.list_(pa.string())), pa.array([pieces_of(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string()))]
         lists, ids = pa.concat_arrays(lists), pa.concat_arrays([ids.filter(plain), ids.filter(odd)])
         coded = lists.flatten().dictionary_encode()
-        at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)), coded.indices).cast(types[2])
+        at, begin = coded.indices.to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
         for lo in range(0, len(ids), 1000):
-            yield batch(len(part := ids.slice(lo, 1000)), doc_id=part, at=at.slice(lo, 1000))
+            ends = begin[lo : lo + 1001]
+            yield batch(len(part := ids.slice(lo, 1000)), doc_id=part, at=pa.array([packed(at[x:y]) for x, y in zip(ends, ends[1:], strict=False)], types[2]))
         for lo in range(0, len(coded.dictionary), 50_000):
             part = coded.dictionary.slice(lo, 50_000)
             yield batch(len(part), n=pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), piece=part)
@@ -253,17 +268,11 @@ def _placed(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks()
 
 
-def _documents(left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pieces of a chunk's documents, and where each document's begin."""
-    at = _placed(left, "at")
-    return at.flatten().to_numpy(), np.r_[0, np.cumsum(at.value_lengths().to_numpy())]
-
-
 def _pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Documents of a chunk, with each piece once, and its dictionary's links -> pair, docs: in how many of them it is linked."""
+    """Documents of a chunk and its dictionary's links -> pair, docs: in how many of them it is linked."""
     right = right.sort_by("n")
-    flat, begin = _documents(left)
-    whole, pairs = _placed(right, "whole").fill_null(False).to_numpy(zero_copy_only=False), _placed(right, "pairs")
+    pairs = _placed(right, "pairs")
+    whole = pairs.is_valid().to_numpy(zero_copy_only=False)
     lengths = pairs.value_lengths().fill_null(0).to_numpy().astype(np.int64)
     first, links_ = np.r_[0, np.cumsum(lengths)], pairs.flatten().to_numpy()
     found, held, out = [], 0, []
@@ -272,8 +281,8 @@ def _pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
         out.append(np.unique(np.concatenate(found), return_counts=True))
         found.clear()
 
-    for lo, hi in zip(begin, begin[1:], strict=False):
-        mine = flat[lo:hi]
+    for row in _placed(left, "at"):
+        mine = np.unique(unpacked(row))
         if not len(mine) or not whole[mine].all():
             continue
         n = lengths[mine]
@@ -295,13 +304,13 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a chunk with its dictionary's numbers -> the rows of the result."""
     right = right.sort_by("n")
-    flat, begin = _documents(left)
-    whole, told = _placed(right, "whole").fill_null(False).to_numpy(zero_copy_only=False), _placed(right, "told").to_pylist()
+    told = _placed(right, "told")
+    whole, told = told.is_valid().to_numpy(zero_copy_only=False), told.to_pylist()
     values = np.stack([_placed(right, c).fill_null(0).to_numpy() for c in NUMBERS], axis=1) if right.num_rows else np.zeros((0, len(NUMBERS)), np.int64)
     values[:, 1:4] += values[:, :1]
     sums, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
-    for i, (lo, hi) in enumerate(zip(begin, begin[1:], strict=False)):
-        mine = flat[lo:hi]
+    for i, row in enumerate(_placed(left, "at")):
+        mine = unpacked(row)
         if not len(mine) or not whole[mine].all():
             hashes.append("")
             continue
@@ -323,20 +332,19 @@ def aligned_documents(docs: DataFrame, folder: str = TOKENIZERS, a_file: str = A
     facts = cut(linked(align(words.where("a is not null"), parts=files_for(words, 2))), codec="zstd", settings=SORTED_SUMS)
     spots = cut(words.where("a is null").select("chunk", "n", F.col("key").alias("k")), codec="zstd")
     drop(words)
-    pairs = spots.join(facts.select("key", F.lit(True).alias("whole"), F.col("links.pair").alias("pairs")), F.col("k") == F.col("key"), "left").drop("k", "key")
-    held = of_docs.select("chunk", F.array_distinct("at").alias("at"))
-    seen = held.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_pair_counts, "pair long, docs long")
+    pairs = spots.join(facts.select("key", F.col("links.pair").alias("pairs")), F.col("k") == F.col("key"), "left").drop("k", "key")
+    seen = of_docs.select("chunk", "at").groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_pair_counts, "pair long, docs long")
     counts = cut(seen.groupBy("pair").agg(F.sum("docs").alias("docs")), wave(docs.sparkSession))
     top = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("top"))
     ranked = counts.select("pair", "docs", F.shiftright("pair", 32).alias("x")).join(top, F.col("x") == F.col("a")).select(F.col("pair").alias("of"), "docs", (F.col("docs") == F.col("top")).alias("best"))
     # a pair that only documents without tokens hold is in no count; none of its pieces is ever added up
     each = facts.select("key", F.inline("links")).join(ranked, F.col("pair") == F.col("of"))
     sums = each.groupBy(F.col("key").alias("s")).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    told = cut(facts.drop("links").withColumn("whole", F.lit(True)).join(sums, F.col("key") == F.col("s"), "left").drop("s"), codec="zstd")
+    told = cut(facts.drop("links").join(sums, F.col("key") == F.col("s"), "left").drop("s"), codec="zstd")
     drop(facts, counts)
     numbers = ", ".join(f"{c} long" for c in NUMBERS)
     # most pieces have groups of one token on either side: what differs from that is stored, and is mostly nothing
     less = [(F.col(c) - F.col("n_a")).alias(c) for c in NUMBERS[1:4]]
-    entries = cut(spots.join(told.select("key", "whole", "told", "n_a", *less, "n_best", "count_sum"), F.col("k") == F.col("key"), "left").drop("k", "key"), codec="zstd")
+    entries = cut(spots.join(told.select("key", "told", "n_a", *less, "n_best", "count_sum"), F.col("k") == F.col("key"), "left").drop("k", "key"), codec="zstd")
     drop(spots, told)
     return of_docs.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(_assembled, f"doc_id long, {numbers}, groups_sha256 string")
