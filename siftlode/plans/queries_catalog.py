@@ -8,6 +8,7 @@ from siftlode.functions.text import csv_audit_field, csv_field, encode_component
 from siftlode.operators import audit, dedupe, judge, names, urls
 from siftlode.plans import oracles as O
 from siftlode.plans.testdata import catalog, judged, table
+from siftlode.sources import schema
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -194,3 +195,37 @@ for _mode, _sql in {
 def csv_escape(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("c", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("="), "text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("@"), "source")).otherwise(F.coalesce("text", F.lit(""))))
     return d.select("doc_id", csv_field(F.col("c")).alias("field"), csv_audit_field(F.col("c")).alias("audit_field"))
+
+
+#: Records with fields of wrong types by the page's number, as JSON text that Spark and DuckDB both make.
+_RECORDS = """select page_id as idx, '{"bookSourceName":' || case page_id % 5 when 0 then '7' when 1 then 'null' else '"n' || cast(page_id as string) || '"' end
+  || ',"bookSourceType":' || case page_id % 7 when 0 then '1.5' when 1 then 'null' when 2 then '"0"' else '0' end
+  || ',"respondTime":' || case page_id % 4 when 0 then '"12"' when 1 then '12.5' when 2 then 'true' else '12' end
+  || ',"enabled":' || case page_id % 6 when 0 then '1' else 'false' end
+  || ',"ruleSearch":' || case page_id % 9 when 0 then '[1,"a",{"x":null}]' when 1 then 'null' when 2 then '{}' when 3 then '{"name":{"a":[[2],[]]},"own":1}' else '{"name":"h3","bookUrl":' || case when page_id % 2 = 0 then 'null' else '"a"' end || '}' end
+  || ',"tags":[' || cast(length(url) as string) || ',"' || cast(page_id % 3 as string) || '"]}' as json from {pages}"""
+_TREE = f"""t as (select idx, regexp_replace(fullkey, '\\[[0-9]+\\]', '[*]', 'g') as path, case when type = 'VARCHAR' then 'string' when type in ('UBIGINT', 'BIGINT') then 'integer' when type = 'DOUBLE' then 'number' else lower(type) end as kind
+  from ({_RECORDS.replace('{pages}', 'pages')}) r, json_tree(r.json::json))"""
+
+
+def _records(spark, sf_dir):
+    text = _RECORDS.replace("{pages}", "pages_in").replace("{", "{{").replace("}", "}}").replace("pages_in", "{pages}")
+    return spark.sql(text, pages=table(spark, sf_dir, "pages")).select("idx", F.parse_json("json").alias("record"))
+
+
+@query(f"with {_TREE} select path, kind, count(*) as n, min(idx) as first_idx from t group by all")
+def schema_drift(spark, sf_dir):
+    return schema.drift(_records(spark, sf_dir))
+
+
+@query(f"""with {_TREE}, d as (select unnest([{", ".join(f"{{'p': '{p}', 'want': '{w}'}}" for p, w in schema.DECLARED.items())}], recursive := true))
+select idx, path, rtrim(want, '?') as expected, kind as found from t join d on path = p
+where kind <> rtrim(want, '?') and not (kind = 'integer' and want = 'number?') and not (kind = 'null' and want like '%?')""")
+def schema_issues(spark, sf_dir):
+    return schema.issues(_records(spark, sf_dir))
+
+
+@query("select regexp_replace(fullkey, '\\[[0-9]+\\]', '[*]', 'g') as path, case when type = 'VARCHAR' then 'string' when type in ('UBIGINT', 'BIGINT') then 'integer' when type = 'DOUBLE' then 'number' else lower(type) end as kind, count(*) as n, min(event_id) as first_idx from events, json_tree(props::json) group by all")
+def props_drift(spark, sf_dir):
+    """Fields of the events' properties by type."""
+    return schema.drift(table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("record")), "event_id")
