@@ -299,6 +299,8 @@ def _pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Numbers that are n_a for a piece whose groups have one token on either side.
+UNEQUAL = NUMBERS[1:4]
 
 
 def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -306,8 +308,10 @@ def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     right = right.sort_by("n")
     told = _placed(right, "told")
     whole, told = told.is_valid().to_numpy(zero_copy_only=False), told.to_pylist()
-    values = np.stack([_placed(right, c).fill_null(0).to_numpy() for c in NUMBERS], axis=1) if right.num_rows else np.zeros((0, len(NUMBERS)), np.int64)
-    values[:, 1:4] += values[:, :1]
+    values, more = np.zeros((right.num_rows, len(NUMBERS)), np.int64), _placed(right, "more")
+    for k, c in enumerate(NUMBERS):
+        values[:, k] = _placed(right, "n_a" if c in UNEQUAL else c).fill_null(0).to_numpy()
+    values[more.is_valid().to_numpy(zero_copy_only=False), 1:4] += more.flatten().to_numpy().reshape(-1, len(UNEQUAL))
     sums, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
     for i, row in enumerate(_placed(left, "at")):
         mine = unpacked(row)
@@ -327,8 +331,9 @@ def aligned_documents(docs: DataFrame, folder: str = TOKENIZERS, a_file: str = A
     an empty table gives no rows.  A text of any length is one row of a chunk; what a task holds is a chunk of
     CHUNK bytes or one longer text, with its distinct pieces."""
     chunks = cut(_chunks(docs), codec="zstd")
-    of_docs = chunks.where("piece is null").select("chunk", "doc_id", "at")
     words = cut(tokenized(chunks.where("piece is not null"), files_for(chunks), folder, a_file, b_file), codec="zstd")
+    of_docs = cut(chunks.where("piece is null").select("chunk", "doc_id", "at"))
+    drop(chunks)
     facts = cut(linked(align(words.where("a is not null"), parts=files_for(words, 2))), codec="zstd", settings=SORTED_SUMS)
     spots = cut(words.where("a is null").select("chunk", "n", F.col("key").alias("k")), codec="zstd")
     drop(words)
@@ -343,8 +348,8 @@ def aligned_documents(docs: DataFrame, folder: str = TOKENIZERS, a_file: str = A
     told = cut(facts.drop("links").join(sums, F.col("key") == F.col("s"), "left").drop("s"), codec="zstd")
     drop(facts, counts)
     numbers = ", ".join(f"{c} long" for c in NUMBERS)
-    # most pieces have groups of one token on either side: what differs from that is stored, and is mostly nothing
-    less = [(F.col(c) - F.col("n_a")).alias(c) for c in NUMBERS[1:4]]
-    entries = cut(spots.join(told.select("key", "told", "n_a", *less, "n_best", "count_sum"), F.col("k") == F.col("key"), "left").drop("k", "key"), codec="zstd")
+    # most pieces have groups of one token on either side: what differs from that is stored, and is mostly null
+    more = F.when(F.greatest(*UNEQUAL) != F.least("n_a", *UNEQUAL), F.array(*[F.col(c) - F.col("n_a") for c in UNEQUAL])).alias("more")
+    entries = cut(spots.join(told.select("key", "told", "n_a", more, "n_best", "count_sum"), F.col("k") == F.col("key"), "left").drop("k", "key"), codec="zstd")
     drop(spots, told)
     return of_docs.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(_assembled, f"doc_id long, {numbers}, groups_sha256 string")
