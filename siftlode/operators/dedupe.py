@@ -143,6 +143,17 @@ def listed(marked: DataFrame, found: DataFrame) -> DataFrame:
                        F.col("gone.score_diff").alias("score_diffs"), F.transform("diffs", lambda d: d.dropFields("place")).alias("diffs"))
 
 
+def removed(marked: DataFrame) -> DataFrame:
+    """__key, removed: the indices of a group's removed members in order, as one text; one row a group that loses any.
+
+    Places come from a window, which spills; LISTED members at a time become text, so no task holds a group's rows."""
+    gone = ranked(marked.where("dup_size > 1 and idx <> k.idx and not dup_risk"))
+    texts = gone.groupBy("dedupe_key", F.floor((F.col("dup_rank") - 1) / LISTED).alias("part")).agg(F.sort_array(F.collect_list(F.struct("dup_rank", "idx"))).alias("x"))
+    texts = texts.select("dedupe_key", "part", F.array_join(F.transform("x", lambda m: m["idx"].cast("string")), ",").alias("text"))
+    parts = texts.groupBy(F.col("dedupe_key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
+    return parts.select("__key", F.array_join(F.col("parts.text"), ",").alias("removed"))
+
+
 def pairs(marked: DataFrame) -> DataFrame:
     """Each group's survivor beside each other member; a group kept for its conflicts is of high risk."""
     return field_diff(marked).select("dedupe_key", "kept_idx", "removed_idx", "kept_name", "removed_name", "kept_category", "removed_category", "rule_differences", "type_conflict", F.when(F.col("dup_risk"), "high").otherwise("low").alias("risk"))
