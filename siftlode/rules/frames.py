@@ -17,8 +17,9 @@ from siftlode.rules.select import BadRule
 ROWS = 500
 
 
-def apply_rule(df: DataFrame, rule: str, content: str = "html", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def apply_rule(df: DataFrame, rule: str, content: str = "html", keys: tuple[str, ...] = ("page_id",), open_references: bool = True) -> DataFrame:
     """One row for each value of a rule: keys, ord, kind, text.  An unreadable rule yields no rows.
+    Without open_references, character references of a page that no semicolon ends stay as they are.
 
     A rule on JSON that compiles runs as columns; the others run in Python, each document parsed once."""
     if (values := compiled(rule, F.col(content))) is not None:
@@ -34,7 +35,7 @@ def apply_rule(df: DataFrame, rule: str, content: str = "html", keys: tuple[str,
                 at, ord_, kind, text = [], [], [], []
                 for i, body in enumerate(b[len(keys)].to_pylist()):
                     try:
-                        found = run(rule, Document(body))
+                        found = run(rule, Document(body, open_references))
                     except BadRule:
                         found = []
                     for n, x in enumerate(found):

@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from siftlode.plans import registry
 from siftlode.rules.dom import parse
 from siftlode.rules.engine import Document, first_text, read_rule, resolve, run, text_of
 from siftlode.rules.select import BadRule
@@ -76,3 +78,15 @@ def test_rows_that_ask_the_same_of_a_page_share_its_parse():
     told = Remembered(lambda *x: calls.append(x) or len(calls))
     rows = [("<p>x</p>", "p", "u", "text")] * 1000 + [("<p>x</p>", "p", "u", "href")] * 3 + [("<p>x</p>", "p", "v", "text")] * 2 + [("<p>y</p>", "p", "v", "text"), (None, "p", "v", "text")]
     assert [told(*r) for r in rows] == [1] * 1000 + [2] * 3 + [3] * 2 + [4, None] and len(calls) == 4
+
+
+def test_references_without_a_semicolon_can_stay(spark, tmp_path):
+    titles = ["x &amp;&amp", "&lt;b&gt &quot", "&ampx; &nope; &am", "a && b &copy=1", "&amp;lt;", "&quot;q&quot;", "plain"]
+    rows = [(i, f"<html><title>{t}</title><script>a && b&lt</script></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, registry.QUERIES["html_title"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(registry.ORACLE_SQL["html_title"]).fetchall()) and got[0][2] == "x &&amp"
+    # a browser's reading stays the default
+    assert Document(rows[0][1]).root().text() == "x &&" and "a && b&lt</script>" in Document(rows[0][1], open_references=False).root().html()
