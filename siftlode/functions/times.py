@@ -11,10 +11,21 @@ DAY = 86_400_000
 UNITS = ((365 * DAY, 366 * DAY, "年前"), (30 * DAY, 31 * DAY, "个月前"), (DAY, DAY, "天前"), (3_600_000, 3_600_000, "小时前"), (60_000, 60_000, "分钟前"))
 
 
+#: Milliseconds, either way, that a timestamp reaches to.
+LATEST = 9_223_372_036_854_775
+
+
 def shown(ms: Column) -> Column:
-    """`yyyy-MM-dd HH:mm:ss` in UTC whatever the session's zone."""
-    day = F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(day, F.lit(MISSING))
+    """`yyyy-MM-dd HH:mm:ss` in UTC whatever the session's zone.
+
+    Years before 0 and after 9999 are plain numbers; a time that no timestamp holds is shown as it came."""
+    held = F.when(ms.between(-LATEST, LATEST), ms)
+    rest = F.pmod(held, F.lit(DAY))
+    # from the day itself: a zone has hours that it skips
+    day, second = F.date_from_unix_date(((held - rest) / DAY).cast("int")), F.floor(rest / 1000)
+    date = F.when(F.year(day).between(0, 9999), day.cast("string")).otherwise(F.concat(F.year(day).cast("string"), F.right(day.cast("string"), F.lit(6))))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    return F.coalesce(F.concat(date, F.lit(" "), clock), ms.cast("string"), F.lit(MISSING))
 
 
 def ago(ms: Column, as_of: int) -> Column:

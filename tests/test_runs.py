@@ -319,6 +319,22 @@ def test_chain_follows_four_pages(spark, catalog):
     assert batch_results(p.reviewed, None).count() == 7
 
 
+def test_times_of_any_year_are_shown(spark):
+    from siftlode.functions import times
+
+    at = [0, -1, AS_OF, -62_167_219_200_000, -62_167_219_200_001, -62_236_339_200_000, -99_999_999_999_999, 253_402_300_799_999, 253_402_300_800_000, -9_000_000_000_000_001, 1_711_850_400_000, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "i int, t long")
+    want = [(x and x[0]) or "N/A" for x in (duckdb.sql(f"select strftime(make_timestamp({'null' if t is None else t}::bigint * 1000), '%Y-%m-%d %H:%M:%S')").fetchall()[0] for t in at)]
+    try:
+        for zone in ("UTC", "America/New_York", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r.s for r in df.select("i", times.shown(F.col("t")).alias("s")).orderBy("i").collect()] == want
+            # beyond what a timestamp holds
+            assert spark.range(1).select(times.shown(F.lit(-(10**17)))).first()[0] == str(-(10**17))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_paths(tmp_path):
     assert safe_output("output-1/x") == "output-1" and safe_file_name("a b/中.json") == "a_b__.json"
     for bad in ("../x", "etc/x", "a\x00.json"):
