@@ -84,6 +84,11 @@ def _selected(text: Column, whole: Column, path: tuple) -> Column:
     return F.transform(state, lambda n: _value(text, n["v"], n["at"]))
 
 
+def _named_once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _stepper(text: Column, kind: str, x, node) -> Callable[[Column], Column]:
     return lambda n: _step(text, n, kind, x, node)
 
@@ -92,16 +97,28 @@ def _step(text: Column, n: Column, kind: str, x, node) -> Column:
     none = F.array().cast("array<struct<v:variant,at:string>>")
     if kind == "name":
         found = F.try_variant_get(n["v"], f"$['{x}']", "variant")
-        return F.when(found.isNotNull(), F.array(node(found, F.concat(n["at"], F.lit(f"['{x}']"))))).otherwise(none)
-    items = F.try_variant_get(n["v"], "$", "array<variant>")
+        return F.transform(F.filter(F.array(found), lambda v: v.isNotNull()), lambda v: node(v, F.concat(n["at"], F.lit(f"['{x}']"))))
+    if kind == "all":
+        return _named_once(F.try_variant_get(n["v"], "$", "array<variant>"), lambda items: _all(text, n, items, node))
+    return _named_once(F.try_variant_get(n["v"], "$", "array<variant>"), lambda items: F.when(items.isNotNull(), _range(n, items, kind, x, node)).otherwise(none))
+
+
+def _range(n: Column, items: Column, kind: str, x, node) -> Column:
+    """The entry at an index, or those of a slice."""
     size = F.size(items)
-    each = F.transform(items, lambda v, i: node(v, F.concat(n["at"], F.lit("["), i.cast("string"), F.lit("]"))))
+    place = lambda b: F.lit(b) if b >= 0 else F.greatest(size + b, F.lit(0))
     if kind == "index":
-        return F.when(items.isNotNull(), F.filter(each, lambda _, i: i == (F.lit(x) if x >= 0 else size + x))).otherwise(none)
-    if kind == "slice":
-        lo, hi = x
-        bound = lambda b, default: F.lit(default) if b is None else F.lit(b) if b >= 0 else F.greatest(size + b, F.lit(0))
-        return F.when(items.isNotNull(), F.filter(each, lambda _, i: (i >= bound(lo, 0)) & (i < (size if hi is None else bound(hi, 0))))).otherwise(none)
+        at = F.lit(x) if x >= 0 else size + x
+        lo, count = F.greatest(at, F.lit(0)), F.when(at >= 0, 1).otherwise(0)
+    else:
+        lo = F.lit(0) if x[0] is None else place(x[0])
+        count = F.greatest((size if x[1] is None else place(x[1])) - lo, F.lit(0))
+    return F.transform(F.slice(items, lo + 1, count), lambda v, i: node(v, F.concat(n["at"], F.lit("["), (lo + i).cast("string"), F.lit("]"))))
+
+
+def _all(text: Column, n: Column, items: Column, node) -> Column:
+    none = F.array().cast("array<struct<v:variant,at:string>>")
+    each = F.transform(items, lambda v, i: node(v, F.concat(n["at"], F.lit("["), i.cast("string"), F.lit("]"))))
     # all: entries of a list, or of an object in the order of its text
     entries = F.try_variant_get(n["v"], "$", "map<string,variant>")
     keys = F.map_keys(F.from_json(F.call_function("get_json_object", text, n["at"]), "map<string,string>"))
@@ -120,8 +137,11 @@ def compiled(rule: str, text: Column) -> Column | None:
     groups = steps_of(rule)
     if groups is None:
         return None
-    whole = F.try_parse_json(text)
     one = "array<struct<kind:string,text:string>>"
+    return F.coalesce(_named_once(F.try_parse_json(text), lambda whole: _joined(groups, text, whole)), F.array()).cast(one)
+
+
+def _joined(groups: tuple[tuple[Group, tuple], ...], text: Column, whole: Column) -> Column:
     out = None
     for g, path in groups:
         found = _selected(text, whole, path)
@@ -135,4 +155,4 @@ def compiled(rule: str, text: Column) -> Column | None:
             out = F.filter(F.flatten(F.zip_with(out, found, lambda a, b: F.array(a, b))), lambda x: x.isNotNull())
         else:
             out = F.concat(out, found)
-    return F.coalesce(out, F.array()).cast(one)
+    return out
