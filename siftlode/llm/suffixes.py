@@ -189,8 +189,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(x, SHARED_AT_EDGE if shared else OPEN)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_neighbours() with the places of a key in a document in one row, as far as they follow each other in a batch:
+    a text that repeats a line a thousand times has one row for it.  Equal rows have one place."""
+    for b in _neighbours(batches):
+        key, did, row, at, state = (c.to_numpy() for c in b.columns)
+        other = (key[1:] != key[:-1]) | (did[1:] != did[:-1]) | (row[1:] != row[:-1]) | ((at[1:] ^ at[:-1]) & 1 > 0)
+        kept = np.flatnonzero(np.r_[True, other | (at[1:] != at[:-1])])
+        first = np.flatnonzero(np.r_[True, other])
+        places = pa.ListArray.from_arrays(pa.array(np.searchsorted(kept, np.r_[first, len(at)]).astype(np.int32)), pa.array(at[kept]))
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(did[first]), pa.array(row[first]), places, pa.array(state[first])], b.schema.names)
+
+
 def shared_suffixes(docs: DataFrame) -> DataFrame:
-    """_keyed docs -> a table (key, did, row, at, state) of the retained suffixes whose first SUFFIX words
+    """_keyed docs -> a table (key, did, row, at: array, state) of the retained suffixes whose first SUFFIX words
     stand in another document too, as far as equal hashes tell; words are compared later.
 
     Suffixes are sorted over all partitions and compared with their neighbours.  The documents are part
@@ -200,9 +212,9 @@ def shared_suffixes(docs: DataFrame) -> DataFrame:
     # the place in the table is part of the ranges, so that not even equal rows have to be in one partition
     dealt = suffixes.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("k1", "k2", "did", "row", "place")
     dealt = dealt.sortWithinPartitions("k1", "k2", "did", "row", "at").select("k1", "k2", "did", "row", "at")
-    found = cut(dealt.mapInArrow(_neighbours, "key long, did long, row long, at long, state byte"), files_for(suffixes))
+    found = cut(dealt.mapInArrow(_gathered, "key long, did long, row long, at array<long>, state byte"), files_for(suffixes))
     drop(suffixes)
-    doc = F.struct(F.col("did"), F.col("at") % 2)
+    doc = F.struct(F.col("did"), F.element_at("at", 1) % 2)
     edge = found.where(F.col("state") != SHARED).groupBy(F.col("key").alias("ek")).agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.max("state").alias("most"))
     edge = cut(edge.where((F.col("most") == SHARED_AT_EDGE) | (F.col("lo") != F.col("hi"))).select("ek"), files_for(found))
     more = found.where(F.col("state") == OPEN).join(small(edge, edge.count()), F.col("key") == F.col("ek")).drop("ek")
@@ -220,9 +232,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for did, row, text, hits in zip(b["did"].to_pylist(), b["row"].to_pylist(), b["text"], b["hits"], strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
             first, last = word_edges(raw)
-            at = hits.values.field("at").to_numpy()
+            lists = hits.values.field("at")
+            keys = np.repeat(hits.values.field("key").to_numpy(), lists.value_lengths().to_numpy())
+            found = dict.fromkeys(zip(keys.tolist(), lists.flatten().to_numpy().tolist(), strict=True))  # lists of several tasks may share places
+            key_, at = (np.array(x, np.int64) for x in zip(*found, strict=True))
             places: dict[tuple, list[int]] = {}  # a text that goes round in circles has each slice once
-            for key, pos, before, after in zip(hits.values.field("key").to_pylist(), (at >> 17).tolist(), (at >> 9 & 255).tolist(), (at >> 1 & 255).tolist(), strict=True):
+            for key, pos, before, after in zip(key_.tolist(), (at >> 17).tolist(), (at >> 9 & 255).tolist(), (at >> 1 & 255).tolist(), strict=True):
                 words = b" ".join(raw[first[pos - before] : last[pos + after - 1]].split())
                 places.setdefault((key, before, words), []).append(pos)
             for (key, before, words), pos in places.items():

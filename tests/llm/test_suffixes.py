@@ -133,3 +133,15 @@ def test_chunked_hashing_is_the_same(monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], ROWS)
     assert S.repeated_spans(df).collect() == [] and S.remove_repeats(df).collect() == []
+
+
+def test_places_of_a_document_are_one_row(spark):
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, " ".join([line] * 100 + [f"end{i}"])) for i in range(3)] + [(2, " ".join([line] * 100 + ["end2"])), (9, "short")], "doc_id long, text string")
+    hits = S.shared_suffixes(S._keyed(docs))
+    rows, places = hits.count(), hits.select(F.size("at").alias("n")).agg(F.sum("n")).first()[0]
+    assert places > 500 and rows * 10 < places
+    spans = sorted(map(tuple, S.repeated_spans(docs).collect()))
+    assert spans == [(0, 0, 6000, False, 0), (1, 0, 6000, True, 0), (2, 0, 6000, True, 0)]
