@@ -32,6 +32,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 32 << 20
 #: Pairs of documents counted at once in a task.
 HELD = 1 << 21
+#: Pieces of documents whose groups are joined at once.
+JOINED = 1 << 16
 #: A space after white space: there, a token may hold both.
 _JOINED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
@@ -260,6 +262,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
                     chunk, ids, texts, size = chunk + 1, [], [], 0
         if ids:
             yield from told(chunk, ids, texts)
+        # the worker lives on for the steps that follow: what its chunks took is given back to the system
+        del ids, texts
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, schema)
 
@@ -268,30 +273,38 @@ def _placed(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks()
 
 
+def _row_of(table: pa.Table) -> np.ndarray:
+    """The row of each place of a dictionary; its rows come in any order and need not be copied into theirs."""
+    n = _placed(table, "n").to_numpy()
+    rows = np.empty(len(n), np.int32)
+    rows[n] = np.arange(len(n), dtype=np.int32)
+    return rows
+
+
 def _pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a chunk and its dictionary's links -> pair, docs: in how many of them it is linked."""
-    right = right.sort_by("n")
-    pairs = _placed(right, "pairs")
+    row_of, pairs = _row_of(right), _placed(right, "pairs")
     whole = pairs.is_valid().to_numpy(zero_copy_only=False)
-    lengths = pairs.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-    first, links_ = np.r_[0, np.cumsum(lengths)], pairs.flatten().to_numpy()
+    lengths = pairs.value_lengths().fill_null(0).to_numpy()
+    first, links_ = np.r_[0, np.cumsum(lengths, dtype=np.int64)], pairs.flatten().to_numpy()
     found, held, out = [], 0, []
 
     def settle():
         out.append(np.unique(np.concatenate(found), return_counts=True))
         found.clear()
 
-    for row in _placed(left, "at"):
-        mine = np.unique(unpacked(row))
-        if not len(mine) or not whole[mine].all():
-            continue
-        n = lengths[mine]
-        places = np.repeat(first[mine] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        found.append(np.unique(links_[places]))
-        held += len(found[-1])
-        if held > HELD:
-            settle()
-            held = 0
+    for column in left.column("at").chunks:
+        for row in column:
+            mine = row_of[np.unique(unpacked(row))]
+            if not len(mine) or not whole[mine].all():
+                continue
+            n = lengths[mine].astype(np.int64)
+            places = np.repeat(first[mine] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            found.append(np.unique(links_[places]))
+            held += len(found[-1])
+            if held > HELD:
+                settle()
+                held = 0
     if found:
         settle()
     pair, docs = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -305,21 +318,31 @@ UNEQUAL = NUMBERS[1:4]
 
 def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a chunk with its dictionary's numbers -> the rows of the result."""
-    right = right.sort_by("n")
-    told = _placed(right, "told")
-    whole, told = told.is_valid().to_numpy(zero_copy_only=False), told.to_pylist()
+    row_of, told = _row_of(right), _placed(right, "told")
+    whole = told.is_valid().to_numpy(zero_copy_only=False)
     values, more = np.zeros((right.num_rows, len(NUMBERS)), np.int64), _placed(right, "more")
     for k, c in enumerate(NUMBERS):
         values[:, k] = _placed(right, "n_a" if c in UNEQUAL else c).fill_null(0).to_numpy()
     values[more.is_valid().to_numpy(zero_copy_only=False), 1:4] += more.flatten().to_numpy().reshape(-1, len(UNEQUAL))
-    sums, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
-    for i, row in enumerate(_placed(left, "at")):
-        mine = unpacked(row)
-        if not len(mine) or not whole[mine].all():
-            hashes.append("")
-            continue
-        sums[i] = values[mine].sum(axis=0)
-        hashes.append(hashlib.sha256(";".join([told[k] for k in mine.tolist()]).encode()).hexdigest())
+    told = told.cast(pa.large_binary())
+    sums, hashes, held = np.zeros((left.num_rows, len(NUMBERS)), np.int64), [""] * left.num_rows, {}
+
+    def settle():
+        rows, begin = np.concatenate([*held.values()]), np.r_[0, np.cumsum([len(x) for x in held.values()])]
+        sums[[*held]] = np.add.reduceat(values.take(rows, axis=0), begin[:-1])
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), told.take(pa.array(rows))), pa.scalar(b";", told.type))
+        for i, x in zip(held, groups, strict=True):
+            hashes[i] = hashlib.sha256(x.as_buffer()).hexdigest()
+        held.clear()
+
+    for i, row in enumerate(chain.from_iterable(left.column("at").chunks)):
+        mine = row_of[unpacked(row)]
+        if len(mine) and whole[mine].all():
+            held[i] = mine
+            if sum(map(len, held.values())) > JOINED:
+                settle()
+    if held:
+        settle()
     return pa.table({"doc_id": left.column("doc_id"), **{c: pa.array(sums[:, k]) for k, c in enumerate(NUMBERS)}, "groups_sha256": pa.array(hashes, pa.string())})
 
 

@@ -1,8 +1,11 @@
 """Token alignment against whole texts encoded at once and walked in Python."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,6 +100,33 @@ def test_given_documents_in_small_chunks(spark, monkeypatch):
     assert order(tuple(r) for r in crosstok.aligned_documents(table).collect()) == want
 
 
+def test_assembly_holds_no_object_for_each_entry_of_a_dictionary(monkeypatch):
+    """Entries come in any order; documents are added up in batches, and the dictionary stays in Arrow's columns."""
+    monkeypatch.setattr(crosstok, "JOINED", 1000, raising=False)
+    size, rng = 200_000, np.random.default_rng(3)
+    order_ = rng.permutation(size)
+    entries = [(int(k), f"{k},{k + 1}|{k % 7}", 2, [-1, -1, 0] if k % 3 else None, k % 5, k) if k != 11 else (11, None, None, None, None, None) for k in order_]
+    n, told, n_a, more, n_best, count_sum = (list(x) for x in zip(*entries, strict=True))
+    right = pa.table({"n": pa.array(n, pa.int32()), "told": pa.array(told), "n_a": pa.array(n_a, pa.int64()), "more": pa.array(more, pa.list_(pa.int64())), "n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64())})
+    places = [np.array(x, np.int32) for x in ([], [5, 5, 0], [3, 11], rng.integers(20, size, 5000), [7], [])]
+    left = pa.table({"doc_id": pa.array(range(len(places)), pa.int64()), "at": pa.array([crosstok.packed(x) for x in places], pa.binary())})
+    want = []
+    for i, x in enumerate(x.tolist() for x in places):
+        if not x or 11 in x:
+            want.append((i, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        bent = sum(k % 3 > 0 for k in x)
+        said = ";".join(f"{k},{k + 1}|{k % 7}" for k in x)
+        want.append((i, 2 * len(x), 2 * len(x) - bent, 2 * len(x) - bent, 2 * len(x), sum(k % 5 for k in x), sum(x), hashlib.sha256(said.encode()).hexdigest()))
+    del entries, n, told, n_a, more, n_best, count_sum
+    tracemalloc.start()
+    got = crosstok._assembled(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [tuple(r.values()) for r in got.to_pylist()] == want
+    assert peak < 80 * size
+
+
 def test_alignment_by_document_gives_the_groups_of_its_pieces(spark):
     """The relational alignment itself, keyed by documents."""
     rows = [(i, t) for i, t in enumerate(["The thing is here, isn't it?", "中文 naïve 12345 " * 50, "x  y\n z"])]
