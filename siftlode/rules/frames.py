@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftlode.rules.compiled import compiled
 from siftlode.rules.engine import Document, first_text, kind_of, resolve, run, text_of
@@ -126,28 +125,18 @@ def extract_one(df: DataFrame, list_rule: Column, fields: dict[str, Column], con
     each field in any item), one row for each row; n is null where content is.
 
     What a record's next request needs of a page is settled in the task that parses it, so the items
-    of a page are never rows; rows that ask the same of one page side by side share its parse."""
+    of a page are never rows; rows that ask the same of one page side by side share its parse.  A plain
+    UDF takes a hundred rows at a time and nothing but its arguments, where an Arrow batch is thousands of
+    whole rows: what a worker holds does not grow with the rows of its task."""
     names = list(fields)
-    keys = [c for c in df.columns if c != content]
-    extra = [F.col(content).alias("__content"), list_rule.alias("__list"), base.alias("__base"), *[c.alias(f"__f_{n}") for n, c in fields.items()]]
-    kept = df.select(*keys, *extra)
     values = ", ".join(f"{n}: string" for n in names)
-    schema = T.StructType([*(kept.schema[k] for k in keys), T.StructField("got", T.StructType.fromDDL(f"n int, error string, first struct<{values}>, some struct<{values}>"))])
-    of = pa.struct([(n, pa.string()) for n in names])
-    kind = pa.struct([("n", pa.int32()), ("error", pa.string()), ("first", of), ("some", of)])
 
     def one(body, list_rule_, base_, *rules):
         found, unread = items_of(body, list_rule_, base_, list(rules), names, urls)
-        some = {n: next((v[i] for v, _, _ in found if v[i] is not None), None) for i, n in enumerate(names)}
-        return {"n": len(found), "error": unread or next((e for _, _, e in found if e), None), "first": dict(zip(names, found[0][0], strict=True)) if found else dict.fromkeys(names), "some": some}
+        some = tuple(next((v[i] for v, _, _ in found if v[i] is not None), None) for i in range(len(names)))
+        return len(found), unread or next((e for _, _, e in found if e), None), tuple(found[0][0]) if found else (None,) * len(names), some
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, told = len(keys), Remembered(one)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                b = whole.slice(lo, ROWS)
-                got = [told(*x) for x in zip(*(b[j].to_pylist() for j in range(k, b.num_columns)), strict=True)]
-                none = {"n": None, "error": None, "first": None, "some": None}
-                yield pa.RecordBatch.from_arrays([*(b[j] for j in range(k)), pa.array([x or none for x in got], kind)], [*keys, "got"])
-
-    return kept.mapInArrow(go, schema)
+    told = Remembered(one)
+    # not deterministic for the optimizer, which would else run it again for the columns that are made of it
+    work = F.udf(lambda *x: told(*x), f"n int, error string, first struct<{values}>, some struct<{values}>", useArrow=False).asNondeterministic()
+    return df.withColumn("got", work(F.col(content), list_rule, base, *fields.values())).drop(content)

@@ -80,6 +80,30 @@ def test_rows_that_ask_the_same_of_a_page_share_its_parse():
     assert [told(*r) for r in rows] == [1] * 1000 + [2] * 3 + [3] * 2 + [4, None] and len(calls) == 4
 
 
+def test_a_worker_takes_few_pages_at_a_time(spark, monkeypatch):
+    """2000 pages of 40 KB in one task: what a worker holds of them while it is at one."""
+    from pyspark.sql import functions as F
+
+    from siftlode.rules import frames
+
+    page = F.concat(F.lit("<ul><li>"), F.col("id").cast("string"), F.lit("<li>b</ul>"), F.repeat(F.lit("x"), 40_000))
+    pages = spark.range(2000).coalesce(1).select("id", F.when(F.col("id") != 7, page).alias("page"))
+    ask = lambda: frames.extract_one(pages, F.when(F.col("id") == 8, "li[").otherwise("li"), {"a": F.lit("text"), "b": F.lit("java.x")}, "page", F.lit(None).cast("string"))
+    got = {r.id: r.got for r in ask().where("id < 10").collect()}
+    assert ask().columns == ["id", "got"] and sorted(got) == [*range(10)] and (got[7] is None or got[7].n is None)
+    assert (got[8].n, got[8].error, got[8].first.a) == (0, "unsupported_rule_syntax", None)
+    assert (got[9].n, got[9].error, got[9].first.a, got[9].some.a, got[9].first.b) == (2, "unsupported_rhino_api", "9", "9", None)
+
+    def held(*_):
+        import pyarrow
+
+        return [([str(pyarrow.total_allocated_bytes()), None], "", None)], None
+
+    monkeypatch.setattr(frames, "items_of", held)
+    most = ask().agg(F.max(F.col("got.first.a").cast("long")).alias("most"), F.count("got.n").alias("n")).first()
+    assert most.n == 1999 and most.most < 8_000_000
+
+
 def test_references_without_a_semicolon_can_stay(spark, tmp_path):
     titles = ["x &amp;&amp", "&lt;b&gt &quot", "&ampx; &nope; &am", "a && b &copy=1", "&amp;lt;", "&quot;q&quot;", "plain"]
     rows = [(i, f"<html><title>{t}</title><script>a && b&lt</script></html>") for i, t in enumerate(titles)]
